@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .ngram_join import OP8_SQL, op8_ngram_join
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .sharding import op2_sharding
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op9_line_dedup": op9_line_dedup}
+    return {"op2_sharding": op2_sharding, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op9_line_dedup": OP9_SQL}
