@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from .ngram_join import OP8_SQL, op8_ngram_join
+from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .ngram_join import OP8_SQL, op8_ngram_join
 from .sharding import op2_sharding
+from .url_filter import OP7_SQL, op7_url_filter
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
+    return {
+        "op2_sharding": op2_sharding,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op7_url_filter": op7_url_filter,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {
+        "op5_exact_dedup": OP5_SQL,
+        "op7_url_filter": OP7_SQL,
+        "op8_ngram_join": OP8_SQL,
+        "op9_line_dedup": OP9_SQL,
+    }
