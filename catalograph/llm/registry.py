@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .sharding import op2_sharding
 from .url_filter import OP7_SQL, op7_url_filter
@@ -11,6 +12,7 @@ from .url_filter import OP7_SQL, op7_url_filter
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_url_filter": op7_url_filter,
