@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_ngram_join": op8_ngram_join,
@@ -23,6 +25,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontamination": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_ngram_join": OP8_SQL,
