@@ -37,7 +37,7 @@ from .components import connected_components
 from .wordgrams import U, Words, grams, mix, pack, runs_by_key, text_slices, unpack
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Sets in one block of a group and of a cluster.
 GROUP_BLOCK, CLUSTER_BLOCK = 2048, 512
 LEAF, FANOUT = 16, 4
@@ -68,8 +68,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Two bits a token at least, a power of two: folding in halves compares maps of different sizes."""
-    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    """One and a half to three bits a token, a power of two: folding in halves compares maps of different sizes."""
+    bits = 1 << max(6, (3 * len(tokens) // 2).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(tokens & U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -177,10 +177,10 @@ class SignatureTree:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of tokens by hash, as 16 slices of a table of fixed size."""
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in text_slices(batches):
-        if sets := [s for s in shingle_sets(batch.column("text")) if len(s)]:
-            total += np.bincount((np.concatenate(sets) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        for tokens in shingle_sets(batch.column("text")):
+            np.add.at(total, (tokens & U((1 << SKETCH_BITS) - 1)).astype(np.int64), np.uint32(1))
     if total.any():
         slices = total.reshape(16, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([pack(x) for x in slices], pa.binary())], ["slice", "counts"])
@@ -188,7 +188,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in runs_by_key(batches, "slice"):
-        total = sum(unpack(x, np.int64) for x in rows.column("counts").to_pylist())
+        total = sum(unpack(x, np.uint32).astype(np.int64) for x in rows.column("counts").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([rows.column("slice")[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["slice", "counts"])
 
 
