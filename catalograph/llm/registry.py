@@ -8,6 +8,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .sharding import op2_sharding
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_ngram_join": op8_ngram_join,
         "op9_line_dedup": op9_line_dedup,
@@ -27,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "op6_substring_dedup": OP6_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_ngram_join": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
