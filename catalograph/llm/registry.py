@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language_id import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_url_filter": op7_url_filter,
         "op8_ngram_join": op8_ngram_join,
         "op9_line_dedup": op9_line_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
