@@ -10,6 +10,7 @@ from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .sharding import op2_sharding
 from .substring_dedup import OP6_SQL, op6_substring_dedup
+from .toxicity import op4_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
