@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op10_language_id
@@ -26,6 +28,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
