@@ -239,7 +239,7 @@ def join_factors(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int,
     return out
 
 
-_FACTORS_SQL = "doc_id long, sid long, n_removed long, kept string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>"
+_FACTORS_SQL = "doc_id long, sid long, n_removed long, kept string, kept_sha string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>"
 
 
 def _factors(window: int) -> Callable:
@@ -255,9 +255,9 @@ def _factors(window: int) -> Callable:
                 for start, n, _, _ in factors:
                     gone[start : start + n + window - 1] = True
                 kept = b" ".join(x for x, g in zip(words, gone.tolist()) if not g).decode()
-                rows.append((doc_id, sid, int(gone.sum()), kept, [{"start": s, "words": n + window - 1, "ref_doc": r, "ref_start": p} for s, n, r, p in factors]))
-            c = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind))], ["doc_id", "sid", "n_removed", "kept", "factors"])
+                rows.append((doc_id, sid, int(gone.sum()), kept, hashlib.sha256(kept.encode()).hexdigest(), [{"start": s, "words": n + window - 1, "ref_doc": r, "ref_start": p} for s, n, r, p in factors]))
+            c = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), kind))], ["doc_id", "sid", "n_removed", "kept", "kept_sha", "factors"])
 
     return run
 
@@ -284,9 +284,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = second.filter("bucket IS NOT NULL").select("bucket", "hashes", "seconds", "docs", "at", "pos").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = second.filter("start IS NOT NULL").select("doc_id", "start", "len", "ref", "ref_start").unionByName(blocks.mapInArrow(_parse_blocks, _PIECE_SQL))
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "len", "ref", "ref_start")).alias("found"))
-    texts = second.filter("text IS NOT NULL").select("doc_id", "sid", "text").dropDuplicates(["doc_id", "sid"])
+    texts = second.filter("text IS NOT NULL").select("doc_id", "sid", "text")
     parsed = texts.join(found, F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")).select("doc_id", "sid", "text", "found").mapInArrow(_factors(window), _FACTORS_SQL)
-    parsed = parsed.select(F.col("doc_id").alias("_doc"), F.col("sid").alias("_sid"), "n_removed", "kept", "factors")
+    parsed = parsed.select(F.col("doc_id").alias("_doc"), F.col("sid").alias("_sid"), "n_removed", "kept", "kept_sha", "factors").dropDuplicates(["_doc", "_sid"])
     copies = named.join(classes.select(F.col("sid").alias("_class"), "rep"), F.col("sid") == F.col("_class"), "left")
     whole = F.coalesce(F.col("rep") < F.coalesce("doc_id", F.lit(LAST)), F.lit(False))
     out = copies.join(parsed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sid") == F.col("_sid")), "left")
@@ -295,7 +295,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_words"),
         F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("sha"))).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         F.when(~whole, F.col("kept")).alias("kept"),
         F.when(whole, span).otherwise(F.col("factors")).alias("factors"),
     )
