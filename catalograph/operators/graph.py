@@ -10,7 +10,8 @@ from ..schema import TAXONOMY_NAMESPACE
 
 
 def edges_of(resources: DataFrame, kind: str, ids: str, prefix: str) -> DataFrame:
-    return resources.select(F.concat(F.lit("res:"), "id").alias("source"), F.concat(F.lit(prefix), F.explode(ids)).alias("target"), F.lit(kind).alias("kind"))
+    ends = resources.select("id", F.explode(ids).alias("end"))
+    return ends.select(F.concat(F.lit("res:"), "id").alias("source"), F.concat(F.lit(prefix), "end").alias("target"), F.lit(kind).alias("kind"))
 
 
 def landscape_graph(resources: DataFrame, steps: DataFrame | None = None, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core_queries
+from . import core_queries, data_queries
 
 
 def _all() -> dict:
-    return {**core_queries.QUERIES}
+    return {**core_queries.QUERIES, **data_queries.QUERIES}
 
 
 def queries() -> dict:
