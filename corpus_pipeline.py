@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalograph.llm import decontamination, language_id, mixing, ngram_join, sharding
-from catalograph.llm.common import id_text_crc, materialize
+from catalograph.llm.common import fresh_name, id_text_crc, materialize
 
 N_SHARDS = 16
 
@@ -20,32 +20,35 @@ N_SHARDS = 16
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in a language: those without any letter (`und`) go."""
     model = language_id.train(docs, id_text_crc(F.col("doc_id")) % 4 != 2)
-    kept = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return kept.filter(F.col("lang_pred") != language_id.NONE).select(*docs.columns)
+    lang, score = fresh_name(docs.columns, "_lang_pred"), fresh_name(docs.columns, "_lang_score")
+    kept = language_id.identify(docs, model, keep=tuple(docs.columns), into=(lang, score))
+    return kept.filter(F.col(lang) != language_id.NONE).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of each group whose doc_id names the group (the smallest), once."""
     groups = ngram_join.similarity_components(docs)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    name = fresh_name(docs.columns, "_gone")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of a benchmark item occurs."""
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    name = fresh_name(docs.columns, "_bad")
+    bad = found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; 0 copies drop it."""
-    taken = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
-    # Rows with one doc_id get the copies of the row of their own source and size.
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.n_words() == F.col("_size"))
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    out = docs.join(taken, same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    names = {c: fresh_name(docs.columns, f"_mix_{c}") for c in ("doc_id", "source", "size", "copies")}
+    taken = mixing.mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0").withColumnsRenamed(names)
+    # Rows with one doc_id get the copies of their own source and size.
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (mixing.n_words() == F.col(names["size"]))
+    nth = fresh_name(docs.columns, "_copy")
+    return docs.join(taken, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
