@@ -44,6 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_name(columns: list[str], base: str) -> str:
+    """`base`, with underscores in front until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def id_text_crc(doc_id: Column) -> Column:
     """crc32 of an id as text, the fold key of the learning operators."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -92,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         return F.concat(*marks) if len(marks) > 1 else marks[0]
 
     if not lengths:
-        hits = docs.sparkSession.createDataFrame([], "doc_id long, crc long, found array<struct<n:int,fp:long>>").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+        hits = docs.select("doc_id", F.lit(0).cast("long").alias("crc"), F.lit(None).cast("array<struct<n:int,fp:long>>").alias("found")).filter(F.lit(False))
     else:
         seen = docs.select("doc_id", F.xxhash64("text").alias("crc"), F.explode(let(words_of(F.col("text")), marks_of)).alias("m")).select("doc_id", "crc", "m.n", "m.fp")
         hits = seen.join(held(prints), ["n", "fp"]).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("n", "fp")).alias("found"))

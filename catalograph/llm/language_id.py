@@ -174,20 +174,20 @@ def train(docs: DataFrame, fold: Column) -> LanguageModel:
     return LanguageModel({k: v for k, v in samples.items() if normalise([v])[1][1]})
 
 
-def _predict(model: LanguageModel, keep: tuple[str, ...]) -> Callable:
+def _predict(model: LanguageModel, keep: tuple[str, ...], into: tuple[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             langs, scores = model.predict([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *into])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs with the predicted language and its score, named by `into`."""
     used = docs.select(*dict.fromkeys((*keep, "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return used.mapInArrow(_predict(model, keep), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{into[0]}` string, `{into[1]}` double"
+    return used.mapInArrow(_predict(model, keep, into), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

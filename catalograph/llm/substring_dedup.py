@@ -17,8 +17,8 @@ Every slice of a task keeps only the first place of a window for the block and r
 that a third of all documents hold reaches its block once per slice. Hashes of windows are 96 bits.
 
 Defined cases: null, empty and shorter texts have no windows and keep all words; repeats inside one document stay unless
-a smaller document has them; rows that share a doc_id are the same document to the comparison (none removes the other's
-words, unless their texts are equal to a smaller document's); a null doc_id counts as larger than all; other columns
+a smaller document has them; rows that share a doc_id are one document and are expected to repeat its text (if their
+texts differ, a span found for one is removed from all of them); a null doc_id counts as larger than all; other columns
 are not read. Kept words are joined by one space.
 """
 
