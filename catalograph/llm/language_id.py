@@ -104,14 +104,15 @@ class LanguageModel:
         codes = [normalise([samples[x]])[0] for x in self.languages]
         self.alphabet = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint32)
         k = len(self.alphabet) + 2
-        # Transitions hold 2 * next + (1 if a phrase ended before this symbol); one flat table, languages behind each other.
+        # Transitions hold 2 * next + (1 if this symbol starts a phrase); one flat table, languages behind each other.
         tables, base = [], 0
         self.roots = []
         for c in codes:
             t = SuffixAutomaton((np.searchsorted(self.alphabet, c) + 2).tolist()).table(k)
             root = np.where(t[0] >= 0, t[0], 0)
             miss = t < 0
-            t = (np.where(miss, root[None, :], t) + base) * 2 + miss
+            miss[0] = True
+            t = (np.where(t < 0, root[None, :], t) + base) * 2 + miss
             t[:, 0] = (np.arange(len(t)) + base) * 2
             tables.append(t.astype(np.int32))
             self.roots.append(base)
@@ -138,7 +139,7 @@ class LanguageModel:
         active = np.searchsorted(-length, -np.arange(STREAM), "left")  # streams longer than t
         for k, root in enumerate(self.roots):
             state = np.full(len(owner), root, np.int32)
-            count = np.ones(len(owner), np.int32)
+            count = np.zeros(len(owner), np.int32)
             for t in range(int(length[0])):
                 n = active[t]
                 got = self.table[state[:n] * self.width + symbol[start[:n] + t]]
