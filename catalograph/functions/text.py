@@ -141,7 +141,7 @@ def skill_steps(text: Column) -> Column:
         items,
         lambda s, i: F.struct(
             (i + 1).alias("step"),
-            F.trim(F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", ""), r"^\d+\.\s*", "")).alias("text"),
+            F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", ""), r"^\d+\.\s*|\s+\z", "").alias("text"),
             F.filter(F.transform(F.split(F.regexp_extract(s, r"ord_confirmed:\s*([^\n>]*?)\s*(?:-->|\n|$)", 1), ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"),
         ),
     )
