@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as X
 from ..operators import ambiguity as M
+from ..operators import blocks as B
 from ..operators import disambiguation as D
 from ..operators import features as E
 from ..operators import pairs as P
@@ -113,10 +114,17 @@ def _kept_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     s = _scored(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = P.sparse_pairs(s).select("seq_a", "seq_b", "ns_a", "ns_b", "type_a", "type_b", "sim").persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[key] = B.with_ends(B.block_pairs(s), s).persist(StorageLevel.MEMORY_AND_DISK)
     return s, _KEPT[key]
 
 
+def _block_pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
+    """The pair table by blocks: for queries that need scores, not parts."""
+    s = _scored(spark, sf_dir)
+    p = B.block_pairs(s, **how)
+    return s, p if how.get("extended") else B.with_ends(p, s)
+
+
 def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, p = _kept_pairs(spark, sf_dir)
     n = M.completed_neighbours(p, s)
@@ -154,7 +162,7 @@ _SHARING = "text + localId + entityTypes + lineOfBusiness + tags + industry > 0"
 
 @query(ALL + f"SELECT seq_a, seq_b, sim FROM p WHERE {_SHARING}")
 def pair_sim(spark, sf_dir):
-    return _pairs(spark, sf_dir)[1].select("seq_a", "seq_b", "sim")
+    return _block_pairs(spark, sf_dir)[1].select("seq_a", "seq_b", "sim")
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.5")
@@ -164,7 +172,7 @@ def pair_sim_dense(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, fast_sim AS sim FROM p WHERE localId + entityTypes + lineOfBusiness + tags + industry > 0")
 def fast_sim(spark, sf_dir):
-    return _pairs(spark, sf_dir, use_text=False)[1].select("seq_a", "seq_b", "sim")
+    return _block_pairs(spark, sf_dir, use_text=False)[1].select("seq_a", "seq_b", "sim")
 
 
 @query(
@@ -179,13 +187,12 @@ def pair_breakdown(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.75")
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of different types cannot reach 0.75, so the type is a join key."""
-    return _pairs(spark, sf_dir, within_type=True)[1].filter("sim >= 0.75").select("seq_a", "seq_b", "sim")
+    return _block_pairs(spark, sf_dir, least=0.75)[1].select("seq_a", "seq_b", "sim")
 
 
 @query(ALL + "SELECT seq_a, count(*) FILTER (sim >= 0.5 AND sim < 0.75) AS high_below_dup, count(*) FILTER (sim >= 0.5 AND sim <= 0.75) AS high_closed FROM m WHERE sim >= 0.5 GROUP BY 1")
 def high_windows(spark, sf_dir):
-    m = P.mirror(_pairs(spark, sf_dir)[1]).filter("sim >= 0.5")
+    m = P.mirror(_block_pairs(spark, sf_dir, least=0.5)[1]).filter("sim >= 0.5")
     return m.groupBy("seq_a").agg(F.count_if(F.col("sim") < 0.75).alias("high_below_dup"), F.count_if(F.col("sim") <= 0.75).alias("high_closed"))
 
 
@@ -230,25 +237,25 @@ def preselect_pairs(spark, sf_dir):
 
 @query(TIERED + "SELECT * FROM tcs")
 def tier_counts(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     return M.tier_counts(p, s)
 
 
 @query(TIERED + "SELECT seq FROM tcs WHERE done AND type IN ('agent', 'apiResource', 'dataProduct')")
 def gt_eligible(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     return M.tier_counts(p, s).filter(F.col("done") & F.col("type").isin("agent", "apiResource", "dataProduct")).select("seq")
 
 
 @query(TIERED + "SELECT type, count(*) AS n, count(*) FILTER (high >= 3) AS high_met, count(*) FILTER (medium >= 5) AS medium_met, count(*) FILTER (low >= 5) AS low_met, count(*) FILTER (done) AS all_met, sum(high)::BIGINT // 2 AS high_pairs, sum(medium)::BIGINT // 2 AS medium_pairs, sum(low)::BIGINT // 2 AS low_pairs FROM tcs GROUP BY 1")
 def tier_progress(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     return M.progress(M.tier_counts(p, s))
 
 
 @query(TIERED + "SELECT coalesce(bool_and(done), true) AS all_done, count(*) AS n FROM tcs WHERE type IN ('agent', 'apiResource', 'dataProduct')")
 def all_ground_truth_done(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     return M.all_done(M.tier_counts(p, s))
 
 
@@ -270,18 +277,18 @@ def mean_top5_ambiguity(spark, sf_dir):
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE (seq_a % 50 = 7 OR seq_b % 50 = 7) AND sim >= 0.25")
 def changed_pairs(spark, sf_dir):
     """Resources with seq mod 50 = 7 stand for those that one round added."""
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.25)
     return P.changed_pairs(p, s.filter("seq % 50 = 7")).filter("sim >= 0.25").select("seq_a", "seq_b", "sim")
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM m WHERE seq_a = 11 AND sim >= 0.1")
 def one_against_all(spark, sf_dir):
-    return P.one_against_all(_pairs(spark, sf_dir)[1], 11).filter("sim >= 0.1").select("seq_a", "seq_b", "sim")
+    return P.one_against_all(_block_pairs(spark, sf_dir)[1], 11).filter("sim >= 0.1").select("seq_a", "seq_b", "sim")
 
 
 @query(ALL + "SELECT m.seq_a, m.seq_b, m.sim FROM m JOIN s a ON a.seq = m.seq_a JOIN s b ON b.seq = m.seq_b WHERE a.enriched AND NOT b.enriched AND m.sim >= 0.25")
 def rectangular_pairs(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.25)
     return P.rectangular(p, s.filter("enriched"), s.filter("NOT enriched")).filter("sim >= 0.25").select("seq_a", "seq_b", "sim")
 
 
@@ -327,32 +334,32 @@ def _high_sql(on: str, where: str) -> str:
 
 @query(_high_sql("", "true") + " SELECT * FROM hc")
 def high_counts_all(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir, extended=True)
+    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
     return D.high_counts(p, s)
 
 
 @query(_high_sql("", "s.enriched") + " SELECT * FROM hc")
 def high_counts_enriched(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir, extended=True)
+    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
     return D.high_counts(p, s.filter("enriched"))
 
 
 @query(_high_sql("AND en_b", "s.enriched") + " SELECT * FROM hc WHERE high > 0")
 def high_counts_enriched_pairs(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir, extended=True)
+    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
     e = s.filter("enriched")
     return D.high_counts(p, e, among=e).filter("high > 0")
 
 
 @query(_high_sql("", "true") + " SELECT count(*) AS n, sum(high)::BIGINT AS high_total, sum(high_extended)::BIGINT AS high_total_extended, round(avg(high), 3) AS high_mean, round(avg(high_extended), 3) AS high_mean_extended, round(100.0 * (sum(high) - sum(high_extended)) / nullif(sum(high), 0), 1) AS removed_pct, count(*) FILTER (high_extended < high) AS fewer, count(*) FILTER (high_extended > high) AS more FROM hc")
 def disambiguation_summary(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir, extended=True)
+    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
     return D.summary(D.high_counts(p, s))
 
 
 @query(EXT + "SELECT seq_a, seq_b, sim, sim_extended FROM (SELECT *, row_number() OVER (PARTITION BY seq_a ORDER BY sim DESC, seq_b) AS k FROM xm WHERE sim >= 0.1) WHERE k = 1")
 def hardest_neighbour(spark, sf_dir):
-    return D.hardest_neighbour(_pairs(spark, sf_dir, extended=True)[1].filter("sim >= 0.1"))
+    return D.hardest_neighbour(_block_pairs(spark, sf_dir, extended=True)[1].filter("sim >= 0.1"))
 
 
 _STAT = f"""count(*) AS n, {_r4("avg(sim)")} AS mean, {_r4("avg(sim_extended)")} AS mean_extended, {_r4("avg(sim_extended) - avg(sim)")} AS delta, round(100.0 * (avg(sim_extended) - avg(sim)) / nullif(avg(sim), 0), 1) AS pct_change, count(*) FILTER (sim_extended < sim) AS less_similar, count(*) FILTER (sim_extended > sim) AS more_similar"""
@@ -361,5 +368,5 @@ _STAT = f"""count(*) AS n, {_r4("avg(sim)")} AS mean, {_r4("avg(sim_extended)")}
 @query(EXT + f"SELECT 'all' AS subset, {_STAT} FROM x WHERE en_a AND en_b UNION ALL SELECT 'high', {_STAT} FROM x WHERE en_a AND en_b AND sim >= 0.5 UNION ALL SELECT 'mixed', {_STAT} FROM x WHERE en_a <> en_b")
 def average_similarity(spark, sf_dir):
     """Over all pairs: those that share nothing are added in closed form."""
-    s, p = _pairs(spark, sf_dir, extended=True)
+    s, p = _block_pairs(spark, sf_dir, extended=True)
     return D.average_similarity(p, s)

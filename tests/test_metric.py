@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalograph.functions import arrays as A
 from catalograph.functions import text as X
 from catalograph.functions.compat import cache_key, python_round
-from catalograph.operators import ambiguity, disambiguation, features, pairs, reduction
+from catalograph.operators import ambiguity, blocks, disambiguation, features, pairs, reduction
 from catalograph.plans.landscape import Landscape
 
 from .frames import SCHEMA, oracle, resource
@@ -78,6 +78,17 @@ def test_extended_metric(catalogue):
     assert abs(avg["all"].mean_extended - sum(want[k] for k in both) / len(both)) < 2e-4
 
 
+def test_blocks_equal_sparse(catalogue, monkeypatch):
+    _, s = catalogue
+    for size in (1024, 7):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        assert table(blocks.block_pairs(s)) == table(pairs.sparse_pairs(s))
+        got = blocks.block_pairs(s, extended=True)
+        want = pairs.sparse_pairs(s, extended=True)
+        assert table(got, "sim_extended") == table(want, "sim_extended") and table(got, "active") == table(want, "active")
+    assert table(blocks.block_pairs(s, use_text=False, least=0.3)) == table(pairs.sparse_pairs(s, use_text=False).filter("sim >= 0.3"))
+
+
 def test_within_type_keeps_near_duplicates(catalogue):
     _, s = catalogue
     a, b = table(pairs.sparse_pairs(s).filter("sim >= 0.6 AND type_a = type_b")), table(pairs.sparse_pairs(s, within_type=True).filter("sim >= 0.6"))
