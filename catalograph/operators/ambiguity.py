@@ -49,10 +49,19 @@ def completed_neighbours(pairs: DataFrame, resources: DataFrame, k: int = TOP_K)
     return both.withColumn("rank", _rank(_by_sim())).filter(F.col("rank") <= k)
 
 
-def resource_ambiguity(neighbours: DataFrame, pairs: DataFrame, resources: DataFrame) -> DataFrame:
-    """Score (mean of the ranked sims), band, number of neighbours at the gap threshold, gap flag, eligibility as ground truth."""
+def ranked_neighbours(found: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best rows of each resource among those of block_neighbours()."""
+    return found.withColumn("rank", _rank(_by_sim())).filter(F.col("rank") <= k).select("seq_a", "seq_b", "sim", "rank")
+
+
+def counts_above(pairs: DataFrame) -> DataFrame:
+    """(seq, n): neighbours at the gap threshold."""
+    return mirror(pairs).filter(F.col("sim") >= COVERAGE_GAP).groupBy(F.col("seq_a").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def resource_ambiguity(neighbours: DataFrame, above: DataFrame, resources: DataFrame) -> DataFrame:
+    """Score (mean of the ranked sims), band, number of neighbours at the gap threshold (above: seq, n), gap flag, eligibility as ground truth."""
     score = neighbours.groupBy(F.col("seq_a").alias("seq")).agg(F.avg("sim").alias("mean_sim"))
-    above = mirror(pairs).filter(F.col("sim") >= COVERAGE_GAP).groupBy(F.col("seq_a").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     out = resources.select("seq", "namespace", "type").join(score, "seq", "left").join(above, "seq", "left")
     mean = F.coalesce("mean_sim", F.lit(0.0))
     # The band tests the mean before rounding; the guard keeps sums in another order on the same side.

@@ -65,39 +65,46 @@ def _round4(x: np.ndarray) -> np.ndarray:
     return np.floor((x + 1e-10) * 1e4 + 0.5) / 1e4
 
 
-def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0) -> DataFrame:
-    """(seq_a, seq_b, sim[, sim_extended, active]) of all pairs seq_a < seq_b that share a key and score `least` at least under one metric."""
+def _spread(resources: DataFrame, use_text: bool, extended: bool) -> DataFrame:
+    """Resources with their vectors, once for each pair of blocks (i, j) that they are in."""
     n = resources.count()
     k = max(1, -(-n // BLOCK))
     idf = entity_idf(resources).select("entity_type", "idf")
     rare = resources.select("seq", F.explode("entity_types").alias("entity_type")).join(idf, "entity_type").groupBy(F.col("seq").alias("_e_seq")).agg(F.collect_list("entity_type").alias("ets"), F.collect_list("idf").alias("et_weights"))
     cols = ["seq", "namespace", "type", *_FLAT, *(["capabilities", "groups"] if extended else [])]
-    rows = resources.select(*cols, *[c for c in ("text", "use_case_text") if c in resources.columns]).join(rare, F.col("seq") == F.col("_e_seq"), "left")
-    if use_text:
-        rows = rows.join(_vectors(resources, "text", "t"), F.col("seq") == F.col("_t_seq"), "left")
-    if extended:
-        rows = rows.join(_vectors(resources, "use_case_text", "u"), F.col("seq") == F.col("_u_seq"), "left")
-    keep = [*cols, "ets", "et_weights", *(["t_terms", "t_weights"] if use_text else []), *(["u_terms", "u_weights"] if extended else [])]
+    rows = resources.select(*cols).join(rare, F.col("seq") == F.col("_e_seq"), "left")
+    keep = [*cols, "ets", "et_weights"]
+    for column, name, wanted in (("text", "t", use_text), ("use_case_text", "u", extended)):
+        if wanted:
+            rows = rows.join(_vectors(resources, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
+            keep += [f"{name}_terms", f"{name}_weights"]
     blocked = rows.select(*keep, F.pmod(F.xxhash64("seq"), F.lit(k)).cast("int").alias("blk"))
-    spread = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
+    return blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
 
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+_LISTS = (*_FLAT, "ets", "et_weights", "capabilities", "groups", "t_terms", "t_weights", "u_terms", "u_weights")
+
+
+class _Scores:
+    """The matrices of one pair of blocks; rows and columns are in order of seq."""
+
+    def __init__(self, key: tuple, pdf: pd.DataFrame, use_text: bool, extended: bool):
         pdf = pdf.sort_values("seq", ignore_index=True)
-        lists = [c for c in pdf.columns if c in (*_FLAT, "ets", "et_weights", "capabilities", "groups", "t_terms", "t_weights", "u_terms", "u_weights")]
-        for c in lists:
-            pdf[c] = pdf[c].map(lambda v: v if v is not None and not (isinstance(v, float)) else ())
+        for c in _LISTS:
+            if c in pdf.columns:
+                pdf[c] = pdf[c].map(lambda v: () if v is None or isinstance(v, float) else v)
         blk = pdf["blk"].to_numpy()
         a, b = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
         ratio = lambda c, w=None: np.divide(*(x := _overlap(pdf[c], w, a, b)), out=np.zeros((len(a), len(b))), where=x[0] > 0)
         total = sum((ratio(c) for c in _FLAT), np.zeros((len(a), len(b)))) + ratio("ets", pdf["et_weights"])
         if use_text:
             total += _products(pdf["t_terms"], pdf["t_weights"], a, b)
-        share = total > 0
-        ns, kind, seq = (pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0], pdf["seq"].to_numpy())
+        ns, kind, seq = pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0], pdf["seq"].to_numpy()
         bonus = np.where(ns[a][:, None] == ns[b][None, :], 0.0, CROSS_NAMESPACE_BONUS)
         penalty = np.where(kind[a][:, None] == kind[b][None, :], 1.0, TYPE_PENALTY)
-        sim = _round4((total + bonus) / 6 * penalty)
-        best = sim
+        self.seq_a, self.seq_b, self.own = seq[a], seq[b], key[0] == key[1]
+        self.sim = _round4((total + bonus) / 6 * penalty)
+        self.share = total > 0
         if extended:
             active, more = np.zeros_like(total), total.copy()
             for c in ("capabilities", "groups"):
@@ -107,21 +114,54 @@ def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = Fa
             uses = pdf["u_terms"].map(len).to_numpy() > 0
             active += uses[a][:, None] & uses[b][None, :]
             more += _products(pdf["u_terms"], pdf["u_weights"], a, b)
-            share = more > 0
-            wide = _round4((more + bonus) / (6 + active) * penalty)
-            best = np.maximum(sim, wide)
-        share &= best >= least
-        if key[0] == key[1]:
-            share &= seq[a][:, None] < seq[b][None, :]
-        p, q = np.nonzero(share)
-        x, y = seq[a][p], seq[b][q]
-        out = {"seq_a": np.minimum(x, y), "seq_b": np.maximum(x, y), "sim": sim[p, q]}
+            self.share, self.active, self.wide = more > 0, active, _round4((more + bonus) / (6 + active) * penalty)
+
+
+def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0) -> DataFrame:
+    """(seq_a, seq_b, sim[, sim_extended, active]) of all pairs seq_a < seq_b that share a key and score `least` at least under one metric."""
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _Scores(key, pdf, use_text, extended)
+        keep = m.share & ((np.maximum(m.sim, m.wide) if extended else m.sim) >= least)
+        if m.own:
+            keep &= m.seq_a[:, None] < m.seq_b[None, :]
+        p, q = np.nonzero(keep)
+        x, y = m.seq_a[p], m.seq_b[q]
+        out = {"seq_a": np.minimum(x, y), "seq_b": np.maximum(x, y), "sim": m.sim[p, q]}
         if extended:
-            out |= {"sim_extended": wide[p, q], "active": active[p, q].astype(np.int32)}
+            out |= {"sim_extended": m.wide[p, q], "active": m.active[p, q].astype(np.int32)}
         return pd.DataFrame(out)
 
     schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "")
-    return spread.groupBy("i", "j").applyInPandas(score, schema)
+    return _spread(resources, use_text, extended).groupBy("i", "j").applyInPandas(score, schema)
+
+
+def block_neighbours(resources: DataFrame, k: int, count_from: float) -> DataFrame:
+    """(seq_a, seq_b, sim, n_above): for each resource and block its k most similar others, pairs that share nothing included, ties by seq.
+
+    The first row of a resource and block has the number of others there that score count_from at least, further rows 0:
+    the k best of all blocks are the k best of these rows, and the counts add up.
+    """
+
+    def best(sim: np.ndarray, mine: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        above = (sim >= count_from).sum(axis=1)
+        order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        got = np.take_along_axis(sim, order, axis=1)
+        n = np.zeros(order.shape, np.int64)
+        n[:, 0] = above
+        out = pd.DataFrame({"seq_a": np.repeat(mine, order.shape[1]), "seq_b": others[order.ravel()], "sim": got.ravel(), "n_above": n.ravel()})
+        return out[out["sim"] >= 0]
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _Scores(key, pdf, True, False)
+        if m.own:
+            np.fill_diagonal(m.sim, -1.0)
+            return best(m.sim, m.seq_a, m.seq_b)
+        if not len(m.seq_a) or not len(m.seq_b):
+            return pd.DataFrame({"seq_a": [], "seq_b": [], "sim": [], "n_above": []}).astype({"seq_a": "int64", "seq_b": "int64", "sim": "float64", "n_above": "int64"})
+        return pd.concat([best(m.sim, m.seq_a, m.seq_b), best(m.sim.T, m.seq_b, m.seq_a)])
+
+    return _spread(resources, True, False).groupBy("i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
 
 
 def with_ends(pairs: DataFrame, resources: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import blocks as B
 from ..operators import disambiguation as D
 from ..operators import features as E
 from ..operators import pairs as P
-from ..schema import STOP_WORDS
+from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
 from ..sources.fixtures import ASSETS_SQL, assets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,12 +109,12 @@ def _pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFram
 _KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
-def _kept_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The pair table of the base metric, persisted once per session and folder: rankings and rollups read it several times."""
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The best neighbours by block, persisted once per session and folder: rankings and rollups read them several times. A few rows per resource and block."""
     s = _scored(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = B.with_ends(B.block_pairs(s), s).persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[key] = B.block_neighbours(s, TOP_K, COVERAGE_GAP).persist(StorageLevel.MEMORY_AND_DISK)
     return s, _KEPT[key]
 
 
@@ -125,10 +125,12 @@ def _block_pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, Da
     return s, p if how.get("extended") else B.with_ends(p, s)
 
 
-def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    s, p = _kept_pairs(spark, sf_dir)
-    n = M.completed_neighbours(p, s)
-    return s, p, n, M.resource_ambiguity(n, p, s)
+def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(ranked neighbours, report)."""
+    s, found = _found(spark, sf_dir)
+    n = M.ranked_neighbours(found)
+    above = found.groupBy(F.col("seq_a").alias("seq")).agg(F.sum("n_above").alias("n"))
+    return n, M.resource_ambiguity(n, above, s)
 
 
 @query(BASE + "SELECT seq, toks AS tokens FROM s")
@@ -198,27 +200,27 @@ def high_windows(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim, rank FROM nb WHERE rank <= 5")
 def top_k(spark, sf_dir):
-    return _report(spark, sf_dir)[2].select("seq_a", "seq_b", "sim", "rank")
+    return _report(spark, sf_dir)[0].select("seq_a", "seq_b", "sim", "rank")
 
 
 @query(FULL + "SELECT * FROM rp")
 def resource_ambiguity(spark, sf_dir):
-    return _report(spark, sf_dir)[3]
+    return _report(spark, sf_dir)[1]
 
 
 @query(FULL + "SELECT count(*) AS total_resources, count(*) FILTER (difficulty_band = 'easy') AS easy, count(*) FILTER (difficulty_band = 'medium') AS medium, count(*) FILTER (difficulty_band = 'hard') AS hard, count(*) FILTER (difficulty_band = 'very_hard') AS very_hard, count(*) FILTER (coverage_gap) AS coverage_gaps, count(*) FILTER (difficulty_band IN ('hard', 'very_hard')) AS hard_or_more FROM rp")
 def band_summary(spark, sf_dir):
-    return M.band_summary(_report(spark, sf_dir)[3])
+    return M.band_summary(_report(spark, sf_dir)[1])
 
 
 @query(FULL + f"SELECT namespace, {_r4('avg(ambiguity_score)')} AS mean_ambiguity, count(*) AS n_resources, count(*) FILTER (ambiguity_score >= 0.4) AS n_hard, count(*) FILTER (coverage_gap) AS n_gaps FROM rp GROUP BY 1")
 def namespace_summary(spark, sf_dir):
-    return M.namespace_summary(_report(spark, sf_dir)[3])
+    return M.namespace_summary(_report(spark, sf_dir)[1])
 
 
 @query(FULL + "SELECT seq, type FROM rp WHERE coverage_gap AND can_be_ground_truth ORDER BY seq LIMIT 10")
 def coverage_gaps(spark, sf_dir):
-    return M.coverage_gaps(_report(spark, sf_dir)[3]).select("seq", "type")
+    return M.coverage_gaps(_report(spark, sf_dir)[1]).select("seq", "type")
 
 
 _ONCE = "o AS (SELECT *, row_number() OVER (PARTITION BY least(seq_a, seq_b), greatest(seq_a, seq_b) ORDER BY seq_a, rank) AS nth FROM nb WHERE rank <= 5 AND sim >= 0.25)"
@@ -226,12 +228,12 @@ _ONCE = "o AS (SELECT *, row_number() OVER (PARTITION BY least(seq_a, seq_b), gr
 
 @query(ALL.rstrip() + ", " + _ONCE + " SELECT seq_a, seq_b, sim FROM o WHERE nth = 1 ORDER BY sim DESC, seq_a, rank LIMIT 20")
 def top_pairs(spark, sf_dir):
-    return M.top_pairs(_report(spark, sf_dir)[2]).select("seq_a", "seq_b", "sim")
+    return M.top_pairs(_report(spark, sf_dir)[0]).select("seq_a", "seq_b", "sim")
 
 
 @query(FULL + "SELECT seq_a, seq_b, sim, rp.difficulty_band AS correct_difficulty_band FROM nb JOIN rp ON rp.seq = seq_a WHERE rank <= 5 AND sim >= 0.25 AND rp.can_be_ground_truth ORDER BY sim DESC, seq_a, rank LIMIT 50")
 def preselect_pairs(spark, sf_dir):
-    _, _, n, r = _report(spark, sf_dir)
+    n, r = _report(spark, sf_dir)
     return M.preselect_pairs(n, r).select("seq_a", "seq_b", "sim", "correct_difficulty_band")
 
 
@@ -271,7 +273,7 @@ def type_shares(spark, sf_dir):
 
 @query(ALL + f"SELECT {_r4('avg(m)')} AS mean_ambiguity, count(*) AS n FROM (SELECT avg(sim) AS m FROM nb WHERE rank <= 5 GROUP BY seq_a)")
 def mean_top5_ambiguity(spark, sf_dir):
-    return M.mean_top_ambiguity(_report(spark, sf_dir)[2])
+    return M.mean_top_ambiguity(_report(spark, sf_dir)[0])
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE (seq_a % 50 = 7 OR seq_b % 50 = 7) AND sim >= 0.25")

@@ -114,6 +114,10 @@ def test_completed_neighbours(catalogue, k):
     for r in sorted(ambiguity.completed_neighbours(base(s), s, k).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.seq_a, []).append(r.seq_b)
     assert got == want
+    got = {}
+    for r in sorted(ambiguity.ranked_neighbours(blocks.block_neighbours(s, k, 0.25), k).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.seq_a, []).append(r.seq_b)
+    assert got == want
 
 
 def test_traps_of_the_metric(spark):
@@ -130,7 +134,7 @@ def test_traps_of_the_metric(spark):
 def test_single_and_isolated_resources(spark):
     s = features.scored(spark.createDataFrame([resource(0, text="alone here")], SCHEMA))
     p = pairs.sparse_pairs(s)
-    r = ambiguity.resource_ambiguity(ambiguity.completed_neighbours(p, s), p, s).collect()[0]
+    r = ambiguity.resource_ambiguity(ambiguity.completed_neighbours(p, s), ambiguity.counts_above(p), s).collect()[0]
     assert (r.ambiguity_score, r.difficulty_band, r.coverage_gap) == (0.0, "easy", True)
 
 
