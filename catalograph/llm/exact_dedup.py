@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, materialize, shuffle_partitions
-from .wordgrams import text_slices
+from .wordgrams import lean, text_slices
 
 TABLE_BYTES = 48 << 20
 LONGEST = 1 << 62
@@ -107,11 +107,11 @@ def _probe(limit: int) -> Callable:
 def duplicate_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(sha, n, chars, doc_id): each distinct content by its digest, its count and the record that stays."""
     fan_out = shuffle_partitions(docs.sparkSession)
-    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_combine, _RECORD_SQL)
+    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_combine), _RECORD_SQL)
     done = []
     for level in range(64):
         bucket = F.xxhash64(F.lit(level), F.col("sha"))
-        table = materialize(records.repartition(fan_out, bucket).mapInArrow(_probe(table_bytes), _RECORD_SQL), f"op5-level{level}")
+        table = materialize(records.repartition(fan_out, bucket).mapInArrow(lean(_probe(table_bytes)), _RECORD_SQL), f"op5-level{level}")
         done.append(table.filter("content IS NULL").drop("content"))
         records = table.filter("content IS NOT NULL")
         if records.isEmpty():
@@ -132,7 +132,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of docs."""
     groups = duplicate_groups(docs, table_bytes).select("sha", F.col("n").alias("group_size"), F.col("doc_id").alias("keep_id"))
-    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, sha binary")
+    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_digests), "doc_id long, sha binary")
     return members.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text_crc
-from .wordgrams import text_slices
+from .wordgrams import lean, text_slices
 
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
 STREAM = 256
@@ -177,7 +177,7 @@ def train(docs: DataFrame, fold: Column) -> LanguageModel:
 
 def _predict(model: LanguageModel, keep: tuple[str, ...], into: tuple[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=2 << 20):
             langs, scores = model.predict([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *into])
 
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     """The columns `keep` of docs with the predicted language and its score, named by `into`."""
     used = docs.select(*dict.fromkeys((*keep, "text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{into[0]}` string, `{into[1]}` double"
-    return used.mapInArrow(_predict(model, keep, into), schema)
+    return used.mapInArrow(lean(_predict(model, keep, into)), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

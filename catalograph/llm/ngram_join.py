@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 from .components import connected_components
-from .wordgrams import U, Words, grams, mix, pack, runs_by_key, text_slices, unpack
+from .wordgrams import U, Words, grams, lean, mix, pack, runs_by_key, text_slices, unpack
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 22
 #: Sets in one block of a group and of a cluster.
 GROUP_BLOCK, CLUSTER_BLOCK = 2048, 512
 LEAF, FANOUT = 16, 4
+#: Prefix tokens that a task holds before it packs them.
+FLUSH = 1_500_000
 
 
 def needed(total: int, percent: int = PERCENT) -> int:
@@ -194,7 +196,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each cell of the sketch: 0 if its count is ordinary, else the rounded log of how far it is above. 2**SKETCH_BITS bytes, whatever the corpus."""
-    parts = docs.select("text").mapInArrow(_sketch, "slice int, counts binary").repartition(16, "slice").sortWithinPartitions("slice").mapInArrow(_sum_slices, "slice int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(lean(_sketch), "slice int, counts binary").repartition(16, "slice").sortWithinPartitions("slice").mapInArrow(lean(_sum_slices), "slice int, counts binary").collect()
     counts = np.zeros((16, (1 << SKETCH_BITS) // 16), np.int64)
     for row in parts:
         counts[row["slice"]] = unpack(bytes(row["counts"]), np.int64)
@@ -243,7 +245,7 @@ def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
                     weight += take
             docs = [batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(docs + [pa.nulls(batch.num_rows, schema.field(i).type) for i in range(4, 9)], schema=schema)
-            if weight > 4_000_000:
+            if weight > FLUSH:
                 yield from flush(held)
                 held, weight = {}, 0
         yield from flush(held)
@@ -353,13 +355,13 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = max(64, 2 * parts)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n int, sid long, map binary, bucket int, entries binary, sids binary, at binary, sizes binary"
-    passed = materialize(docs.mapInArrow(_prefixes(frequency_levels(docs), buckets, percent), schema), "op8-prefixes")
+    passed = materialize(docs.mapInArrow(lean(_prefixes(frequency_levels(docs), buckets, percent)), schema), "op8-prefixes")
     named = passed.filter("bucket IS NULL").select("doc_id", "n", "sid", "map")
 
-    groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "grp long, part int, sid long").distinct()
+    groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups), "grp long, part int, sid long").distinct()
     classes = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.max("map").alias("map"), F.min("doc_id").alias("doc_id"))
     met = groups.join(classes.select("sid", "n", "map"), "sid").select("grp", "part", "sid", "n", "map").repartition(parts, "grp").sortWithinPartitions("grp")
-    clusters = connected_components(met.mapInArrow(_candidates(percent), "u long, v long"), "op8-candidates")
+    clusters = connected_components(met.mapInArrow(lean(_candidates(percent)), "u long, v long"), "op8-candidates")
 
     member = clusters.join(classes.select("sid", "n", "doc_id"), clusters.node == F.col("sid")).select("sid", "root", "n", "doc_id")
     member = materialize(member.withColumn("blk", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("n", "sid")) - 1) / CLUSTER_BLOCK).cast("int")), "op8-members")
@@ -368,9 +370,9 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.blk") <= F.col("b.blk")) & (100 * F.col("a.most") >= percent * F.col("b.least")))
     pairs = pairs.select(F.col("a.root").alias("root"), F.xxhash64("a.root", "a.blk", "b.blk").alias("block"), F.explode(F.array_distinct(F.array(F.struct(F.col("a.blk").alias("blk"), F.lit(0).alias("part")), F.struct(F.col("b.blk").alias("blk"), F.when(F.col("a.blk") == F.col("b.blk"), 0).otherwise(1).alias("part"))))).alias("x")).select("root", "block", "x.blk", "x.part")
     wanted = member.select(F.col("doc_id").alias("_id"), "sid")
-    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text").mapInArrow(_full_sets, "sid long, tokens binary").dropDuplicates(["sid"])
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text").mapInArrow(lean(_full_sets), "sid long, tokens binary").dropDuplicates(["sid"])
     blocks = member.join(pairs, ["root", "blk"]).select("sid", "block", "part").join(sets, "sid").select("block", "part", "sid", "tokens").repartition(parts, "block").sortWithinPartitions("block")
-    linked = connected_components(blocks.mapInArrow(_links(percent), "u long, v long"), "op8-links")
+    linked = connected_components(blocks.mapInArrow(lean(_links(percent)), "u long, v long"), "op8-links")
 
     label = classes.select("sid", "doc_id").join(linked, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))

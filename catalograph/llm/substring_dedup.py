@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
-from .wordgrams import U, Words, grams, mix, pack, runs_by_key, sliding_min, text_slices, unpack
+from .wordgrams import U, Words, grams, lean, mix, pack, runs_by_key, sliding_min, text_slices, unpack
 
 WINDOW, GRAM = 13, 5
 #: Stands for a null doc_id in comparisons.
 LAST = (1 << 63) - 1
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 
 
 def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,20 +272,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = shuffle_partitions(spark)
     buckets = max(64, 2 * parts)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = materialize(docs.mapInArrow(_first_pass(buckets, window), _FIRST_SQL), "op6-anchors")
+    first = materialize(docs.mapInArrow(lean(_first_pass(buckets, window)), _FIRST_SQL), "op6-anchors")
     named = first.filter("n IS NOT NULL").select("doc_id", "n", "sid", "sha")
     by_bucket = first.filter("bucket IS NOT NULL").select("bucket", "anchors", "sids", "at").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = first.filter("shared IS NOT NULL").select("sid", "shared").unionByName(by_bucket.mapInArrow(_shared_anchors, "sid long, shared long"))
+    shared = first.filter("shared IS NOT NULL").select("sid", "shared").unionByName(by_bucket.mapInArrow(lean(_shared_anchors), "sid long, shared long"))
     known = shared.groupBy("sid").agg(F.collect_list("shared").alias("known"))
     classes = named.filter(F.col("n") >= window).groupBy("sid").agg(F.min("doc_id").alias("rep"))
     wanted = known.join(classes, "sid").select(F.col("rep").alias("_id"), "sid", "known")
     asked = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "sid", "known", "text")
-    second = materialize(asked.mapInArrow(_second_pass(buckets, window), _SECOND_SQL), "op6-windows")
+    second = materialize(asked.mapInArrow(lean(_second_pass(buckets, window)), _SECOND_SQL), "op6-windows")
     blocks = second.filter("bucket IS NOT NULL").select("bucket", "hashes", "seconds", "docs", "at", "pos").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = second.filter("start IS NOT NULL").select("doc_id", "start", "len", "ref", "ref_start").unionByName(blocks.mapInArrow(_parse_blocks, _PIECE_SQL))
+    found = second.filter("start IS NOT NULL").select("doc_id", "start", "len", "ref", "ref_start").unionByName(blocks.mapInArrow(lean(_parse_blocks), _PIECE_SQL))
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "len", "ref", "ref_start")).alias("found"))
     texts = second.filter("text IS NOT NULL").select("doc_id", "sid", "text")
-    parsed = texts.join(found, F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")).select("doc_id", "sid", "text", "found").mapInArrow(_factors(window), _FACTORS_SQL)
+    parsed = texts.join(found, F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")).select("doc_id", "sid", "text", "found").mapInArrow(lean(_factors(window)), _FACTORS_SQL)
     parsed = parsed.select(F.col("doc_id").alias("_doc"), F.col("sid").alias("_sid"), "n_removed", "kept", "kept_sha", "factors").dropDuplicates(["_doc", "_sid"])
     copies = named.join(classes.select(F.col("sid").alias("_class"), "rep"), F.col("sid") == F.col("_class"), "left")
     whole = F.coalesce(F.col("rep") < F.coalesce("doc_id", F.lit(LAST)), F.lit(False))

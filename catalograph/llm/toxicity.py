@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text_crc
-from .wordgrams import U, Words, text_slices
+from .wordgrams import U, Words, lean, text_slices
 
 SAMPLE_DOCS = 12_000
 CHANNELS, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
@@ -253,7 +253,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, fold: Column, most: int = SAMPLE_DOCS) -> ToxicityModel | None:
     """A model from at most `most` labelled documents for which `fold` holds; None without any."""
     sample = labels.filter(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "toxic", "text").mapInArrow(_ids, "doc_id long, lang string, toxic int, ids binary").collect()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "toxic", "text").mapInArrow(lean(_ids), "doc_id long, lang string, toxic int, ids binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     if not rows:
         return None
@@ -275,7 +275,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str
     """The columns `keep` of docs with the score of each whole text."""
     used = docs.select(*dict.fromkeys((*keep, "text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    return used.mapInArrow(_score(model, keep), schema)
+    return used.mapInArrow(lean(_score(model, keep)), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
