@@ -136,7 +136,7 @@ def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = Fa
     return _spread(resources, use_text, extended).groupBy("i", "j").applyInPandas(score, schema)
 
 
-def block_neighbours(resources: DataFrame, k: int, count_from: float) -> DataFrame:
+def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text: bool = True) -> DataFrame:
     """(seq_a, seq_b, sim, n_above): for each resource and block its k most similar others, pairs that share nothing included, ties by seq.
 
     The first row of a resource and block has the number of others there that score count_from at least, further rows 0:
@@ -153,7 +153,7 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float) -> DataFra
         return out[out["sim"] >= 0]
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _Scores(key, pdf, True, False)
+        m = _Scores(key, pdf, use_text, False)
         if m.own:
             np.fill_diagonal(m.sim, -1.0)
             return best(m.sim, m.seq_a, m.seq_b)
@@ -161,7 +161,7 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float) -> DataFra
             return pd.DataFrame({"seq_a": [], "seq_b": [], "sim": [], "n_above": []}).astype({"seq_a": "int64", "seq_b": "int64", "sim": "float64", "n_above": "int64"})
         return pd.concat([best(m.sim, m.seq_a, m.seq_b), best(m.sim.T, m.seq_b, m.seq_a)])
 
-    return _spread(resources, True, False).groupBy("i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
+    return _spread(resources, use_text, False).groupBy("i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
 
 
 def with_ends(pairs: DataFrame, resources: DataFrame) -> DataFrame:

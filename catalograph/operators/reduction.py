@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DOMAIN_CLUSTERS, NEAR_DUPLICATE, TIER_MINIMUM, TIERS, TYPE_SHARES
+from ..schema import COVERAGE_GAP, DOMAIN_CLUSTERS, NEAR_DUPLICATE, TIER_MINIMUM, TIERS, TOP_K, TYPE_SHARES
+from .ambiguity import mean_top_ambiguity, ranked_neighbours
+from .blocks import block_neighbours
 from .pairs import mirror
 
 HIGH = dict(TIERS)["high"]
@@ -61,7 +64,7 @@ def reduce_near_duplicates(resources: DataFrame, pairs_of: Callable[[DataFrame],
     return resources, decisions
 
 
-# Growth.
+# Growth. The lines of business of candidate_profiles().
 
 
 def gaps(tier_counts: DataFrame) -> DataFrame:
@@ -70,6 +73,18 @@ def gaps(tier_counts: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("seq").orderBy("o"))).filter("_n = 1").orderBy("o", "seq").select("seq", "tier", "missing")
 
 
+def convergence(scored: DataFrame, rounds: list[int], k: int = TOP_K) -> DataFrame:
+    """(round, mean_ambiguity, n): the text-free ambiguity of all resources up to each round, rarity counted anew for each.
+
+    scored: with a column `round`. Rounds are few; each is one score of its prefix.
+    """
+    parts = []
+    for r in rounds:
+        found = block_neighbours(scored.filter(F.col("round") <= r), k, COVERAGE_GAP, use_text=False)
+        parts.append(mean_top_ambiguity(ranked_neighbours(found, k)).select(F.lit(r).alias("round"), "mean_ambiguity", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def next_type(resources: DataFrame) -> DataFrame:
     """(type, deficit): the type furthest below its share; ties in the order of the shares."""
     target = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(t).alias("type"), F.lit(s).alias("share")) for i, (t, s) in enumerate(TYPE_SHARES.items())])

@@ -444,6 +444,12 @@ def similarity_to_skills(spark, sf_dir):
     return R.max_to_skill(p.filter("sim >= 0.1"), skills)
 
 
+@query()
+def convergence_curve(spark, sf_dir):
+    """seq mod 3 stands for the round of a resource."""
+    return R.convergence(_scored(spark, sf_dir).withColumn("round", (F.col("seq") % 3).cast("int")), [0, 1, 2])
+
+
 @query()
 def distinct_namespace_sample(spark, sf_dir):
     return R.from_distinct_namespaces(_scored(spark, sf_dir), 5, 11).select("seq", "namespace")

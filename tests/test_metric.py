@@ -213,3 +213,14 @@ def test_profiles_and_clusters(spark):
     assert {r.namespace: r.cluster for r in reduction.cluster_of(ns).collect()} == {"sap.sf": "hr", "sap.s4": "procurement", "workday.hcm": "hr", "zzz": None}
     assert {r.namespace: r.others for r in reduction.related_systems(ns).collect()}["sap.sf"] == ["workday.hcm"]
     assert {r.namespace: r.others for r in reduction.related_systems(ns, inside=False).collect()}["sap.sf"] == ["sap.s4", "zzz"]
+
+
+def test_convergence(spark, catalogue):
+    """Each prefix against the plain sparse metric of that prefix."""
+    _, s = catalogue
+    staged = s.withColumn("round", (F.col("seq") % 2).cast("int"))
+    got = {r["round"]: (r.mean_ambiguity, r.n) for r in reduction.convergence(staged, [0, 1]).collect()}
+    for r in (0, 1):
+        part = staged.filter(F.col("round") <= r)
+        want = ambiguity.mean_top_ambiguity(ambiguity.completed_neighbours(pairs.sparse_pairs(part, use_text=False).persist(), part)).first()
+        assert got[r] == (want.mean_ambiguity, want.n)
