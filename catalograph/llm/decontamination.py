@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize
 
 WINDOW, GRAM = 10, 5
-#: A benchmark with fewer fingerprints than this is sent to every executor (16 bytes each); a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A benchmark with fewer fingerprints (16 bytes each), or windows (about 100 bytes), than this is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_PRINTS, BROADCAST_WINDOWS = 1_000_000, 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,8 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     known = materialize(item_windows(items.select("item_id", "text"), window, gram), "op3-windows")
     lengths = sorted(r.n for r in known.select("n").distinct().collect())
     prints = known.select("n", "fp").distinct()
-    small = prints.count() <= BROADCAST_ROWS
-    held = lambda df: F.broadcast(df) if small else df
+    sent_prints = F.broadcast(prints) if prints.count() <= BROADCAST_PRINTS else prints
 
     def hashed_spans(words: Column, n: int) -> Column:
         return F.transform(_indices(F.size(words) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("fp")))
@@ -95,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         hits = docs.select("doc_id", F.lit(0).cast("long").alias("crc"), F.lit(None).cast("array<struct<n:int,fp:long>>").alias("found")).filter(F.lit(False))
     else:
         seen = docs.select("doc_id", F.xxhash64("text").alias("crc"), F.explode(let(words_of(F.col("text")), marks_of)).alias("m")).select("doc_id", "crc", "m.n", "m.fp")
-        hits = seen.join(held(prints), ["n", "fp"]).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("n", "fp")).alias("found"))
+        hits = seen.join(sent_prints, ["n", "fp"]).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("n", "fp")).alias("found"))
     hits = hits.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
 
     def open_of(words: Column, n: int) -> Column:
@@ -117,7 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     marked = materialize(joined, "op3-open")
     open_windows = marked.select("doc_id", "crc", F.explode("open").alias("w")).select("doc_id", "crc", "w.at", "w.n", "w.content")
     by_window = known.groupBy("content").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    true = open_windows.join(held(by_window), "content")
+    if known.count() <= BROADCAST_WINDOWS:
+        by_window = F.broadcast(by_window)
+    true = open_windows.join(by_window, "content")
     per_doc = true.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     # Spans in order of their starts: each adds what lies behind the furthest end so far.
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["n"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(acc["end"], s["at"]))).alias("sum")), lambda acc: acc["sum"])
