@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The resource relation from documents and part."""
+    """The resource relation from documents and part: whole texts; the part's name is the use case of an enriched one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     part = table(spark, sf_dir, "part").filter("p_partkey < 200").select("p_partkey", "p_name")
     d = docs.join(part, F.col("p_partkey") == F.col("doc_id") % 200, "left")
@@ -28,7 +28,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.cast("string").alias("id"),
         name("sys", 7).alias("namespace"),
         kind.alias("type"),
-        F.array_join(F.slice(words, 1, 40), " ").alias("text"),
+        F.array_join(words, " ").alias("text"),
         local.alias("local_id"),
         F.array(name("E", 20), name("F", 10)).alias("entity_types"),
         F.array(name("L", 5)).alias("line_of_business"),
@@ -37,7 +37,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         enriched.alias("enriched"),
         some(name("C", 9)).alias("capabilities"),
         some(name("G", 6)).alias("groups"),
-        F.when(enriched, F.array_join(F.slice(words, 41, 20), " ")).otherwise("").alias("use_case_text"),
+        F.when(enriched, F.col("p_name")).otherwise("").alias("use_case_text"),
         some((i + 4).cast("string")).alias("process_next"),
     )
 
