@@ -75,6 +75,11 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated): items is the sorted array of item_ids, as strings, whose windows occur."""
+    return text_contamination(docs, items, window, gram).drop("crc")
+
+
+def text_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The same with crc, the xxhash64 of the text that the row is about."""
     if window <= gram:
         raise ValueError("a window must be longer than a gram")
     known = materialize(item_windows(items.select("item_id", "text"), window, gram), "op3-windows")
@@ -124,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["n"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(acc["end"], s["at"]))).alias("sum")), lambda acc: acc["sum"])
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), covered.cast("long").alias("n_hit"), "items")
     out = marked.select("doc_id", "crc", "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", marked["crc"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

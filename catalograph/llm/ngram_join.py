@@ -205,8 +205,8 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
-    """Rows of two kinds: one per document (doc_id, n, sid, map), and per slice of a batch and bucket the packed (token, set) entries of prefixes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("map", pa.binary()), ("bucket", pa.int32()), ("entries", pa.binary()), ("sids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary())])
+    """Rows of two kinds: one per document (doc_id, crc, n, sid, map), and per slice of a batch and bucket the packed (token, set) entries of prefixes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("map", pa.binary()), ("bucket", pa.int32()), ("entries", pa.binary()), ("sids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary())])
 
     def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sids = np.array(sorted(held), np.int64)
@@ -225,7 +225,7 @@ def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
                 mine, where = np.unique(at[a:b], return_inverse=True)
                 rows.append((k, pack(tokens[a:b], True), pack(sids[mine], True), pack(where.astype(np.uint32)), pack(sizes[mine])))
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, schema.field(i).type) for i in range(4)] + [pa.array(list(c), schema.field(i + 4).type) for i, c in enumerate(zip(*rows))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, schema.field(i).type) for i in range(5)] + [pa.array(list(c), schema.field(i + 5).type) for i, c in enumerate(zip(*rows))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -243,8 +243,8 @@ def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
                     level = levels[(tokens & U(len(levels) - 1)).astype(np.int64)]
                     held[sid] = (tokens[np.argsort(level, kind="stable")[:take]] if level.any() else tokens[:take], n)
                     weight += take
-            docs = [batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(docs + [pa.nulls(batch.num_rows, schema.field(i).type) for i in range(4, 9)], schema=schema)
+            docs = [batch.column("doc_id").cast(pa.int64()), batch.column("crc"), pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(docs + [pa.nulls(batch.num_rows, schema.field(i).type) for i in range(5, 10)], schema=schema)
             if weight > FLUSH:
                 yield from flush(held)
                 held, weight = {}, 0
@@ -348,15 +348,15 @@ def _links(percent: int) -> Callable:
     return run
 
 
-def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs; component_id is the least doc_id reachable by links."""
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, crc, n, sid), crc the hash of the text, sid null for an empty set; and (sid, root, doc_id): the root and least doc_id of every set."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = max(64, 2 * parts)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n int, sid long, map binary, bucket int, entries binary, sids binary, at binary, sizes binary"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("crc"), "text")
+    schema = "doc_id long, crc long, n int, sid long, map binary, bucket int, entries binary, sids binary, at binary, sizes binary"
     passed = materialize(docs.mapInArrow(lean(_prefixes(frequency_levels(docs), buckets, percent)), schema), "op8-prefixes")
-    named = passed.filter("bucket IS NULL").select("doc_id", "n", "sid", "map")
+    named = passed.filter("bucket IS NULL").select("doc_id", "crc", "n", "sid", "map")
 
     groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups), "grp long, part int, sid long").distinct()
     classes = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.max("map").alias("map"), F.min("doc_id").alias("doc_id"))
@@ -374,12 +374,27 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = member.join(pairs, ["root", "blk"]).select("sid", "block", "part").join(sets, "sid").select("block", "part", "sid", "tokens").repartition(parts, "block").sortWithinPartitions("block")
     linked = connected_components(blocks.mapInArrow(lean(_links(percent)), "u long, v long"), "op8-links")
 
-    label = classes.select("sid", "doc_id").join(linked, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
+    return named, classes.select("sid", "doc_id").join(linked, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "doc_id")
+
+
+def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs; component_id is the least doc_id reachable by links."""
+    named, label = _components(docs, percent)
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "root").select(F.col("sid").alias("_sid"), "component_id")
     return named.join(label, F.col("sid") == F.col("_sid"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def component_texts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, crc, n_rows, first): each doc_id and hash of a text with shingles once, its rows, and if it is the one to keep of its component: the least doc_id, null last, then the least hash."""
+    named, label = _components(docs, percent)
+    rows = named.filter("sid IS NOT NULL").groupBy("doc_id", "crc", "sid").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = materialize(rows.join(label.select("sid", "root"), "sid").select("root", "doc_id", "crc", "n_rows"), "op8-texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")
+    least = rows.groupBy("root").agg(F.min(order).alias("least"))
+    return rows.join(least, "root").select("doc_id", "crc", "n_rows", order.eqNullSafe(F.col("least")).alias("first"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at five words and 0.8."""
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -25,20 +25,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.filter(F.col(lang) != language_id.NONE).select(*docs.columns)
 
 
+def _at(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join of docs with keys (doc_id, crc), crc the hash of the text: rows that share a doc_id are told apart, null ones too."""
+    i, crc = fresh_name(docs.columns, "_at_id"), fresh_name(docs.columns, "_at_crc")
+    keys = keys.select(F.col("doc_id").alias(i), F.col("crc").alias(crc))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(crc)), how)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each group whose doc_id names the group (the smallest), once."""
-    groups = ngram_join.similarity_components(docs)
-    name = fresh_name(docs.columns, "_gone")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    """Keep one row of each group: one of its smallest doc_id (null last). Texts without shingles form no group and all stay."""
+    texts = materialize(ngram_join.component_texts(docs), "pipeline-texts")
+    rest = _at(docs, texts.filter("NOT first OR n_rows > 1"), "left_anti")
+    # Repeated rows of a text that stays: one of them.
+    crc = fresh_name(docs.columns, "_crc")
+    repeated = _at(docs, texts.filter("first AND n_rows > 1"), "left_semi").withColumn(crc, F.xxhash64("text")).dropDuplicates(["doc_id", crc])
+    return rest.unionByName(repeated.select(*docs.columns)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of a benchmark item occurs."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    name = fresh_name(docs.columns, "_bad")
-    bad = found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    found = decontamination.text_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _at(docs, found.filter("contaminated").select("doc_id", "crc").distinct(), "left_anti").select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,30 @@ def test_pairs_use_words_behind_the_head(spark, long_texts):
     got = {(r.seq_a, r.seq_b): r.sim for r in entry.queries()["pair_sim"](spark, folder).collect()}
     assert got and got == {k: want[k] for k in got}
     assert got[(0, 1)] != got.get((0, 3))
+
+
+def _text(name, n=40):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = "this benchmark item has more than ten words in one row for sure"
+    near = _text("near")
+    texts = [(7, near), (None, near + " end"), (None, _text("clean")), (None, _text("other")), (None, _text("copy")), (None, _text("copy")), (None, _text("copy") + " end")]
+    texts += [(8, _text("same")), (8, _text("same") + " end"), (9, _text("twice")), (9, _text("twice")), (8, _text("apart")), (10, _text("dirty") + " " + item), (10, _text("beside")), (None, item + " " + _text("nameless"))]
+    texts += [(11, None), (11, None), (None, "")]
+    folder = write(tmp_path, [(i, t, "en", "s", 1) for i, t in texts], [(1, item)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(p.STAGES)
+    out = stages["ngram_join"](spark, docs, folder)
+    key = lambda rows: sorted(rows, key=str)
+    of = lambda name, rows: [(i, t) for i, t in rows if (t or "").startswith(name)]
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and of("near", left) == [(7, near)]
+    assert [len(of(n, left)) for n in ("copy", "same", "twice")] == [1, 1, 1]
+    single = ("clean", "other", "apart", "dirty", "beside", "this")
+    assert [len(of(n, left)) for n in single] == [1] * len(single) and len(left) == 4 + len(single) + 3
+    clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, out, folder).collect()]
+    assert key(clean) == key(x for x in left if item not in (x[1] or ""))
