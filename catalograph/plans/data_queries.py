@@ -168,7 +168,7 @@ def group_centroids(spark, sf_dir):
 
 @query()
 def cosine_kmeans(spark, sf_dir):
-    return V.cosine_kmeans(_items(spark, sf_dir), 5, 20)
+    return V.cosine_kmeans(_items(spark, sf_dir), 5)
 
 
 @query()

@@ -1,8 +1,18 @@
 """Queries over whole tables and texts, against brute force on small tables."""
 
+import os
+import re
+
 import __spark_entry__ as entry
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
+
+from catalograph.llm import ngram_join
+from catalograph.operators.reduction import reduce_near_duplicates
 
 from .frames import oracle, resource, tokens
 from .llm.helpers import write
@@ -64,3 +74,27 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert [len(of(n, left)) for n in single] == [1] * len(single) and len(left) == 4 + len(single) + 3
     clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, out, folder).collect()]
     assert key(clean) == key(x for x in left if item not in (x[1] or ""))
+
+
+def _kmeans(x, k):
+    """(clusters, rounds) until no centre moves."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = x[:1]
+    while len(c) < k:
+        c = np.vstack([c, x[np.argmin((x @ c.T).max(axis=1))]])
+    for r in range(1000):
+        at = np.argmax(x @ c.T, axis=1)
+        means = np.array([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
+        new = means / np.linalg.norm(means, axis=1, keepdims=True)
+        if np.abs(new - c).max() < 1e-12:
+            return at.tolist(), r
+        c = new
+
+
+def test_kmeans_converges(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(300, 3)).round(6)
+    pq.write_table(pa.table({"vec_id": pa.array(range(300), pa.int64()), "embedding": pa.array(x.tolist()), "label": ["a"] * 300}), tmp_path / "embeddings.parquet")
+    want, rounds = _kmeans(x, 5)
+    assert rounds > 20
+    got = {r.id: r.cluster for r in entry.queries()["cosine_kmeans"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(300)] == want
