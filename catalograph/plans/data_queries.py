@@ -543,12 +543,12 @@ rq AS (SELECT item_id AS request_id, list_distinct(regexp_extract_all(lower(text
 
 @query(_with(WORDS) + "SELECT request_id, min(seq) AS offender FROM (SELECT rq.request_id, wd.seq FROM rq LEFT JOIN wd ON len(list_intersect(rq.words, wd.words)) / (len(rq.words) + len(wd.words) - len(list_intersect(rq.words, wd.words))) > 0.85) GROUP BY 1")
 def absent_requests(spark, sf_dir):
-    """Benchmark items, and every ninth document shortened a little, against all documents."""
+    """Benchmark items and all documents against all documents, by whole texts."""
     plain = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
-    first = lambda n: F.array_join(F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda x: x != ""), 1, n), " ")
+    whole = plain(F.coalesce("text", F.lit("")))
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    requests = b.select(F.col("item_id").alias("request_id"), plain(F.col("text")).alias("words")).unionByName(d.filter("doc_id % 9 = 4").select((100000 + F.col("doc_id")).alias("request_id"), plain(first(38)).alias("words")))
-    return Q.absent_everywhere(requests, d.select(F.col("doc_id").alias("seq"), plain(first(40)).alias("words")))
+    requests = b.select(F.col("item_id").alias("request_id"), plain(F.col("text")).alias("words")).unionByName(d.select((100000 + F.col("doc_id")).alias("request_id"), whole.alias("words")))
+    return Q.absent_everywhere(requests, d.select(F.col("doc_id").alias("seq"), whole.alias("words")))
 
 
 # Texts, references and records.

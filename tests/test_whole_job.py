@@ -98,3 +98,14 @@ def test_kmeans_converges(spark, tmp_path):
     assert rounds > 20
     got = {r.id: r.cluster for r in entry.queries()["cosine_kmeans"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(300)] == want
+
+
+def test_absence_by_whole_texts(spark, tmp_path):
+    head = _text("head", 40)
+    docs = [(0, head + " " + _text("one", 60)), (1, head + " " + _text("two", 60)), (2, head + " " + _text("two", 59)), (3, _text("apart", 50) + " " + _text("two", 60)), (4, head), (13, head + " end"), (50, None)]
+    items = [(1, head + " " + _text("two", 60)), (2, _text("two", 60)), (3, _text("apart", 50) + " " + _text("two", 58))]
+    folder = write(tmp_path, [(i, t, "en", "s", 1) for i, t in docs], items)
+    words = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    near = lambda a, b: bool(a | b) and len(a & b) / len(a | b) > 0.85
+    want = {r: min((i for i, d in docs if near(words(t), words(d))), default=None) for r, t in [*items, *((100000 + i, t) for i, t in docs)]}
+    assert {r.request_id: r.offender for r in entry.queries()["absent_requests"](spark, folder).collect()} == want
