@@ -20,7 +20,7 @@ from ..operators import stats as T
 from ..operators import validate as Q
 from ..sources import records, sinks
 from ..sources.fixtures import ASSETS_SQL, assets, table
-from .core_queries import ALL, BASE, TIERED, _pairs, _r4, _scored, _with
+from .core_queries import ALL, BASE, TIERED, _block_pairs, _pairs, _r4, _scored, _with
 
 QUERIES: dict = {}
 
@@ -270,8 +270,7 @@ def certification_by_mode(spark, sf_dir):
 
 @query(CERT + "SELECT verdict, list(case_id ORDER BY case_id) AS case_ids FROM cv WHERE case_id < 2000 GROUP BY 1")
 def certification_id_lists(spark, sf_dir):
-    """Of the cases below 2,000: a report of lists."""
-    return C.ids_by_verdict(C.certify(_runs(spark, sf_dir), "mode").filter("case_id < 2000"))
+    return C.ids_by_verdict(C.certify(_runs(spark, sf_dir), "mode"))
 
 
 @query("WITH c AS (SELECT o_orderkey AS case_id, unnest(range(1, 6)) AS run FROM orders) SELECT c.case_id, c.run::INT AS run FROM c WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = c.case_id AND l_linenumber = c.run)")
@@ -463,8 +462,9 @@ def seeded_model_draw(spark, sf_dir):
 @query()
 def fitting_profiles(spark, sf_dir):
     """For the resources with missing MEDIUM neighbours: the first attribute profile in the tier, by the text-free metric."""
-    s = _scored(spark, sf_dir)
-    target = s.filter("seq % 40 = 1").withColumns({"new_type": F.col("type"), "new_namespace": F.lit("sys0")})
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
+    missing = M.tier_counts(p, s).filter("medium_needed > 0").select("seq")
+    target = s.join(missing, "seq", "left_semi").withColumns({"new_type": F.col("type"), "new_namespace": F.lit("sys0")})
     tries = R.candidate_profiles(target, "medium").withColumn("trial", F.xxhash64("seq", "strategy_no"))
     made = tries.select(F.col("trial").alias("seq"), F.lit("").alias("local_id"), F.lit("").alias("text"), "namespace", "type", "entity_types", "line_of_business", "tags", F.array().cast("array<string>").alias("industry"), F.col("seq").alias("of"), "strategy_no")
     from ..operators.features import entity_idf

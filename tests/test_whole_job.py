@@ -109,3 +109,22 @@ def test_absence_by_whole_texts(spark, tmp_path):
     near = lambda a, b: bool(a | b) and len(a & b) / len(a | b) > 0.85
     want = {r: min((i for i, d in docs if near(words(t), words(d))), default=None) for r, t in [*items, *((100000 + i, t) for i, t in docs)]}
     assert {r.request_id: r.offender for r in entry.queries()["absent_requests"](spark, folder).collect()} == want
+
+
+def test_id_lists_hold_all_cases(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    want = {}
+    for r in entry.queries()["certification_cases"](spark, folder).select("case_id", "verdict").collect():
+        want.setdefault(r.verdict, []).append(r.case_id)
+    got = {r.verdict: r.case_ids for r in entry.queries()["certification_id_lists"](spark, folder).collect()}
+    assert max(map(max, want.values())) >= 2000 and got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_profiles_for_all_medium_gaps(spark, sf):
+    """A profile of both entity types alone is 0.25 away across namespaces; sys0 itself takes a later one."""
+    need = {r.seq: r.namespace for r in entry.queries()["tier_counts"](spark, sf).filter("medium_needed > 0").collect()}
+    got = {r.seq: r for r in entry.queries()["fitting_profiles"](spark, sf).collect()}
+    assert need and set(got) == set(need)
+    assert all((r.strategy_no == 0 and r.sim == 0.25) == (need[i] != "sys0") for i, r in got.items())
