@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,12 @@ def decide(high_a: Column, high_b: Column, need: int = TIER_MINIMUM["high"]) ->
 
 
 def independent(near: DataFrame) -> DataFrame:
-    """The pairs that come first at both of their ends by (sim, seq_a, seq_b) descending in sim: none shares a resource, so all can be decided at once."""
+    """The pairs that come first at both of their ends by sim, descending, and a hash of the pair: none shares a resource, so all can be decided at once.
+
+    The hash spreads ties: of n equal copies about n / 4 pairs come first, by seq it would be one.
+    """
     order = [F.col("sim").desc(), F.col("seq_a"), F.col("seq_b")]
-    ranked = near.withColumn("_o", F.struct(-F.col("sim"), "seq_a", "seq_b"))
+    ranked = near.withColumn("_o", F.struct(-F.col("sim"), F.xxhash64("seq_a", "seq_b"), "seq_a", "seq_b"))
     ends = ranked.select("_o", F.explode(F.array("seq_a", "seq_b")).alias("end"))
     best = ends.groupBy("end").agg(F.min("_o").alias("_best"))
     a, b = best.select(F.col("end").alias("seq_a"), F.col("_best").alias("_ba")), best.select(F.col("end").alias("seq_b"), F.col("_best").alias("_bb"))
@@ -42,13 +46,13 @@ def independent(near: DataFrame) -> DataFrame:
 
 
 def reduce_near_duplicates(resources: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame, DataFrame], DataFrame] | None = None, rounds: int = 100, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(resources left, decisions). Each round scores the current resources and decides an independent set of near-duplicates.
+    """(resources left, decisions). Each round scores the current resources and decides an independent set of near-duplicates, until none is left.
 
     rewrite(resources, decided) returns the resources with B of its pairs rewritten; without it, or for a pair met
-    again, B is dropped. cut writes a snapshot (for example to the checkpoint folder) so that the plan does not grow.
+    again, B is dropped. Rewriting ends after half of `rounds`; from then on every round drops a resource. cut writes a snapshot (for example to the checkpoint folder) so that the plan does not grow.
     """
     decisions = None
-    for r in range(rounds):
+    for r in count():
         pairs = cut(pairs_of(resources))
         first = cut(independent(high_without(pairs, pairs.filter(F.col("sim") >= NEAR_DUPLICATE).select("seq_a", "seq_b", "sim"))).withColumn("action", decide(F.col("high_a"), F.col("high_b"))).withColumn("round", F.lit(r)))
         if first.isEmpty():

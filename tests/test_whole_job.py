@@ -128,3 +128,30 @@ def test_profiles_for_all_medium_gaps(spark, sf):
     got = {r.seq: r for r in entry.queries()["fitting_profiles"](spark, sf).collect()}
     assert need and set(got) == set(need)
     assert all((r.strategy_no == 0 and r.sim == 0.25) == (need[i] != "sys0") for i, r in got.items())
+
+
+def test_reduction_of_many_copies(spark):
+    """140 equal resources in a few rounds: one of them stays, by pairs that share no resource."""
+    n, rounds = 140, []
+
+    def pairs_of(df):
+        rounds.append(1)
+        a, b = df.selectExpr("seq AS seq_a"), df.selectExpr("seq AS seq_b")
+        return a.join(b, F.col("seq_a") < F.col("seq_b")).withColumn("sim", F.when(F.col("seq_b") < n, 0.9).otherwise(0.1))
+
+    def cut(df):
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    left, decisions = reduce_near_duplicates(spark.range(n + 2).withColumnRenamed("id", "seq"), pairs_of, cut=cut)
+    assert sorted(r.seq for r in left.collect()) == [0, n, n + 1]
+    made = decisions.collect()
+    assert len(made) == n - 1 and len(rounds) < 60
+    for r in {d.round for d in made}:
+        ends = [x for d in made if d.round == r for x in (d.seq_a, d.seq_b)]
+        assert len(ends) == len(set(ends))
+
+
+def test_reduction_goes_on_after_the_rounds_of_rewriting(spark):
+    pairs = lambda df: df.selectExpr("seq AS seq_a").join(df.selectExpr("seq AS seq_b"), F.col("seq_a") < F.col("seq_b")).withColumn("sim", F.lit(0.9))
+    left, _ = reduce_near_duplicates(spark.range(6).withColumnRenamed("id", "seq"), pairs, rounds=1, cut=lambda df: spark.createDataFrame(df.collect(), df.schema))
+    assert left.count() == 1
