@@ -262,43 +262,47 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(percent: int) -> Callable:
     """For each bucket: sets that share a token, as rows (grp, part, sid); groups with the same members once."""
-    for rows in runs_by_key(batches, "bucket"):
-        token, sid, n = [], [], []
-        for entries, sids, at, sizes in zip(*(rows.column(c).to_pylist() for c in ("entries", "sids", "at", "sizes"))):
-            where = unpack(at, np.uint32)
-            token.append(unpack(entries, np.uint64, True))
-            sid.append(unpack(sids, np.int64, True)[where])
-            n.append(unpack(sizes, np.uint32)[where])
-        token, sid, n = np.concatenate(token), np.concatenate(sid), np.concatenate(n)
-        order = np.lexsort((sid, token))
-        token, sid, n = token[order], sid[order], n[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid, n = token[new], sid[new], n[new]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        counts = np.diff(np.append(starts, len(token)))
-        name = np.add.reduceat(mix(sid.view(np.uint64)), starts) ^ mix(counts.astype(np.uint64))
-        _, once = np.unique(np.where(counts > 1, name, U(0)), return_index=True)
-        once = once[counts[once] > 1]
-        small, large = once[counts[once] <= GROUP_BLOCK], once[counts[once] > GROUP_BLOCK]
-        c = counts[small]
-        at = np.repeat(starts[small] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum()) if len(small) else np.zeros(0, np.int64)
-        out = [(_signed(np.repeat(name[small], c)), np.zeros(len(at), np.int32), sid[at])]
-        for k in large.tolist():
-            a, b = starts[k], starts[k] + counts[k]
-            by_size = a + np.argsort(n[a:b], kind="stable")
-            blocks = [by_size[i : i + GROUP_BLOCK] for i in range(0, len(by_size), GROUP_BLOCK)]
-            for i, x in enumerate(blocks):
-                for j, y in enumerate(blocks[i:], i):
-                    if 100 * int(n[x[-1]]) >= PERCENT * int(n[y[0]]):
-                        key = mix(np.array([int(name[k]) ^ (i << 20) ^ (j << 42)], np.uint64))
-                        both = [(x, 0)] if i == j else [(x, 0), (y, 1)]
-                        out += [(_signed(np.repeat(key, len(z))), np.full(len(z), p, np.int32), sid[z]) for z, p in both]
-        for g, p, s in out:
-            if len(g):
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(p), pa.array(s)], ["grp", "part", "sid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_by_key(batches, "bucket"):
+            token, sid, n = [], [], []
+            for entries, sids, at, sizes in zip(*(rows.column(c).to_pylist() for c in ("entries", "sids", "at", "sizes"))):
+                where = unpack(at, np.uint32)
+                token.append(unpack(entries, np.uint64, True))
+                sid.append(unpack(sids, np.int64, True)[where])
+                n.append(unpack(sizes, np.uint32)[where])
+            token, sid, n = np.concatenate(token), np.concatenate(sid), np.concatenate(n)
+            order = np.lexsort((sid, token))
+            token, sid, n = token[order], sid[order], n[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+            token, sid, n = token[new], sid[new], n[new]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            counts = np.diff(np.append(starts, len(token)))
+            name = np.add.reduceat(mix(sid.view(np.uint64)), starts) ^ mix(counts.astype(np.uint64))
+            _, once = np.unique(np.where(counts > 1, name, U(0)), return_index=True)
+            once = once[counts[once] > 1]
+            small, large = once[counts[once] <= GROUP_BLOCK], once[counts[once] > GROUP_BLOCK]
+            c = counts[small]
+            at = np.repeat(starts[small] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum()) if len(small) else np.zeros(0, np.int64)
+            out = [(_signed(np.repeat(name[small], c)), np.zeros(len(at), np.int32), sid[at])]
+            for k in large.tolist():
+                a, b = starts[k], starts[k] + counts[k]
+                by_size = a + np.argsort(n[a:b], kind="stable")
+                blocks = [by_size[i : i + GROUP_BLOCK] for i in range(0, len(by_size), GROUP_BLOCK)]
+                for i, x in enumerate(blocks):
+                    for j, y in enumerate(blocks[i:], i):
+                        if 100 * int(n[x[-1]]) >= percent * int(n[y[0]]):
+                            key = mix(np.array([int(name[k]) ^ (i << 20) ^ (j << 42)], np.uint64))
+                            both = [(x, 0)] if i == j else [(x, 0), (y, 1)]
+                            out += [(_signed(np.repeat(key, len(z))), np.full(len(z), p, np.int32), sid[z]) for z, p in both]
+            for g, p, s in out:
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(p), pa.array(s)], ["grp", "part", "sid"])
+
+    return run
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -358,7 +362,7 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     passed = materialize(docs.mapInArrow(lean(_prefixes(frequency_levels(docs), buckets, percent)), schema), "op8-prefixes")
     named = passed.filter("bucket IS NULL").select("doc_id", "crc", "n", "sid", "map")
 
-    groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups), "grp long, part int, sid long").distinct()
+    groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups(percent)), "grp long, part int, sid long").distinct()
     classes = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.max("map").alias("map"), F.min("doc_id").alias("doc_id"))
     met = groups.join(classes.select("sid", "n", "map"), "sid").select("grp", "part", "sid", "n", "map").repartition(parts, "grp").sortWithinPartitions("grp")
     clusters = connected_components(met.mapInArrow(lean(_candidates(percent)), "u long, v long"), "op8-candidates")

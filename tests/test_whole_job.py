@@ -155,3 +155,21 @@ def test_reduction_goes_on_after_the_rounds_of_rewriting(spark):
     pairs = lambda df: df.selectExpr("seq AS seq_a").join(df.selectExpr("seq AS seq_b"), F.col("seq_a") < F.col("seq_b")).withColumn("sim", F.lit(0.9))
     left, _ = reduce_near_duplicates(spark.range(6).withColumnRenamed("id", "seq"), pairs, rounds=1, cut=lambda df: spark.createDataFrame(df.collect(), df.schema))
     assert left.count() == 1
+
+
+def test_groups_below_80_percent_keep_links(monkeypatch):
+    """Texts that are heads of one text: their Jaccard is the ratio of their sizes. Blocks of two sets."""
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 2)
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words[:n]) for n in range(44, 105, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], ["doc_id", "crc", "text"])
+    table = pa.Table.from_batches(ngram_join._prefixes(np.zeros(16, np.uint8), 4, 50)(iter([batch])))
+    rows = table.filter(pa.compute.is_valid(table["bucket"])).select(["bucket", "entries", "sids", "at", "sizes"]).sort_by("bucket")
+    met = {}
+    for out in ngram_join._groups(50)(iter(rows.combine_chunks().to_batches())):
+        for g, s in zip(out.column("grp").to_pylist(), out.column("sid").to_pylist()):
+            met.setdefault(g, set()).add(s)
+    sets = [set(x.tolist()) for x in ngram_join.shingle_sets(pa.array(texts))]
+    ids = [ngram_join.set_id(x) for x in ngram_join.shingle_sets(pa.array(texts))]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    assert linked and all(any({ids[i], ids[j]} <= m for m in met.values()) for i, j in linked)
