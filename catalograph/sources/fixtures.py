@@ -47,12 +47,12 @@ ASSETS_SQL = r"""
 words AS (SELECT doc_id, lang, n_chars, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 asset AS (SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, 'sys' || (doc_id % 7) AS namespace,
   CASE lang WHEN 'en' THEN 'apiResource' WHEN 'fr' THEN 'agent' WHEN 'de' THEN 'dataProduct' ELSE 'entityType' END AS type,
-  array_to_string(ws[1:40], ' ') AS text, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS local_id,
+  array_to_string(ws, ' ') AS text, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS local_id,
   ['E' || (doc_id % 20), 'F' || (doc_id % 10)] AS entity_types, ['L' || (doc_id % 5)] AS line_of_business, ['T' || (doc_id % 10), 'U' || (n_chars % 3)] AS tags,
   CASE WHEN doc_id % 4 = 0 THEN ['I' || (doc_id % 8)] ELSE CAST([] AS VARCHAR[]) END AS industry, doc_id % 4 = 1 AS enriched,
   CASE WHEN doc_id % 4 = 1 THEN ['C' || (doc_id % 9)] ELSE CAST([] AS VARCHAR[]) END AS capabilities,
   CASE WHEN doc_id % 4 = 1 THEN ['G' || (doc_id % 6)] ELSE CAST([] AS VARCHAR[]) END AS groups,
-  CASE WHEN doc_id % 4 = 1 THEN array_to_string(ws[41:60], ' ') ELSE '' END AS use_case_text,
+  CASE WHEN doc_id % 4 = 1 THEN p_name ELSE '' END AS use_case_text,
   CASE WHEN doc_id % 4 = 1 THEN [CAST(doc_id + 4 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS process_next
   FROM words LEFT JOIN part ON p_partkey = doc_id % 200)
 """

@@ -6,16 +6,14 @@ import re
 import __spark_entry__ as entry
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from catalograph.llm import ngram_join
 from catalograph.operators.reduction import reduce_near_duplicates
 
 from .frames import oracle, resource, tokens
-from .llm.helpers import write
+from .tables import write
 
 LANGS = {"en": "apiResource", "fr": "agent", "de": "dataProduct", "es": "entityType"}
 
@@ -53,29 +51,6 @@ def _text(name, n=40):
     return " ".join(f"{name}{i}" for i in range(n))
 
 
-def test_pipeline_decides_by_row(spark, tmp_path):
-    import corpus_pipeline as p
-
-    item = "this benchmark item has more than ten words in one row for sure"
-    near = _text("near")
-    texts = [(7, near), (None, near + " end"), (None, _text("clean")), (None, _text("other")), (None, _text("copy")), (None, _text("copy")), (None, _text("copy") + " end")]
-    texts += [(8, _text("same")), (8, _text("same") + " end"), (9, _text("twice")), (9, _text("twice")), (8, _text("apart")), (10, _text("dirty") + " " + item), (10, _text("beside")), (None, item + " " + _text("nameless"))]
-    texts += [(11, None), (11, None), (None, "")]
-    folder = write(tmp_path, [(i, t, "en", "s", 1) for i, t in texts], [(1, item)])
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    stages = dict(p.STAGES)
-    out = stages["ngram_join"](spark, docs, folder)
-    key = lambda rows: sorted(rows, key=str)
-    of = lambda name, rows: [(i, t) for i, t in rows if (t or "").startswith(name)]
-    left = [(r.doc_id, r.text) for r in out.collect()]
-    assert out.columns == docs.columns and of("near", left) == [(7, near)]
-    assert [len(of(n, left)) for n in ("copy", "same", "twice")] == [1, 1, 1]
-    single = ("clean", "other", "apart", "dirty", "beside", "this")
-    assert [len(of(n, left)) for n in single] == [1] * len(single) and len(left) == 4 + len(single) + 3
-    clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, out, folder).collect()]
-    assert key(clean) == key(x for x in left if item not in (x[1] or ""))
-
-
 def _kmeans(x, k):
     """(clusters, rounds) until no centre moves."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -155,21 +130,3 @@ def test_reduction_goes_on_after_the_rounds_of_rewriting(spark):
     pairs = lambda df: df.selectExpr("seq AS seq_a").join(df.selectExpr("seq AS seq_b"), F.col("seq_a") < F.col("seq_b")).withColumn("sim", F.lit(0.9))
     left, _ = reduce_near_duplicates(spark.range(6).withColumnRenamed("id", "seq"), pairs, rounds=1, cut=lambda df: spark.createDataFrame(df.collect(), df.schema))
     assert left.count() == 1
-
-
-def test_groups_below_80_percent_keep_links(monkeypatch):
-    """Texts that are heads of one text: their Jaccard is the ratio of their sizes. Blocks of two sets."""
-    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 2)
-    words = [f"w{i}" for i in range(104)]
-    texts = [" ".join(words[:n]) for n in range(44, 105, 4)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], ["doc_id", "crc", "text"])
-    table = pa.Table.from_batches(ngram_join._prefixes(np.zeros(16, np.uint8), 4, 50)(iter([batch])))
-    rows = table.filter(pa.compute.is_valid(table["bucket"])).select(["bucket", "entries", "sids", "at", "sizes"]).sort_by("bucket")
-    met = {}
-    for out in ngram_join._groups(50)(iter(rows.combine_chunks().to_batches())):
-        for g, s in zip(out.column("grp").to_pylist(), out.column("sid").to_pylist()):
-            met.setdefault(g, set()).add(s)
-    sets = [set(x.tolist()) for x in ngram_join.shingle_sets(pa.array(texts))]
-    ids = [ngram_join.set_id(x) for x in ngram_join.shingle_sets(pa.array(texts))]
-    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
-    assert linked and all(any({ids[i], ids[j]} <= m for m in met.values()) for i, j in linked)
