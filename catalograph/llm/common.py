@@ -21,17 +21,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"file://{os.path.join(tempfile.gettempdir(), 'catalograph-shared')}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'catalograph-shared')}"
+
+
+#: Shuffle files of a write go when it ends: the table holds what they led to.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """The intermediate tables of one run, in a folder of their own below the shared one.
+
+    write() cuts the lineage with Parquet files that outlive any executor; delete() removes tables that nothing reads any more. What
+    a result still reads stays until the shared folder is cleaned.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path = spark, f"{shared_root(spark)}/catalograph/{tag}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df written as table `name` and read back."""
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN)
+            else:
+                self.spark.conf.set(_CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def delete(self, *names: str) -> None:
+        """Delete tables by name."""
+        for name in names:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage with files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/catalograph/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, tag).write(df, "table")
 
 
 def ascii_lower(text: Column) -> Column:
