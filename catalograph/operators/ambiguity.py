@@ -155,3 +155,30 @@ def mean_top_ambiguity(neighbours: DataFrame, among: DataFrame | None = None) ->
     """Mean over resources of the mean of their ranked sims."""
     rows = neighbours.join(among.select(F.col("seq").alias("seq_a")), "seq_a", "left_semi") if among is not None else neighbours
     return rows.groupBy("seq_a").agg(F.avg("sim").alias("m")).agg(round4(F.avg("m")).alias("mean_ambiguity"), F.count(F.lit(1)).alias("n"))
+
+
+def page_counters(report: DataFrame, tier_counts: DataFrame) -> DataFrame:
+    """One row over ground truth types: all, eligible (every tier met), with three HIGH neighbours, hard or very hard, coverage gaps, greatest score."""
+    r = report.filter("can_be_ground_truth").join(tier_counts.select("seq", "high", "done"), "seq", "left")
+    return r.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.coalesce("done", F.lit(False))).alias("eligible"),
+        F.count_if(F.coalesce("high", F.lit(0)) >= TIER_MINIMUM["high"]).alias("with_high"),
+        F.count_if(F.col("difficulty_band").isin("hard", "very_hard")).alias("hard_or_more"),
+        F.count_if("coverage_gap").alias("coverage_gaps"),
+        F.coalesce(F.max("ambiguity_score"), F.lit(1.0)).alias("max_score"),
+    )
+
+
+def shown_rows(report: DataFrame, only_eligible: bool = False, types: tuple[str, ...] = (), eligible: str = "eligible") -> DataFrame:
+    """Rows of the page: eligible ones if asked for, and of the chosen types (all if none is chosen)."""
+    shown = report.filter(F.col(eligible)) if only_eligible else report
+    return shown.filter(F.col("type").isin(*types)) if types else shown
+
+
+def neighbour_table(pairs: DataFrame, tiers: tuple[str, ...] = (), by: str = "sim", ascending: bool = False) -> DataFrame:
+    """The neighbours of each resource (mirrored pairs) in the chosen tiers (all if none is chosen), numbered by a column, ties by seq."""
+    rows = pairs.withColumn("tier", tier(F.col("sim")))
+    rows = rows.filter(F.col("tier").isin(*tiers)) if tiers else rows
+    order = F.col(by).asc() if ascending else F.col(by).desc()
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("seq_a").orderBy(order, "seq_b")))

@@ -29,6 +29,11 @@ def summary(certified: DataFrame, *by: str) -> DataFrame:
     return certified.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), *[count(v).alias(v) for v in ("robust", "borderline", "too_easy")], F.round(100.0 * count("robust") / F.count(F.lit(1)), 1).alias("robust_pct"), F.round(F.avg("difficulty") + 1e-10, 4).alias("mean_difficulty"))
 
 
+def subset_summary(certified: DataFrame, modes: tuple[str, ...], mode: str = "mode") -> DataFrame:
+    """One row for the cases of some modes together: cases, robust ones, their share, mean difficulty."""
+    return summary(certified.filter(F.col(mode).isin(*modes))).select("cases", "robust", "robust_pct", "mean_difficulty")
+
+
 def ids_by_verdict(certified: DataFrame) -> DataFrame:
     """(verdict, case_ids in order)."""
     return certified.groupBy("verdict").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))

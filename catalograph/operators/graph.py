@@ -82,13 +82,13 @@ def incoming_relations(entities: DataFrame) -> DataFrame:
 
 
 def agent_calls(dependencies: DataFrame, agents: DataFrame) -> DataFrame:
-    """(agent_id, target_id): a dependency belongs to the agent of its system with the same local id in lower case.
+    """(agent_id, target_id): a dependency `...:integrationDependency:<local>-to-...` belongs to the agent of its system with that local id, in lower case.
 
     dependencies: (namespace, id, aspects); agents: (namespace, id).
     """
-    key = lambda c: F.lower(id_segment(F.col(c), 2))
-    a = agents.select("namespace", F.col("id").alias("agent_id"), key("id").alias("_k"))
-    d = dependencies.select("namespace", key("id").alias("_k"), F.explode("aspects").alias("x"))
+    a = agents.select("namespace", F.col("id").alias("agent_id"), F.lower(id_segment(F.col("id"), 2)).alias("_k"))
+    local = F.nullif(F.lower(F.regexp_extract("id", ":integrationDependency:([^:]+)-to-", 1)), F.lit(""))
+    d = dependencies.select("namespace", local.alias("_k"), F.explode("aspects").alias("x"))
     refs = F.flatten(F.array(*[F.coalesce(F.transform(F.col(f"x.{c}"), lambda t: t["ordId"]), F.array().cast("array<string>")) for c in ("apiResources", "eventResources", "dataProducts")]))
     return d.join(a, ["namespace", "_k"]).select("agent_id", F.explode(refs).alias("target_id")).filter("target_id IS NOT NULL").distinct()
 

@@ -153,6 +153,12 @@ def candidate_profiles(target: DataFrame, tier_name: str, other_types: dict[str,
     return target.select("seq", F.posexplode(tries).alias("strategy_no", "p")).select("seq", "strategy_no", "p.*")
 
 
+def nth_candidate(scores: DataFrame, n: int, target: str = "target_seq", candidate: str = "seq", by: str = "sim") -> DataFrame:
+    """For each target its n-th best candidate: one for each attempt, ties by seq."""
+    rank = F.row_number().over(Window.partitionBy(target).orderBy(F.col(by).desc(), candidate))
+    return scores.withColumn("_n", rank).filter(F.col("_n") == n).drop("_n")
+
+
 def first_fitting(scored_profiles: DataFrame, tier_name: str) -> DataFrame:
     """(seq, strategy_no, sim) of the first profile inside the tier."""
     names = [t for t, _ in TIERS]
@@ -170,36 +176,36 @@ def aligned(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     return j.withColumns({"entity_types": F.col("_e"), "line_of_business": F.col("_l"), "tags": F.array_union("tags", "_t")}).drop("_e", "_l", "_t")
 
 
-# Seeded choices: a hash of (seed, id) orders the rows, so every choice can be repeated.
+# Seeded choices: a digest of (seed, id) orders the rows, so every choice can be repeated, here and in SQL.
 
 
-def hash_order(id_: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), id_)
+def hash_order(*ids: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[x.cast("string") for x in ids]))
 
 
 def sample(rows: DataFrame, n: int, seed: int, by: Column | None = None) -> DataFrame:
     """n rows in seeded order; of the 3 * n greatest by `by`, if given."""
     pool = rows.orderBy(by.desc(), "seq").limit(3 * n) if by is not None else rows
-    return pool.orderBy(hash_order(F.col("seq"), seed), "seq").limit(n)
+    return pool.orderBy(hash_order(F.col("seq"), seed=seed), "seq").limit(n)
 
 
 def from_distinct_namespaces(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows in seeded order, one for each namespace at most."""
-    first = F.row_number().over(Window.partitionBy("namespace").orderBy(hash_order(F.col("seq"), seed), "seq"))
-    return rows.withColumn("_n", first).filter("_n = 1").drop("_n").orderBy(hash_order(F.col("seq"), seed), "seq").limit(n)
+    first = F.row_number().over(Window.partitionBy("namespace").orderBy(hash_order(F.col("seq"), seed=seed), "seq"))
+    return rows.withColumn("_n", first).filter("_n = 1").drop("_n").orderBy(hash_order(F.col("seq"), seed=seed), "seq").limit(n)
 
 
 def first_distractor(pairs: DataFrame, skill: DataFrame, seed: int) -> DataFrame:
     """For each resource the first HIGH neighbour (closed window) in seeded order that no skill holds."""
     near = mirror(pairs.select("seq_a", "seq_b", "sim")).filter((F.col("sim") >= HIGH) & (F.col("sim") <= NEAR_DUPLICATE)).join(skill.select(F.col("seq").alias("seq_b")), "seq_b", "left_anti")
-    return near.groupBy("seq_a").agg(F.min_by(F.struct("seq_b", "sim"), F.struct(F.xxhash64(F.lit(seed), "seq_a", "seq_b"), "seq_b")).alias("d")).select("seq_a", "d.*")
+    return near.groupBy("seq_a").agg(F.min_by(F.struct("seq_b", "sim"), F.struct(hash_order(F.col("seq_a"), F.col("seq_b"), seed=seed), F.col("seq_b"))).alias("d")).select("seq_a", "d.*")
 
 
 def draw_model(resources: DataFrame, seed: int, draws: int = 50, gt: int = 4, other: int = 4) -> DataFrame:
     """(draw, ids): the first seeded draw of gt + other resources with three namespaces, an agent and an API among them."""
     kind = F.col("type").isin(*TYPE_SHARES)
     rows = resources.select("seq", "namespace", "type", kind.alias("gt"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    nth = F.row_number().over(Window.partitionBy("draw", "gt").orderBy(F.xxhash64(F.lit(seed), "draw", "seq"), "seq"))
+    nth = F.row_number().over(Window.partitionBy("draw", "gt").orderBy(hash_order(F.col("draw"), F.col("seq"), seed=seed), "seq"))
     taken = rows.withColumn("n", nth).filter(F.col("n") <= F.when(F.col("gt"), gt).otherwise(other))
     sets = taken.groupBy("draw").agg(F.array_sort(F.collect_list("seq")).alias("ids"), F.count_distinct("namespace").alias("k"), F.bool_or(F.col("type") == "agent").alias("a"), F.bool_or(F.col("type") == "apiResource").alias("b"), F.count(F.lit(1)).alias("n"))
     return sets.filter(f"k >= 3 AND a AND b AND n = {gt + other}").orderBy("draw").limit(1).select("draw", "ids")

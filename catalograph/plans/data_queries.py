@@ -443,23 +443,12 @@ def similarity_to_skills(spark, sf_dir):
     return R.max_to_skill(p.filter("sim >= 0.1"), skills)
 
 
-@query()
-def convergence_curve(spark, sf_dir):
-    """seq mod 3 stands for the round of a resource."""
-    return R.convergence(_scored(spark, sf_dir).withColumn("round", (F.col("seq") % 3).cast("int")), [0, 1, 2])
-
-
-@query()
-def distinct_namespace_sample(spark, sf_dir):
-    return R.from_distinct_namespaces(_scored(spark, sf_dir), 5, 11).select("seq", "namespace")
-
-
-@query()
-def seeded_model_draw(spark, sf_dir):
-    return R.draw_model(assets(spark, sf_dir), 7)
-
-
-@query()
+@query(
+    TIERED.rstrip()
+    + f""", mt AS (SELECT s.* FROM s JOIN tcs USING (seq) WHERE tcs.medium_needed > 0),
+f0 AS (SELECT seq, {_r4("(x.idf / (x.idf + y.idf) + 1) / 6")} AS one FROM mt JOIN ei x ON x.entity_type = list_sort(entity_types)[1] JOIN ei y ON y.entity_type = list_sort(entity_types)[2])
+SELECT seq, CASE WHEN namespace <> 'sys0' THEN 0 WHEN one >= 0.25 THEN 7 ELSE 8 END AS strategy_no, CASE WHEN namespace <> 'sys0' THEN 0.25 WHEN one >= 0.25 THEN one ELSE 0.3333 END AS sim FROM mt JOIN f0 USING (seq)"""
+)
 def fitting_profiles(spark, sf_dir):
     """For the resources with missing MEDIUM neighbours: the first attribute profile in the tier, by the text-free metric."""
     s, p = _block_pairs(spark, sf_dir, least=0.1)

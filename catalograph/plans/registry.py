@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core_queries, data_queries
+from . import choice_queries, core_queries, data_queries, source_queries
 
 
 def _all() -> dict:
-    return {**core_queries.QUERIES, **data_queries.QUERIES}
+    return {**core_queries.QUERIES, **data_queries.QUERIES, **source_queries.QUERIES, **choice_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +18,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'catalograph-shared')}"
+    return f"{root.rstrip('/')}/catalograph/{tag}-{uuid.uuid4().hex}"

@@ -80,6 +80,13 @@ def number(resources_: DataFrame) -> DataFrame:
     return resources_.withColumn("seq", (F.row_number().over(Window.orderBy("load_order")) - 1).cast("long")).drop("load_order")
 
 
+def package_titles(docs: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+    """(namespace, package_id, title): the given title of the system, else the package's own, else the namespace."""
+    given = F.create_map(*[F.lit(x) for kv in (titles or {}).items() for x in kv]) if titles else None
+    own = [F.try_element_at(given, F.col("namespace"))] if titles else []
+    return packages(docs).select("namespace", "package_id", F.coalesce(*own, "package_title", "namespace").alias("title"))
+
+
 def entity_types(docs: DataFrame) -> DataFrame:
     """The entity catalogue of the taxonomy: (id, title, description, package_title, related[])."""
     rows = docs.filter(F.col("namespace") == TAXONOMY_NAMESPACE).select("namespace", F.explode("entityTypes").alias("e"))
@@ -107,6 +114,22 @@ def by_id(resources_: DataFrame, ord_id: str) -> DataFrame:
     return resources_.filter(F.col("id") == ord_id).orderBy("seq").limit(1)
 
 
+def of_ids(lists: DataFrame, resources_: DataFrame, ids: str = "ids") -> DataFrame:
+    """The resources of lists of ids (with the other columns of `lists` and the position in the list); unknown ids are dropped."""
+    rows = lists.select(*[c for c in lists.columns if c != ids], F.posexplode(ids).alias("position", "id"))
+    return rows.join(resources_, "id")
+
+
+def grouped(resources_: DataFrame, *by: str) -> DataFrame:
+    """The ids of each group in order, and their number: by type within a system, or by namespace for usages."""
+    return resources_.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+def titled_order(rows: DataFrame, title: str, within: str) -> DataFrame:
+    """rows numbered from 1 by title in the order of its locale, inside each value of `within`."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(within).orderBy(F.collate(F.col(title), "UNICODE"))))
+
+
 def ground_truth(resources_: DataFrame, eligible: DataFrame) -> DataFrame:
     """Resources whose seq is among the eligible ones."""
     return resources_.join(eligible.select("seq"), "seq", "left_semi")

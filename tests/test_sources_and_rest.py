@@ -17,7 +17,7 @@ def dump(path, value):
 def test_catalogue_with_fallback_and_packages(spark, tmp_path):
     api = {"ordId": "sys.a:apiResource:Orders:v1", "title": "Orders", "partOfPackage": "p1", "lineOfBusiness": [], "exposedEntityTypes": [{"ordId": "sap.odm:entityType:Order:v1"}, "plain"], "industry": ["Retail"]}
     agent = {"ordId": "sys.a:agent:Helper:v1", "title": "Helper", "relatedEntityTypes": ["sap.odm:entityType:Order:v1"], "entityTypeMappings": [{"entityTypeTargets": [{"ordId": "sap.odm:entityType:Item:v1"}]}]}
-    dump(tmp_path / "systems/sys.a/ord.json", {"apiResources": [api], "agents": [agent], "packages": [{"ordId": "p1", "title": "Pack", "lineOfBusiness": ["Sales"]}], "integrationDependencies": [{"ordId": "sys.a:integrationDependency:helper:v1", "aspects": [{"apiResources": [{"ordId": "sys.b:apiResource:X:v1"}]}]}]})
+    dump(tmp_path / "systems/sys.a/ord.json", {"apiResources": [api], "agents": [agent], "packages": [{"ordId": "p1", "title": "Pack", "lineOfBusiness": ["Sales"]}], "integrationDependencies": [{"ordId": "sys.a:integrationDependency:helper-to-x:v1", "aspects": [{"apiResources": [{"ordId": "sys.b:apiResource:X:v1"}]}]}]})
     dump(tmp_path / "systems/sys.b/ord.json", {"dataProducts": [{"ordId": "sys.b:dataProduct:D:v1", "title": "D"}]})
     dump(tmp_path / "systems/sap.odm/ord.json", {"entityTypes": [{"ordId": "sap.odm:entityType:Order:v1", "title": "Order", "relatedEntityTypes": [{"ordId": "sap.odm:entityType:Item:v1"}]}]})
     dump(tmp_path / "systems_enriched/sys.a/ord_enriched.json", {"apiResources": [{**api, "capabilities": ["c"]}], "agents": [agent], "packages": [{"ordId": "p1", "title": "Pack", "lineOfBusiness": ["Sales"]}]})
