@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _down(df: DataFrame) -> DataFrame:
@@ -19,15 +19,17 @@ def _down(df: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge: root is the least node of its component."""
-    now = materialize(_down(edges.select("u", "v")), tag)
+    run = Scratch(edges.sparkSession, tag)
+    now = run.write(_down(edges.select("u", "v")), "0")
     mark = None
-    for _ in range(most_rounds):
+    for r in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(_down(small), tag)
+        now = run.write(_down(small), str(r))
+        run.delete(str(r - 1))
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -14,11 +14,13 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased), held as 64-b
    documents; pairs of blocks for large clusters, dropped if their sizes cannot fit), and the same dual traversal runs
    again, now ending in exact intersections. Its spanning forests give the components of the links.
 
-No step emits all pairs of a group, and none is sampled or capped: larger groups become more blocks.
+No step emits all pairs of a group, and none is sampled or capped: larger groups become more blocks. The blocks of a cluster
+are cut by counts of (cluster, size), so no cluster is ever sorted in one task.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; fewer than five words are one
 shingle, the whole sequence; equal sets are one class whatever their number; rows that share a doc_id are separate
-texts with the same name; a null doc_id counts as larger than any other; only doc_id and text are read.
+texts with the same name, null doc_ids too (rows are told apart by doc_id and a hash of the text); a null doc_id counts as larger
+than any other; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import Scratch, shuffle_partitions
 from .components import connected_components
 from .wordgrams import U, Words, grams, lean, mix, pack, runs_by_key, text_slices, unpack
 
@@ -41,8 +43,9 @@ SKETCH_BITS = 22
 #: Sets in one block of a group and of a cluster.
 GROUP_BLOCK, CLUSTER_BLOCK = 2048, 512
 LEAF, FANOUT = 16, 4
+ROWS, ENTRIES = 0, 1
 #: Prefix tokens that a task holds before it packs them.
-FLUSH = 1_500_000
+FLUSH = 500_000
 
 
 def needed(total: int, percent: int = PERCENT) -> int:
@@ -205,8 +208,8 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
-    """Rows of two kinds: one per document (doc_id, crc, n, sid, map), and per slice of a batch and bucket the packed (token, set) entries of prefixes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("map", pa.binary()), ("bucket", pa.int32()), ("entries", pa.binary()), ("sids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary())])
+    """Rows of two kinds: one per document (doc_id, crc, n, sid, map), and per bucket and some texts the packed (token, set) entries of prefixes."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("map", pa.binary()), ("bucket", pa.int32()), ("entries", pa.binary()), ("sids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary())])
 
     def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sids = np.array(sorted(held), np.int64)
@@ -225,7 +228,7 @@ def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
                 mine, where = np.unique(at[a:b], return_inverse=True)
                 rows.append((k, pack(tokens[a:b], True), pack(sids[mine], True), pack(where.astype(np.uint32)), pack(sizes[mine])))
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, schema.field(i).type) for i in range(5)] + [pa.array(list(c), schema.field(i + 5).type) for i, c in enumerate(zip(*rows))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([ENTRIES] * k, pa.int32())] + [pa.nulls(k, schema.field(i).type) for i in range(1, 6)] + [pa.array(list(c), schema.field(i + 6).type) for i, c in enumerate(zip(*rows))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -243,8 +246,8 @@ def _prefixes(levels: np.ndarray, buckets: int, percent: int) -> Callable:
                     level = levels[(tokens & U(len(levels) - 1)).astype(np.int64)]
                     held[sid] = (tokens[np.argsort(level, kind="stable")[:take]] if level.any() else tokens[:take], n)
                     weight += take
-            docs = [batch.column("doc_id").cast(pa.int64()), batch.column("crc"), pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(docs + [pa.nulls(batch.num_rows, schema.field(i).type) for i in range(5, 10)], schema=schema)
+            docs = [pa.array([ROWS] * batch.num_rows, pa.int32()), batch.column("doc_id").cast(pa.int64()), batch.column("crc"), pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(docs + [pa.nulls(batch.num_rows, schema.field(i).type) for i in range(6, 11)], schema=schema)
             if weight > FLUSH:
                 yield from flush(held)
                 held, weight = {}, 0
@@ -327,9 +330,14 @@ def _candidates(percent: int) -> Callable:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, tokens) of the texts whose set is the one asked for."""
+    """(sid, tokens) of texts, each set once."""
+    seen: set[int] = set()
     for batch in text_slices(batches):
-        out = [(s, t.tobytes()) for s, t in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"))) if len(t) and set_id(t) == s]
+        out = []
+        for sid, tokens in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"))):
+            if sid not in seen:
+                seen.add(sid)
+                out.append((sid, tokens.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "tokens"])
 
 
@@ -352,29 +360,44 @@ def _links(percent: int) -> Callable:
     return run
 
 
+def _blocks(member: DataFrame) -> DataFrame:
+    """member (sid, root, n, ...) with blk: a number of its block in the cluster, of about CLUSTER_BLOCK sets of like sizes.
+
+    Sets are placed by the running count over the sizes of a cluster; a size that fills more than a block is dealt by a hash of sid.
+    """
+    sizes = member.groupBy("root", "n").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("base", F.floor(before / CLUSTER_BLOCK) * (1 << 24))
+    own = F.when(F.col("c") > CLUSTER_BLOCK, 1 + F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / CLUSTER_BLOCK))).otherwise(0)
+    return member.join(sizes, ["root", "n"]).withColumn("blk", F.col("base") + own).drop("c", "base")
+
+
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, crc, n, sid), crc the hash of the text, sid null for an empty set; and (sid, root, doc_id): the root and least doc_id of every set."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets = max(64, 2 * parts)
+    run = Scratch(spark, "op8")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("crc"), "text")
-    schema = "doc_id long, crc long, n int, sid long, map binary, bucket int, entries binary, sids binary, at binary, sizes binary"
-    passed = materialize(docs.mapInArrow(lean(_prefixes(frequency_levels(docs), buckets, percent)), schema), "op8-prefixes")
-    named = passed.filter("bucket IS NULL").select("doc_id", "crc", "n", "sid", "map")
+    schema = "kind int, doc_id long, crc long, n int, sid long, map binary, bucket int, entries binary, sids binary, at binary, sizes binary"
+    passed = run.write(docs.mapInArrow(lean(_prefixes(frequency_levels(docs), buckets, percent)), schema), "prefixes")
+    named = passed.filter(f"kind = {ROWS}").select("doc_id", "crc", "n", "sid", "map")
 
-    groups = passed.filter("bucket IS NOT NULL").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups(percent)), "grp long, part int, sid long").distinct()
-    classes = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.max("map").alias("map"), F.min("doc_id").alias("doc_id"))
+    groups = passed.filter(f"kind = {ENTRIES}").select("bucket", "entries", "sids", "at", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_groups(percent)), "grp long, part int, sid long").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("least")
+    classes = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.max("map").alias("map"), least).select("sid", "n", "map", "least.doc_id", "least.crc")
     met = groups.join(classes.select("sid", "n", "map"), "sid").select("grp", "part", "sid", "n", "map").repartition(parts, "grp").sortWithinPartitions("grp")
     clusters = connected_components(met.mapInArrow(lean(_candidates(percent)), "u long, v long"), "op8-candidates")
+    member = run.write(_blocks(clusters.join(classes, clusters.node == F.col("sid")).select("sid", "root", "n", "doc_id", "crc")), "members")
 
-    member = clusters.join(classes.select("sid", "n", "doc_id"), clusters.node == F.col("sid")).select("sid", "root", "n", "doc_id")
-    member = materialize(member.withColumn("blk", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("n", "sid")) - 1) / CLUSTER_BLOCK).cast("int")), "op8-members")
     stat = member.groupBy("root", "blk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = stat.alias("a"), stat.alias("b")
-    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.blk") <= F.col("b.blk")) & (100 * F.col("a.most") >= percent * F.col("b.least")))
+    fits = (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
+    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.blk") <= F.col("b.blk")) & fits)
     pairs = pairs.select(F.col("a.root").alias("root"), F.xxhash64("a.root", "a.blk", "b.blk").alias("block"), F.explode(F.array_distinct(F.array(F.struct(F.col("a.blk").alias("blk"), F.lit(0).alias("part")), F.struct(F.col("b.blk").alias("blk"), F.when(F.col("a.blk") == F.col("b.blk"), 0).otherwise(1).alias("part"))))).alias("x")).select("root", "block", "x.blk", "x.part")
-    wanted = member.select(F.col("doc_id").alias("_id"), "sid")
-    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text").mapInArrow(lean(_full_sets), "sid long, tokens binary").dropDuplicates(["sid"])
+    wanted = member.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "sid")
+    # A sort-merge join at every size: the sets asked for grow with the documents.
+    sets = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc"))).select("sid", "text").mapInArrow(lean(_full_sets), "sid long, tokens binary")
     blocks = member.join(pairs, ["root", "blk"]).select("sid", "block", "part").join(sets, "sid").select("block", "part", "sid", "tokens").repartition(parts, "block").sortWithinPartitions("block")
     linked = connected_components(blocks.mapInArrow(lean(_links(percent)), "u long, v long"), "op8-links")
 
@@ -393,7 +416,7 @@ def component_texts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, crc, n_rows, first): each doc_id and hash of a text with shingles once, its rows, and if it is the one to keep of its component: the least doc_id, null last, then the least hash."""
     named, label = _components(docs, percent)
     rows = named.filter("sid IS NOT NULL").groupBy("doc_id", "crc", "sid").agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = materialize(rows.join(label.select("sid", "root"), "sid").select("root", "doc_id", "crc", "n_rows"), "op8-texts")
+    rows = Scratch(docs.sparkSession, "op8-texts").write(rows.join(label.select("sid", "root"), "sid").select("root", "doc_id", "crc", "n_rows"), "texts")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")
     least = rows.groupBy("root").agg(F.min(order).alias("least"))
     return rows.join(least, "root").select("doc_id", "crc", "n_rows", order.eqNullSafe(F.col("least")).alias("first"))
