@@ -1,8 +1,13 @@
-"""All pairs by blocks: the scores of two blocks of resources as matrices, for catalogues whose pairs are many.
+"""Pairs by blocks: the scores of two blocks of resources as matrices, for catalogues whose pairs are many.
 
 A block is a slice of a hash of seq (about BLOCK resources), a group is a pair of blocks, so a task holds 2 * BLOCK
-resources and BLOCK * BLOCK scores whatever the catalogue. Overlaps of sets are products of indicator matrices; text
-products go through the terms that both blocks have. Exact, like the sparse plan, and without a row per shared key.
+resources and BLOCK * BLOCK scores whatever the catalogue. Sums over common keys are products of sparse matrices: keys that many
+rows of both blocks hold go through dense slices of DENSE_KEYS columns, the others through runs of at most RUN
+products, so memory depends neither on the vocabulary nor on how often a key occurs. Exact, like the sparse plan, and without a row
+per shared key.
+
+Only blocks that can hold a wanted pair meet: with `left` (and `right`) each resource goes to the blocks of the other side, with
+`within_type` to those of its type.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from ..schema import CROSS_NAMESPACE_BONUS, TYPE_PENALTY
 from .features import entity_idf, text_features
 
 BLOCK = 1024
+#: A key whose rows in two blocks make more products than this is dense; keys of one dense slice; products of one sparse run.
+DENSE_FROM, DENSE_KEYS, RUN = 8192, 1024, 2_000_000
 _FLAT = ("local_tokens", "line_of_business", "tags", "industry")
 
 
@@ -23,52 +30,61 @@ def _vectors(resources: DataFrame, text: str, name: str) -> DataFrame:
     return text_features(resources, text).groupBy(F.col("seq").alias(f"_{name}_seq")).agg(F.collect_list(F.xxhash64("key")).alias(f"{name}_terms"), F.collect_list("weight").alias(f"{name}_weights"))
 
 
-def _overlap(values: pd.Series, weights: pd.Series | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum over common values, sum over the union) for each row of a and b."""
-    sizes = values.map(len).to_numpy()
-    row = np.repeat(np.arange(len(values)), sizes)
-    if not len(row):
-        zero = np.zeros((len(a), len(b)))
-        return zero, zero
-    _, col = np.unique(np.concatenate([np.asarray(v, dtype=object) for v in values if len(v)]).astype(str), return_inverse=True)
-    one = np.zeros((len(values), col.max() + 1))
-    one[row, col] = 1.0
-    weighted = one.copy()
-    if weights is not None:
-        weighted[row, col] = np.concatenate([np.asarray(w, float) for w in weights if len(w)])
-    total = weighted.sum(axis=1)
-    common = one[a] @ weighted[b].T
-    return common, total[a][:, None] + total[b][None, :] - common
-
-
-def _products(terms: pd.Series, weights: pd.Series, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of products over common terms."""
-
-    def long(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t, w = terms.iloc[at], weights.iloc[at]
-        row = np.repeat(np.arange(len(at)), t.map(len).to_numpy())
-        if not len(row):
-            return np.zeros(0, np.int64), row, np.zeros(0)
-        key, val = np.concatenate([np.asarray(x, np.int64) for x in t if len(x)]), np.concatenate([np.asarray(x, float) for x in w if len(x)])
-        order = np.argsort(key, kind="stable")
-        return key[order], row[order], val[order]
-
-    (ka, ra, wa), (kb, rb, wb) = long(a), long(b)
-    lo, hi = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
-    n = hi - lo
-    left = np.repeat(np.arange(len(ka)), n)
-    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return np.bincount(ra[left] * len(b) + rb[right], wa[left] * wb[right], minlength=len(a) * len(b)).reshape(len(a), len(b))
+def _entries(values: pd.Series, weights: pd.Series | None, at: np.ndarray, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, weight) of the rows `at`, by key, each once; texts become numbers of `codes`."""
+    lists = [values.iat[i] for i in at.tolist()]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = [x for v in lists for x in v]
+    key = np.fromiter((codes.setdefault(x, len(codes)) for x in flat), np.int64, len(flat)) if flat and isinstance(flat[0], str) else np.array(flat, np.int64)
+    val = np.ones(len(key)) if weights is None else np.array([x for i in at.tolist() for x in weights.iat[i]], float)
+    order = np.lexsort((row, key))
+    key, row, val = key[order], row[order], val[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[once], row[once], val[once]
+
+
+def _products(a: tuple, b: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """Sums over common keys of the products of weights."""
+    (ka, ra, wa), (kb, rb, wb) = a, b
+    out = np.zeros(shape)
+    keys, lo_a, n_a = np.unique(ka, return_index=True, return_counts=True)
+    other, lo_b, n_b = np.unique(kb, return_index=True, return_counts=True)
+    keys, i, j = np.intersect1d(keys, other, assume_unique=True, return_indices=True)
+    lo_a, n_a, lo_b, n_b = lo_a[i], n_a[i], lo_b[j], n_b[j]
+    dense = n_a * n_b > DENSE_FROM
+    at = np.flatnonzero(dense)
+    for k in range(0, len(at), DENSE_KEYS):
+        x, y = np.zeros((shape[0], DENSE_KEYS)), np.zeros((shape[1], DENSE_KEYS))
+        for to, rows, weights, lo, n in ((x, ra, wa, lo_a, n_a), (y, rb, wb, lo_b, n_b)):
+            own = at[k : k + DENSE_KEYS]
+            take = np.repeat(lo[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(n[own].sum())
+            to[rows[take], np.repeat(np.arange(len(own)), n[own])] = weights[take]
+        out += x @ y.T
+    at = np.flatnonzero(~dense)
+    cost = np.cumsum(n_a[at] * n_b[at])
+    flat = out.reshape(-1)
+    k = 0
+    while k < len(at):
+        end = max(k + 1, int(np.searchsorted(cost, (cost[k - 1] if k else 0) + RUN, "right")))
+        own, k = at[k:end], end
+        each = np.repeat(lo_a[own] - np.cumsum(n_a[own]) + n_a[own], n_a[own]) + np.arange(n_a[own].sum())
+        start, n = np.repeat(lo_b[own], n_a[own]), np.repeat(n_b[own], n_a[own])
+        left = np.repeat(each, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        flat += np.bincount(ra[left] * shape[1] + rb[right], wa[left] * wb[right], minlength=len(flat))
+    return out
 
 
 def _round4(x: np.ndarray) -> np.ndarray:
     return np.floor((x + 1e-10) * 1e4 + 0.5) / 1e4
 
 
-def _spread(resources: DataFrame, use_text: bool, extended: bool) -> DataFrame:
-    """Resources with their vectors, once for each pair of blocks (i, j) that they are in."""
-    n = resources.count()
-    k = max(1, -(-n // BLOCK))
+def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False) -> DataFrame:
+    """Resources with their vectors, once for each group (grp, i, j) of two blocks that they are in; side 0 is the first block, 1 the second, 2 both.
+
+    left and right hold the seq of the wanted sides. Rarities and weights are those of all resources.
+    """
     idf = entity_idf(resources).select("entity_type", "idf")
     rare = resources.select("seq", F.explode("entity_types").alias("entity_type")).join(idf, "entity_type").groupBy(F.col("seq").alias("_e_seq")).agg(F.collect_list("entity_type").alias("ets"), F.collect_list("idf").alias("et_weights"))
     cols = ["seq", "namespace", "type", *_FLAT, *(["capabilities", "groups"] if extended else [])]
@@ -78,8 +94,23 @@ def _spread(resources: DataFrame, use_text: bool, extended: bool) -> DataFrame:
         if wanted:
             rows = rows.join(_vectors(resources, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
             keep += [f"{name}_terms", f"{name}_weights"]
-    blocked = rows.select(*keep, F.pmod(F.xxhash64("seq"), F.lit(k)).cast("int").alias("blk"))
-    return blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
+    grp = F.coalesce("type", F.lit("")) if within_type else F.lit("")
+    size = lambda df: -(-df.count() // BLOCK) or 1
+    if left is None:
+        # Types are few; within one, blocks are slices of a hash.
+        counts = {r.grp: -(-r.n // BLOCK) for r in resources.groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        k = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("grp")] if counts else F.lit(1)
+        own = rows.select(*keep, grp.alias("grp")).withColumn("_k", k).withColumn("blk", F.pmod(F.xxhash64("seq"), F.col("_k")).cast("int"))
+        met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        side = F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1)
+        return met.select(*keep, "grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), side.alias("side"))
+    right = resources if right is None else right
+    n, m = size(left), size(right)
+    block = lambda k: F.pmod(F.xxhash64("seq"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = rows.join(left.select("seq").distinct(), "seq", "left_semi").select(*keep, grp.alias("grp"), block(n).alias("i"), every(m).alias("j"), F.lit(0).alias("side"))
+    b = rows.join(right.select("seq").distinct(), "seq", "left_semi").select(*keep, grp.alias("grp"), every(n).alias("i"), block(m).alias("j"), F.lit(1).alias("side"))
+    return a.unionByName(b)
 
 
 _LISTS = (*_FLAT, "ets", "et_weights", "capabilities", "groups", "t_terms", "t_weights", "u_terms", "u_weights")
@@ -88,21 +119,33 @@ _LISTS = (*_FLAT, "ets", "et_weights", "capabilities", "groups", "t_terms", "t_w
 class _Scores:
     """The matrices of one pair of blocks; rows and columns are in order of seq."""
 
-    def __init__(self, key: tuple, pdf: pd.DataFrame, use_text: bool, extended: bool):
+    def __init__(self, pdf: pd.DataFrame, use_text: bool, extended: bool):
         pdf = pdf.sort_values("seq", ignore_index=True)
         for c in _LISTS:
             if c in pdf.columns:
                 pdf[c] = pdf[c].map(lambda v: () if v is None or isinstance(v, float) else v)
-        blk = pdf["blk"].to_numpy()
-        a, b = np.flatnonzero(blk == key[0]), np.flatnonzero(blk == key[1])
-        ratio = lambda c, w=None: np.divide(*(x := _overlap(pdf[c], w, a, b)), out=np.zeros((len(a), len(b))), where=x[0] > 0)
-        total = sum((ratio(c) for c in _FLAT), np.zeros((len(a), len(b)))) + ratio("ets", pdf["et_weights"])
+        side = pdf["side"].to_numpy()
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        shape = (len(a), len(b))
+
+        def common(c: str, w: str | None = None, squared: bool = True) -> tuple[np.ndarray, tuple, tuple]:
+            codes: dict = {}
+            x, y = (_entries(pdf[c], pdf[w] if w else None, at, codes) for at in (a, b))
+            return _products(x, y if squared else (y[0], y[1], np.ones(len(y[0]))), shape), x, y
+
+        def ratio(c: str, w: str | None = None) -> np.ndarray:
+            """Weight of the intersection over that of the union."""
+            both, x, y = common(c, w, squared=False)
+            union = np.bincount(x[1], x[2], minlength=shape[0])[:, None] + np.bincount(y[1], y[2], minlength=shape[1])[None, :] - both
+            return np.divide(both, union, out=np.zeros(shape), where=both > 0)
+
+        total = sum((ratio(c) for c in _FLAT), np.zeros(shape)) + ratio("ets", "et_weights")
         if use_text:
-            total += _products(pdf["t_terms"], pdf["t_weights"], a, b)
+            total += common("t_terms", "t_weights")[0]
         ns, kind, seq = pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0], pdf["seq"].to_numpy()
         bonus = np.where(ns[a][:, None] == ns[b][None, :], 0.0, CROSS_NAMESPACE_BONUS)
         penalty = np.where(kind[a][:, None] == kind[b][None, :], 1.0, TYPE_PENALTY)
-        self.seq_a, self.seq_b, self.own = seq[a], seq[b], key[0] == key[1]
+        self.seq_a, self.seq_b, self.own = seq[a], seq[b], bool((side == 2).any())
         self.sim = _round4((total + bonus) / 6 * penalty)
         self.share = total > 0
         if extended:
@@ -113,27 +156,47 @@ class _Scores:
                 more += ratio(c)
             uses = pdf["u_terms"].map(len).to_numpy() > 0
             active += uses[a][:, None] & uses[b][None, :]
-            more += _products(pdf["u_terms"], pdf["u_weights"], a, b)
+            more += common("u_terms", "u_weights")[0]
             self.share, self.active, self.wide = more > 0, active, _round4((more + bonus) / (6 + active) * penalty)
 
 
-def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0) -> DataFrame:
-    """(seq_a, seq_b, sim[, sim_extended, active]) of all pairs seq_a < seq_b that share a key and score `least` at least under one metric."""
+def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False) -> DataFrame:
+    """(seq_a, seq_b, sim[, sim_extended, active]) of pairs that share a key (or of every pair) and score `least` at least under one metric.
+
+    All pairs seq_a < seq_b; with left (and right) all from a resource of left to another one of right. within_type: pairs of one
+    type only, which is all of them where `least` is more than a pair of different types can reach (OTHER_TYPE).
+    """
+    directed = left is not None
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _Scores(key, pdf, use_text, extended)
-        keep = m.share & ((np.maximum(m.sim, m.wide) if extended else m.sim) >= least)
-        if m.own:
+        m = _Scores(pdf, use_text, extended)
+        keep = (m.share | every) & ((np.maximum(m.sim, m.wide) if extended else m.sim) >= least)
+        if directed:
+            keep &= m.seq_a[:, None] != m.seq_b[None, :]
+        elif m.own:
             keep &= m.seq_a[:, None] < m.seq_b[None, :]
         p, q = np.nonzero(keep)
         x, y = m.seq_a[p], m.seq_b[q]
-        out = {"seq_a": np.minimum(x, y), "seq_b": np.maximum(x, y), "sim": m.sim[p, q]}
+        out = {"seq_a": x if directed else np.minimum(x, y), "seq_b": y if directed else np.maximum(x, y), "sim": m.sim[p, q]}
         if extended:
             out |= {"sim_extended": m.wide[p, q], "active": m.active[p, q].astype(np.int32)}
         return pd.DataFrame(out)
 
     schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "")
-    return _spread(resources, use_text, extended).groupBy("i", "j").applyInPandas(score, schema)
+    return _spread(resources, use_text, extended, left, right, within_type).groupBy("grp", "i", "j").applyInPandas(score, schema)
+
+
+def changed_pairs(resources: DataFrame, new: DataFrame, least: float = 0.0, use_text: bool = True) -> DataFrame:
+    """(seq_a, seq_b, sim) of the pairs with one end at least in `new`, each once: what adding resources adds. Only new against all is scored."""
+    found = block_pairs(resources, use_text, least=least, left=new)
+    fresh = new.select(F.col("seq").alias("seq_b"), F.lit(True).alias("_new")).distinct()
+    # A pair of two new ones comes from both sides.
+    once = found.join(fresh, "seq_b", "left").filter(F.col("_new").isNull() | (F.col("seq_a") < F.col("seq_b")))
+    return once.select(F.least("seq_a", "seq_b").alias("seq_a"), F.greatest("seq_a", "seq_b").alias("seq_b"), "sim")
+
+
+#: What a pair of different types can score at most: every part whole, and the bonus.
+OTHER_TYPE = (6 + CROSS_NAMESPACE_BONUS) / 6 * TYPE_PENALTY
 
 
 def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text: bool = True) -> DataFrame:
@@ -153,7 +216,7 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text:
         return out[out["sim"] >= 0]
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _Scores(key, pdf, use_text, False)
+        m = _Scores(pdf, use_text, False)
         if m.own:
             np.fill_diagonal(m.sim, -1.0)
             return best(m.sim, m.seq_a, m.seq_b)
@@ -161,7 +224,7 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text:
             return pd.DataFrame({"seq_a": [], "seq_b": [], "sim": [], "n_above": []}).astype({"seq_a": "int64", "seq_b": "int64", "sim": "float64", "n_above": "int64"})
         return pd.concat([best(m.sim, m.seq_a, m.seq_b), best(m.sim.T, m.seq_b, m.seq_a)])
 
-    return _spread(resources, use_text, False).groupBy("i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
+    return _spread(resources, use_text, False).groupBy("grp", "i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
 
 
 def with_ends(pairs: DataFrame, resources: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ multiplies blocks of vectors with numpy for catalogues whose pairs are many.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine, dot, l2_normalise
 from ..functions.text import round4
+from ..session import few
 
 BLOCK = 1024
 
@@ -58,13 +61,40 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"), "cos").groupBy("id").agg(F.max("cos").alias("cos"))
 
 
-def label_cohesion(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(scope, n, mean, sd) of cosines within and between labels, and within each label. labels: (id, label)."""
-    la, lb = labels.select(F.col("id").alias("id_a"), F.col("label").alias("la")), labels.select(F.col("id").alias("id_b"), F.col("label").alias("lb"))
-    named = pairs.join(la, "id_a").join(lb, "id_b")
-    same = F.col("la") == F.col("lb")
-    scope = F.explode(F.array_compact(F.array(F.when(same, "within").otherwise("between"), F.when(same, F.concat(F.lit("within:"), F.col("la").cast("string"))))))
-    return named.select(scope.alias("scope"), "cos").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), round4(F.avg("cos")).alias("mean"), round4(F.stddev_pop("cos")).alias("sd"))
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each label of a batch the sums of unit vectors (places 0 to d - 1) and of their outer products (from d on), of |x|^2 and |x|^4 (places -1 and -2), and the count (-3)."""
+    for batch in batches:
+        for label, group in batch.groupby("label", dropna=False):
+            x = np.array(group["v"].tolist(), np.float64)
+            q = (x * x).sum(axis=1)
+            values = np.concatenate([[len(x), (q * q).sum(), q.sum()], x.sum(axis=0), (x.T @ x).reshape(-1)])
+            yield pd.DataFrame({"label": [label] * len(values), "d": np.arange(-3, len(values) - 3), "x": values})
+
+
+def label_cohesion(items: DataFrame) -> DataFrame:
+    """(scope, n, mean, sd) of cosines within and between labels, and within each label, linear in the items. items: (id, vector, label).
+
+    The sums of cosines and of their squares over all pairs are the squared norms of the sum of the unit vectors and of the
+    sum of their outer products, less what an item has with itself.
+    """
+    unit = items.select(F.col("label").cast("string").alias("label"), l2_normalise(F.col("vector")).alias("v"))
+    width = F.size("v").alias("w")
+    sums = unit.mapInPandas(_moments, "label string, d long, x double").groupBy("label", "d").agg(F.sum("x").alias("x"))
+    size = unit.select(width).agg(F.max("w").alias("w"))
+
+    def pairs_of(rows: DataFrame, *by: str) -> DataFrame:
+        at = lambda d: F.max(F.when(F.col("d") == d, F.col("x")))
+        squares = lambda c: F.sum(F.when(c, F.col("x") * F.col("x")).otherwise(0.0))
+        got = rows.join(F.broadcast(size)).groupBy(*by).agg(at(-3).alias("n"), at(-2).alias("q4"), at(-1).alias("q2"), squares((F.col("d") >= 0) & (F.col("d") < F.col("w"))).alias("s"), squares(F.col("d") >= F.col("w")).alias("g"))
+        return got.select(*by, (F.col("n") * (F.col("n") - 1) / 2).alias("n"), ((F.col("s") - F.col("q2")) / 2).alias("c"), ((F.col("g") - F.col("q4")) / 2).alias("c2"))
+
+    each = pairs_of(sums, "label")
+    within = each.agg(*[F.sum(c).alias(c) for c in ("n", "c", "c2")])
+    total = pairs_of(sums.groupBy("d").agg(F.sum("x").alias("x")))
+    between = total.crossJoin(within.withColumnsRenamed({c: f"w_{c}" for c in ("n", "c", "c2")})).select(F.lit("between").alias("scope"), *[(F.col(c) - F.col(f"w_{c}")).alias(c) for c in ("n", "c", "c2")])
+    rows = between.unionByName(within.select(F.lit("within").alias("scope"), "n", "c", "c2")).unionByName(each.select(F.concat(F.lit("within:"), "label").alias("scope"), "n", "c", "c2")).filter("n > 0")
+    mean = F.col("c") / F.col("n")
+    return rows.select("scope", F.col("n").cast("long").alias("n"), round4(mean).alias("mean"), round4(F.sqrt(F.greatest(F.lit(0.0), F.col("c2") / F.col("n") - mean * mean))).alias("sd"))
 
 
 def silhouette(items: DataFrame) -> DataFrame:
@@ -78,7 +108,7 @@ def silhouette(items: DataFrame) -> DataFrame:
     size = unit.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     centres = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda e: e["s"]).alias("s")).join(size, "label").withColumnRenamed("label", "other")
     # Labels are few by nature; each point meets each label once.
-    met = unit.crossJoin(F.broadcast(centres)).withColumn("dot", dot(F.col("v"), F.col("s")))
+    met = unit.crossJoin(few(centres)).withColumn("dot", dot(F.col("v"), F.col("s")))
     own = F.col("label") == F.col("other")
     a = F.when(own & (F.col("m") > 1), (F.col("m") - F.col("dot") - (1 - dot(F.col("v"), F.col("v")))) / (F.col("m") - 1))
     b = F.when(~own, 1 - F.col("dot") / F.col("m"))
@@ -94,7 +124,7 @@ def ambiguity_scores(cases: DataFrame, items: DataFrame) -> DataFrame:
     """
     right = cases.join(items.select(F.col("id").alias("correct_id"), F.col("vector").alias("cv")), "correct_id").select("case_id", "correct_id", "prompt", cosine(F.col("prompt"), F.col("cv")).alias("sim_correct"))
     # Cases are a question set: each meets every item, as the definition says.
-    met = items.select("id", "vector").join(F.broadcast(right), F.col("id") != F.col("correct_id"))
+    met = items.select("id", "vector").join(few(right), F.col("id") != F.col("correct_id"))
     score = F.when(F.col("sim_correct") > 0, F.least(F.lit(1.0), cosine(F.col("prompt"), F.col("vector")) / F.col("sim_correct"))).otherwise(0.0)
     return met.select("case_id", "correct_id", "id", "sim_correct", score.alias("score"))
 
@@ -160,6 +190,7 @@ def cosine_kmeans(items: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
         if all(max(abs(x - y) for x, y in zip(a, b)) < 1e-12 for a, b in zip(moved, centres)):
             break
         centres = moved
+    unit.unpersist()
     return assigned(centres).select("id", "cluster")
 
 

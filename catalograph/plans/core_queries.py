@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..operators import disambiguation as D
 from ..operators import features as E
 from ..operators import pairs as P
 from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
+from ..session import shared_folder
 from ..sources.fixtures import ASSETS_SQL, assets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,16 +106,18 @@ def _pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFram
     return s, P.sparse_pairs(s, **how)
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_FOUND: dict[tuple[str, str], str] = {}
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The best neighbours by block, persisted once per session and folder: rankings and rollups read them several times. A few rows per resource and block."""
+    """The best neighbours by block, written once per session and folder: rankings and rollups read them several times. A few rows per resource and block."""
     s = _scored(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        _KEPT[key] = B.block_neighbours(s, TOP_K, COVERAGE_GAP).persist(StorageLevel.MEMORY_AND_DISK)
-    return s, _KEPT[key]
+    if key not in _FOUND:
+        path = shared_folder(spark, "neighbours")
+        B.block_neighbours(s, TOP_K, COVERAGE_GAP).write.parquet(path)
+        _FOUND[key] = path
+    return s, spark.read.parquet(_FOUND[key])
 
 
 def _block_pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +171,7 @@ def pair_sim(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.5")
 def pair_sim_dense(spark, sf_dir):
-    return P.dense_pairs(_scored(spark, sf_dir)).filter("sim >= 0.5").select("seq_a", "seq_b", "sim")
+    return B.block_pairs(_scored(spark, sf_dir), least=0.5, every=True)
 
 
 @query(ALL + "SELECT seq_a, seq_b, fast_sim AS sim FROM p WHERE localId + entityTypes + lineOfBusiness + tags + industry > 0")
@@ -189,7 +191,7 @@ def pair_breakdown(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.75")
 def near_duplicate_pairs(spark, sf_dir):
-    return _block_pairs(spark, sf_dir, least=0.75)[1].select("seq_a", "seq_b", "sim")
+    return B.block_pairs(_scored(spark, sf_dir), least=0.75, within_type=True)
 
 
 @query(ALL + "SELECT seq_a, count(*) FILTER (sim >= 0.5 AND sim < 0.75) AS high_below_dup, count(*) FILTER (sim >= 0.5 AND sim <= 0.75) AS high_closed FROM m WHERE sim >= 0.5 GROUP BY 1")
@@ -279,19 +281,20 @@ def mean_top5_ambiguity(spark, sf_dir):
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE (seq_a % 50 = 7 OR seq_b % 50 = 7) AND sim >= 0.25")
 def changed_pairs(spark, sf_dir):
     """Resources with seq mod 50 = 7 stand for those that one round added."""
-    s, p = _block_pairs(spark, sf_dir, least=0.25)
-    return P.changed_pairs(p, s.filter("seq % 50 = 7")).filter("sim >= 0.25").select("seq_a", "seq_b", "sim")
+    s = _scored(spark, sf_dir)
+    return B.changed_pairs(s, s.filter("seq % 50 = 7"), least=0.25)
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM m WHERE seq_a = 11 AND sim >= 0.1")
 def one_against_all(spark, sf_dir):
-    return P.one_against_all(_block_pairs(spark, sf_dir)[1], 11).filter("sim >= 0.1").select("seq_a", "seq_b", "sim")
+    s = _scored(spark, sf_dir)
+    return B.block_pairs(s, least=0.1, left=s.filter("seq = 11"))
 
 
 @query(ALL + "SELECT m.seq_a, m.seq_b, m.sim FROM m JOIN s a ON a.seq = m.seq_a JOIN s b ON b.seq = m.seq_b WHERE a.enriched AND NOT b.enriched AND m.sim >= 0.25")
 def rectangular_pairs(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.25)
-    return P.rectangular(p, s.filter("enriched"), s.filter("NOT enriched")).filter("sim >= 0.25").select("seq_a", "seq_b", "sim")
+    s = _scored(spark, sf_dir)
+    return B.block_pairs(s, least=0.25, left=s.filter("enriched"), right=s.filter("NOT enriched"))
 
 
 @query(BASE + "SELECT namespace, count(*) AS n, count(*) FILTER (len(capabilities) > 0 OR len(groups) > 0 OR use_case_text <> '') AS enriched, sum(len(process_next)) AS successors FROM s GROUP BY 1")

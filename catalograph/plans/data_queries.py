@@ -65,8 +65,7 @@ def nearest_neighbour(spark, sf_dir):
 
 @query(COS + f"SELECT scope, count(*) AS n, {_r4('avg(cos)')} AS mean, {_r4('stddev_pop(cos)')} AS sd FROM (SELECT CASE WHEN la = lb THEN 'within' ELSE 'between' END AS scope, cos FROM cp UNION ALL SELECT 'within:' || la, cos FROM cp WHERE la = lb) GROUP BY 1")
 def within_between(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    return V.label_cohesion(V.block_cosine(items), items)
+    return V.label_cohesion(_items(spark, sf_dir))
 
 
 @query(

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +29,19 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'catalograph-shared')}"
     return f"{root.rstrip('/')}/catalograph/{tag}-{uuid.uuid4().hex}"
+
+
+#: Rows up to which a side of a join is sent to every executor.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, by a count that stops there; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def few(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df for a join that every row of the other side meets whole: an error beyond `most` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows can't meet every row of another table")
+    return F.broadcast(df)

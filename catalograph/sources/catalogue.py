@@ -76,8 +76,13 @@ def resources(docs: DataFrame, raw: bool = False, skip_taxonomy: bool = True, in
 
 
 def number(resources_: DataFrame) -> DataFrame:
-    """seq replaced by the ordinal of the load order. A catalogue is small (hundreds to thousands of rows): one sort."""
-    return resources_.withColumn("seq", (F.row_number().over(Window.orderBy("load_order")) - 1).cast("long")).drop("load_order")
+    """seq replaced by the ordinal of the load order: the position in its array, behind all arrays before it (a row for each system and array)."""
+    arrays = resources_.groupBy(F.col("load_order.namespace").alias("_ns"), F.col("load_order._k").alias("_kind")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_ns", "_kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = arrays.select("_ns", "_kind", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("load_order.namespace", "load_order._k").orderBy("load_order._pos")) - 1
+    numbered = resources_.withColumn("_rank", rank).join(behind, (F.col("load_order.namespace") == F.col("_ns")) & (F.col("load_order._k") == F.col("_kind")))
+    return numbered.withColumn("seq", (F.col("_before") + F.col("_rank")).cast("long")).drop("load_order", "_rank", "_before", "_ns", "_kind")
 
 
 def package_titles(docs: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
