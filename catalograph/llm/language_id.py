@@ -4,12 +4,14 @@ For each language a suffix automaton is built over a sample of labelled text. A
 automaton: each phrase is the longest match from its start. The language that needs the fewest phrases, normalised by the
 length of the text, wins. Texts are lower-cased letters with one space for everything between them.
 
-Training reads at most SAMPLE_DOCS documents a language (the least by a hash of doc_id) and SAMPLE_CHARS letters of them:
-a documented bound. Prediction reads whole texts. To parse with numpy, a text is cut into streams of STREAM letters whose
-phrases are summed; thousands of streams step through all automata at once, so a very long text is many short streams.
-
-Defined cases: null text, or one without a letter: `und` with score 0; ties go to the smaller language name; without any
-training text all languages are `und`; languages are bounded by the labels that occur; other columns are not read.
+Training reads whole texts of at most `most` labelled rows a language: the least by a hash of doc_id of those with at most LONGEST
+characters (of the longer ones one, where a language has no other), a documented bound. Prediction reads whole
+texts. To parse with numpy, a batch of texts steps through the automata at once; a text of more than STREAM letters is
+parsed as streams of that many, whose phrases are summed, which adds a phrase for each cut at most.
+
+Defined cases: null text, or one without a letter: `und` with score 0; U+0000 is no letter like any other; ties go to the
+smaller language name; without any training text all languages are `und`; languages are bounded by the labels that
+occur; repeated rows are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text_crc
-from .wordgrams import lean, text_slices
+from .wordgrams import give_back, lean, text_slices
 
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
-STREAM = 256
+#: Rows a language to learn from, and the characters beyond which a row is passed over.
+SAMPLE_DOCS, LONGEST = 24, 2_000
+STREAM = 4096
 NONE = "und"
 
 
@@ -41,19 +44,21 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points, bounds): lower-cased letters, one 32 between words; text i is code points bounds[i] to bounds[i + 1]."""
     if not _LETTERS:
         _LETTERS.append(_letter_table())
-    codes = np.frombuffer("\0".join(x.lower() for x in texts).encode("utf-32-le", "replace"), np.uint32)
+    lower = [x.lower() for x in texts]
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "replace"), np.uint32)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lower], dtype=np.int64)])
     low = codes < 0x10000
     letter = _LETTERS[0][np.where(low, codes, 0)]
     for c in np.unique(codes[~low]):
         if chr(c).isalpha():
             letter |= codes == c
-    end = codes == 0
-    out = np.where(letter, codes, 32).astype(np.uint32)
+    # A space stands behind a letter, for the first of what is between two words of one text.
     keep = letter.copy()
-    keep[1:] |= ~letter[1:] & letter[:-1] & ~end[1:]
+    keep[1:] |= ~letter[1:] & letter[:-1]
+    begins = ends[:-1][ends[:-1] < len(codes)]
+    keep[begins] = letter[begins]
     marks = np.concatenate([[0], np.cumsum(keep)])
-    ends = np.concatenate([np.flatnonzero(end), [len(codes)]])
-    return out[keep], np.concatenate([[0], marks[ends]])[: len(texts) + 1] if texts else np.zeros(1, np.int64)
+    return np.where(letter, codes, 32).astype(np.uint32)[keep], marks[ends]
 
 
 class SuffixAutomaton:
@@ -164,31 +169,56 @@ class LanguageModel:
         return [self.languages[b] if s else NONE for b, s in zip(best.tolist(), sizes.tolist())], score.tolist()
 
 
-def train(docs: DataFrame, fold: Column) -> LanguageModel:
-    """A model from the rows of docs for which `fold` holds: at most SAMPLE_DOCS rows a language reach the driver."""
-    labelled = docs.filter(fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = labelled.withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE_DOCS).orderBy("lang", "_rank").select("lang", "text").collect()
+def train(docs: DataFrame, fold: Column, most: int = SAMPLE_DOCS, longest: int = LONGEST) -> LanguageModel:
+    """A model from the rows of docs for which `fold` holds: at most `most` rows a language reach the driver."""
+    labelled = docs.filter(fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text", (F.char_length("text") > longest).alias("_long"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    ranked = labelled.select("lang", "_long", "text", rank.alias("_rank"))
+    rows = ranked.filter((F.col("_rank") <= F.lit(most)) & (~F.col("_long") | (F.col("_rank") == 1))).orderBy("lang", "_rank").select("lang", "text").collect()
     samples: dict[str, str] = {}
     for r in rows:
-        samples[r.lang] = samples.get(r.lang, "") + r.text[: max(0, SAMPLE_CHARS - len(samples.get(r.lang, "")))] + " "
+        samples[r.lang] = samples.get(r.lang, "") + r.text + " "
     return LanguageModel({k: v for k, v in samples.items() if normalise([v])[1][1]})
 
 
-def _predict(model: LanguageModel, keep: tuple[str, ...], into: tuple[str, str]) -> Callable:
+def _texts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in slices of bounded bytes; a null is empty."""
+    for part in text_slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=4 << 20):
+        yield [x or "" for x in part.column("text").to_pylist()]
+
+
+def _predict(model: LanguageModel, keep: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=2 << 20):
-            langs, scores = model.predict([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *into])
+        for batch in batches:
+            langs, scores = [], []
+            for texts in _texts(batch.column("text")):
+                lang, score = model.predict(texts)
+                langs += lang
+                scores += score
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `keep` of docs with the predicted language and its score, named by `into`."""
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with lang_pred and score. Columns sent along go through Python: for rows with texts use predicted_language()."""
     used = docs.select(*dict.fromkeys((*keep, "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{into[0]}` string, `{into[1]}` double"
-    return used.mapInArrow(lean(_predict(model, keep, into)), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
+    return used.mapInArrow(lean(_predict(model, keep)), schema)
+
+
+def predicted_language(model: LanguageModel, text: Column) -> Column:
+    """The predicted language as a column: only texts go to Python, and only languages come back."""
+
+    @F.arrow_udf("string")
+    def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                yield pa.array([x for texts in _texts(column) for x in model.predict(texts)[0]], pa.string())
+        finally:
+            give_back()
+
+    return predict(text)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
