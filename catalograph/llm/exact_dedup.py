@@ -1,14 +1,15 @@
 """Exact dedup by Grace hashing.
 
 Records are partitioned by a hash of their normalised text into buckets; every bucket goes through one open-addressing
-table that compares complete contents. A table takes `table_bytes` of distinct contents at most. What does not fit is
+table that compares complete contents. A table takes `table_bytes` of distinct contents and their entries at most. What does not fit is
 written to the shared folder as the spill of that bucket and partitioned again, by other bits of the hash and into more
 buckets, until nothing is left over. Contents already in a table still absorb their copies after it is full, so copies
 never spill, and every task first combines the copies it holds, so that a group of copies of any size reaches its
 bucket as a few records.
 
 Defined cases: null counts as empty; of equal texts the row with the most code points stays, then the smallest doc_id
-(null last); rows with the same doc_id and text are the same record and share `kept`; other columns are not read.
+(null last); rows with the same doc_id and text are the same record and share `kept`; other columns are not read. Buckets that
+do not fit after LEVELS partitionings are an error.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, materialize, shuffle_partitions
+from .common import SPACE_BYTES, Scratch, shuffle_partitions
 from .wordgrams import lean, text_slices
 
 TABLE_BYTES = 48 << 20
+#: What an entry of a table takes beside its content.
+ENTRY_BYTES = 450
+LEVELS = 64
 LONGEST = 1 << 62
 _RECORD = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("n", pa.int64()), ("chars", pa.int64()), ("doc_id", pa.int64())])
 _RECORD_SQL = "sha binary, content binary, n long, chars long, doc_id long"
@@ -58,11 +62,11 @@ class OpenTable:
                     e[3], e[4] = chars, doc_id
                 return True
             i = (i + 1) & mask
-        if self.entries and self.bytes + len(content) > self.limit:
+        if self.entries and self.bytes + len(content) + ENTRY_BYTES > self.limit:
             return False
         self.slots[i] = len(self.entries)
         self.entries.append([h, content, n, chars, doc_id, sha])
-        self.bytes += len(content)
+        self.bytes += len(content) + ENTRY_BYTES
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
             for k, e in enumerate(self.entries):
@@ -81,7 +85,7 @@ def _normalised(batch: pa.RecordBatch) -> tuple[list[bytes], list[int]]:
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record for each distinct content of a slice of rows."""
-    for batch in text_slices(batches, limit=16 << 20):
+    for batch in text_slices(batches, limit=8 << 20):
         table = OpenTable()
         contents, chars = _normalised(batch)
         for content, n, doc_id in zip(contents, chars, batch.column("doc_id").to_pylist()):
@@ -94,7 +98,7 @@ def _probe(limit: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable(limit)
-        for batch in batches:
+        for batch in text_slices(batches, "content"):
             over = [r for r in zip(*(c.to_pylist() for c in batch.columns)) if not table.add(*r)]
             if over:
                 yield _records(over)
@@ -109,14 +113,17 @@ def duplicate_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
     fan_out = shuffle_partitions(docs.sparkSession)
     records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_combine), _RECORD_SQL)
     done = []
-    for level in range(64):
+    run = Scratch(docs.sparkSession, "op5")
+    for level in range(LEVELS):
         bucket = F.xxhash64(F.lit(level), F.col("sha"))
-        table = materialize(records.repartition(fan_out, bucket).mapInArrow(lean(_probe(table_bytes)), _RECORD_SQL), f"op5-level{level}")
+        table = run.write(records.repartition(fan_out, bucket).mapInArrow(lean(_probe(table_bytes)), _RECORD_SQL), f"level{level}")
         done.append(table.filter("content IS NULL").drop("content"))
         records = table.filter("content IS NOT NULL")
         if records.isEmpty():
             break
         fan_out *= 4
+    else:
+        raise RuntimeError(f"buckets do not fit their tables after {LEVELS} partitionings")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -124,7 +131,7 @@ def duplicate_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, limit=16 << 20):
+    for batch in text_slices(batches):
         digests = [hashlib.sha256(x.translate(None, SPACE_BYTES)).digest() for x in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "sha"])
 
