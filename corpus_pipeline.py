@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalograph.llm import decontamination, language_id, mixing, ngram_join, sharding
-from catalograph.llm.common import fresh_name, id_text_crc, materialize
+from catalograph.llm.common import Scratch, fresh_name, id_text_crc
 
 N_SHARDS = 16
 
@@ -20,9 +20,7 @@ N_SHARDS = 16
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in a language: those without any letter (`und`) go."""
     model = language_id.train(docs, id_text_crc(F.col("doc_id")) % 4 != 2)
-    lang, score = fresh_name(docs.columns, "_lang_pred"), fresh_name(docs.columns, "_lang_score")
-    kept = language_id.identify(docs, model, keep=tuple(docs.columns), into=(lang, score))
-    return kept.filter(F.col(lang) != language_id.NONE).select(*docs.columns)
+    return docs.filter(language_id.predicted_language(model, F.col("text")) != language_id.NONE)
 
 
 def _at(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -34,7 +32,7 @@ def _at(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: one of its smallest doc_id (null last). Texts without shingles form no group and all stay."""
-    texts = materialize(ngram_join.component_texts(docs), "pipeline-texts")
+    texts = Scratch(spark, "pipeline-texts").write(ngram_join.component_texts(docs), "texts")
     rest = _at(docs, texts.filter("NOT first OR n_rows > 1"), "left_anti")
     # Repeated rows of a text that stays: one of them.
     crc = fresh_name(docs.columns, "_crc")
@@ -50,12 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; 0 copies drop it."""
-    names = {c: fresh_name(docs.columns, f"_mix_{c}") for c in ("doc_id", "source", "size", "copies")}
-    taken = mixing.mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0").withColumnsRenamed(names)
-    # Rows with one doc_id get the copies of their own source and size.
-    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (mixing.n_words() == F.col(names["size"]))
-    nth = fresh_name(docs.columns, "_copy")
-    return docs.join(taken, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables, last = Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        if last:
+            tables.delete(last)
+        last = name
     return docs
