@@ -7,12 +7,13 @@ sample, the rest at random; all are trained by gradient steps through the max po
 are calibrated by language on a fifth of the sample that neither sees: the language is guessed from the words of the text itself
 by a table learned on the same sample, so no label, lang, source or doc_id enters a score.
 
-Training reads at most SAMPLE_DOCS labelled rows, the least by a hash of doc_id: a documented bound, which is also what
-makes the list of their ids safe to broadcast. Scoring reads every whole text, in slices of bounded bytes.
+Training reads the whole texts of at most `most` labelled documents, the least by a hash of doc_id of those with at most LONGEST
+characters: a documented bound, which is also what makes the list of their ids safe to broadcast, and the words that
+reach the driver at most `most` * LONGEST / 2. Scoring reads every whole text, in slices of bounded bytes.
 
 Defined cases: null and empty texts score as a text without words does; labels for unknown documents are ignored, a
-document labelled twice counts as toxic if one label says so; null labels are ignored; without labels all scores are 0;
-columns beside doc_id and text are not read when scoring.
+document labelled twice counts as toxic if one label says so; of rows that share a doc_id one is learned from; null labels
+are ignored; without labels all scores are 0; columns beside doc_id and text are not read when scoring.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import id_text_crc
 from .wordgrams import U, Words, lean, text_slices
 
-SAMPLE_DOCS = 12_000
+#: Documents to learn from, and the characters beyond which one is passed over.
+SAMPLE_DOCS, LONGEST = 12_000, 20_000
 CHANNELS, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 #: Documents of the sample that must hold a word; weight of the base rate in its log-odds.
 LEAST_DOCS, PRIOR = 4, 4.0
@@ -250,10 +252,15 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "lang", "toxic", "ids"])
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, most: int = SAMPLE_DOCS) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, fold: Column, most: int = SAMPLE_DOCS, longest: int = LONGEST) -> ToxicityModel | None:
     """A model from at most `most` labelled documents for which `fold` holds; None without any."""
-    sample = labels.filter(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "toxic", "text").mapInArrow(lean(_ids), "doc_id long, lang string, toxic int, ids binary").collect()
+    marks = labels.filter(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    short = docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= longest)
+    # One row of each doc_id, the least by a hash of its text.
+    known = short.select("doc_id", F.xxhash64("text").alias("_crc")).join(marks, "doc_id").groupBy("doc_id").agg(F.min("_crc").alias("_crc"), F.first("toxic").alias("toxic"))
+    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_id"))
+    rows = short.select("doc_id", "lang", "text").join(sample, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_crc"))).dropDuplicates(["doc_id"])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "toxic", "text").mapInArrow(lean(_ids), "doc_id long, lang string, toxic int, ids binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     if not rows:
         return None
