@@ -1,63 +1,63 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
-Terms are strict or soft. A hit counts only between boundaries (the characters beside it are not ASCII letters or
-digits). One strict term rejects, or `soft_needed` distinct soft terms.
+A term of weight 1 or more is strict, one below is soft. A hit counts only between boundaries (the characters beside it are not
+ASCII letters or digits). A url is rejected where the weights of its distinct terms add up to 1: by one strict term or
+several distinct soft ones. The vocabulary is VOCABULARY or a table (term, weight), bounded by MOST_TERMS as every task holds it.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is judged by the vocabulary
-alone (null: allowed); repeated rows are judged alike; other columns are not read.
+alone (null: allowed); page_id may be null; repeated rows are judged alike; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The rules of the contract (host, path, verdict), and the vocabulary.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-STRICT = ("porn", "xxx", "hentai", "escort", "casino", "viagra", "spam", "malware", "warez", "phishing")
-SOFT = ("adult", "bet", "poker", "loan", "pills", "free", "win", "farm", "download", "click", "cheap", "sex", "hot", "dating", "crack", "torrent")
-SOFT_NEEDED = 2
+STRICT = ("porn", "xxx", "hentai", "escort", "casino", "viagra", "spam", "malware", "warez", "phishing", "adult")
+SOFT = ("bet", "bets", "poker", "loan", "pills", "free", "win", "farm", "download", "click", "cheap", "sex", "hot", "dating", "crack", "torrent", "ads", "track")
+VOCABULARY = {**dict.fromkeys(STRICT, 1.0), **dict.fromkeys(SOFT, 0.5)}
+MOST_TERMS = 1_000_000
 
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-@dataclass(frozen=True)
-class UrlVocabulary:
-    """Strict and soft terms, lower case."""
+def vocabulary_of(table: DataFrame) -> dict[str, float]:
+    """The vocabulary of a table (term, weight): terms lower-cased, the greatest weight of each; nulls and empty terms are left out."""
+    rows = table.selectExpr("lower(term) AS term", "cast(weight AS double) AS weight").filter("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return {r.term: r.weight for r in rows}
 
-    strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
-    soft_needed: int = SOFT_NEEDED
 
-    def automaton(self) -> ahocorasick.Automaton:
-        out = ahocorasick.Automaton()
-        for term in self.soft:
-            out.add_word(term, (term, False))
-        for term in self.strict:
-            out.add_word(term, (term, True))
+def automaton_of(vocabulary: dict[str, float]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for term, weight in vocabulary.items():
+        out.add_word(term, (term, weight))
+    if vocabulary:
         out.make_automaton()
-        return out
+    return out
 
 
-def hits(automaton: ahocorasick.Automaton, url: str) -> tuple[int, int]:
-    """(strict hits, distinct soft terms) of a url."""
+def hits(automaton: ahocorasick.Automaton, url: str) -> tuple[int, int, float]:
+    """(strict hits, distinct soft terms, weight of the distinct terms) of a url."""
     url = url.translate(_UPPER)
-    strict, soft = 0, set()
-    for end, (term, is_strict) in automaton.iter(url):
+    strict, found = 0, {}
+    for end, (term, weight) in automaton.iter(url) if len(automaton) else ():
         start = end - len(term) + 1
         if (start == 0 or url[start - 1] not in _INNER) and (end + 1 == len(url) or url[end + 1] not in _INNER):
-            if is_strict:
-                strict += 1
-            else:
-                soft.add(term)
-    return strict, len(soft)
+            strict += weight >= 1
+            found[term] = weight
+    return strict, sum(w < 1 for w in found.values()), sum(found.values())
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -80,7 +80,7 @@ def find_rule(rules: dict[str, list[tuple[str, str]]], host: str, path: str) ->
     return best
 
 
-def _judge(rules: tuple, vocabulary: UrlVocabulary) -> Callable:
+def _judge(rules: tuple, vocabulary: dict[str, float]) -> Callable:
     by_host: dict[str, list[tuple[str, str]]] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
@@ -88,26 +88,26 @@ def _judge(rules: tuple, vocabulary: UrlVocabulary) -> Callable:
         paths.sort(key=lambda x: -len(x[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = vocabulary.automaton()
+        automaton = automaton_of(vocabulary)
         for batch in batches:
             out = []
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
                 rule = find_rule(by_host, host, path)
-                strict, soft = hits(automaton, url or "")
-                verdict = rule[1] if rule else "block" if strict or soft >= vocabulary.soft_needed else "allow"
-                out.append((host, path, rule[0] if rule else None, verdict, strict, soft))
-            columns = list(zip(*out)) or [()] * 6
-            types = [pa.string()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
+                strict, soft, weight = hits(automaton, url or "")
+                verdict = rule[1] if rule else "block" if weight >= 1 - 1e-9 else "allow"
+                out.append((host, path, rule[0] if rule else None, verdict, strict, soft, weight))
+            columns = list(zip(*out)) or [()] * 7
+            types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight"])
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, vocabulary: UrlVocabulary = UrlVocabulary()) -> DataFrame:
-    """(page_id, host, path, rule, verdict, strict_hits, soft_hits) of every row."""
+def judge_urls(pages: DataFrame, rules: tuple = RULES, vocabulary: dict[str, float] = VOCABULARY) -> DataFrame:
+    """(page_id, host, path, rule, verdict, strict_hits, soft_hits, weight) of every row."""
     pages = pages.selectExpr("cast(page_id AS long) AS page_id", "url")
-    return pages.mapInArrow(_judge(rules, vocabulary), "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int")
+    return pages.mapInArrow(_judge(rules, vocabulary), "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, weight double")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,9 @@ WITH u AS (SELECT page_id, {low} AS low,
 f AS (SELECT NULL AS page_id, NULL AS rule, NULL AS v WHERE false
 {fits}),
 b AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(v, length(rule)) AS v FROM f GROUP BY page_id),
-h AS (SELECT *, ({" + ".join(times(t) for t in STRICT)})::INT AS strict_hits, ({" + ".join(hit(t) + "::INT" for t in SOFT)})::INT AS soft_hits FROM u)
-SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN strict_hits > 0 OR soft_hits >= {SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+h AS (SELECT *, ({" + ".join(times(t) for t in STRICT)})::INT AS strict_hits, ({" + ".join(hit(t) + "::INT" for t in SOFT)})::INT AS soft_hits,
+  ({" + ".join(f"{hit(t)}::INT * {w}" for t, w in VOCABULARY.items())})::DOUBLE AS weight FROM u)
+SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN weight >= 1 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, weight
 FROM h LEFT JOIN b ON b.page_id = h.page_id
 """
 
