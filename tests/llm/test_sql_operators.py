@@ -115,6 +115,24 @@ def test_urls(spark, tmp_path):
     assert got[10]["verdict"] == "block" and got[11]["verdict"] == "allow" and got[0]["verdict"] == "allow"
 
 
+def test_urls_at_the_edges(spark, tmp_path):
+    """No rows; null ids and repeated rows; a very long url; other columns with names of results; a vocabulary from a table."""
+    none = pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string())})
+    (tmp_path / "none").mkdir()
+    assert rows_of(url_filter.op7_url_filter(spark, write(tmp_path / "none", [], pages=none))) == []
+    long_ = "http://x.org/" + "a/" * 200_000 + "casino"
+    urls = ["http://free-bets.example.com/", "http://m.ads-track.example.com/x", "http://blog.adult-x.example.org/", "http://m.ads-track.example.com/x", long_, None]
+    pages = pa.table({"page_id": pa.array([1, None, 3, None, 5, None], pa.int64()), "url": pa.array(urls, pa.string()), "verdict": pa.array([None] * 6, pa.string()), "weight": pa.array([1] * 6, pa.int64())})
+    folder = write(tmp_path, [], pages=pages)
+    got = rows_of(url_filter.op7_url_filter(spark, folder))
+    assert len(got) == 6 and sorted(r["weight"] for r in got) == [0.0, 1.0, 1.0, 1.0, 1.0, 1.0]
+    assert [r["verdict"] for r in got if r["page_id"] == 5] == ["block"] and {r["verdict"] for r in got if r["rule"] == "com/"} == {"allow"}
+    table = spark.createDataFrame([("Track", 0.25), ("track", 0.5), ("ads", 0.5), (None, 1.0), ("", 1.0), ("x", None)], "term string, weight double")
+    assert url_filter.vocabulary_of(table) == {"track": 0.5, "ads": 0.5}
+    judged = url_filter.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), (), url_filter.vocabulary_of(table))
+    assert sorted(r["verdict"] for r in rows_of(judged)) == ["allow"] * 4 + ["block"] * 2
+
+
 def test_signature_tree_against_all_pairs():
     import numpy as np
 
