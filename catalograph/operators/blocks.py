@@ -80,19 +80,21 @@ def _round4(x: np.ndarray) -> np.ndarray:
     return np.floor((x + 1e-10) * 1e4 + 0.5) / 1e4
 
 
-def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False) -> DataFrame:
+def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, corpus: DataFrame | None = None) -> DataFrame:
     """Resources with their vectors, once for each group (grp, i, j) of two blocks that they are in; side 0 is the first block, 1 the second, 2 both.
 
-    left and right hold the seq of the wanted sides. Rarities and weights are those of all resources.
+    left and right hold the seq of the wanted sides. Rarities and weights are those of `corpus` (all resources without it); a
+    resource outside it has no text, and entity types that nothing in it has weigh nothing.
     """
-    idf = entity_idf(resources).select("entity_type", "idf")
+    corpus = resources if corpus is None else corpus
+    idf = entity_idf(corpus).select("entity_type", "idf")
     rare = resources.select("seq", F.explode("entity_types").alias("entity_type")).join(idf, "entity_type").groupBy(F.col("seq").alias("_e_seq")).agg(F.collect_list("entity_type").alias("ets"), F.collect_list("idf").alias("et_weights"))
     cols = ["seq", "namespace", "type", *_FLAT, *(["capabilities", "groups"] if extended else [])]
     rows = resources.select(*cols).join(rare, F.col("seq") == F.col("_e_seq"), "left")
     keep = [*cols, "ets", "et_weights"]
     for column, name, wanted in (("text", "t", use_text), ("use_case_text", "u", extended)):
         if wanted:
-            rows = rows.join(_vectors(resources, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
+            rows = rows.join(_vectors(corpus, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
             keep += [f"{name}_terms", f"{name}_weights"]
     grp = F.coalesce("type", F.lit("")) if within_type else F.lit("")
     size = lambda df: -(-df.count() // BLOCK) or 1
@@ -160,7 +162,7 @@ class _Scores:
             self.share, self.active, self.wide = more > 0, active, _round4((more + bonus) / (6 + active) * penalty)
 
 
-def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False) -> DataFrame:
+def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None) -> DataFrame:
     """(seq_a, seq_b, sim[, sim_extended, active]) of pairs that share a key (or of every pair) and score `least` at least under one metric.
 
     All pairs seq_a < seq_b; with left (and right) all from a resource of left to another one of right. within_type: pairs of one
@@ -183,7 +185,7 @@ def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = Fa
         return pd.DataFrame(out)
 
     schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "")
-    return _spread(resources, use_text, extended, left, right, within_type).groupBy("grp", "i", "j").applyInPandas(score, schema)
+    return _spread(resources, use_text, extended, left, right, within_type, corpus).groupBy("grp", "i", "j").applyInPandas(score, schema)
 
 
 def changed_pairs(resources: DataFrame, new: DataFrame, least: float = 0.0, use_text: bool = True) -> DataFrame:

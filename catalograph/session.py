@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,22 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for an application: they may start in a folder without it."""
+    here = Path(__file__).parent
+    name = f"catalograph-{spark.sparkContext.applicationId}.zip"
+    if any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    path = Path(tempfile.mkdtemp()) / name
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(path))
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:

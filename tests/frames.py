@@ -64,3 +64,30 @@ def oracle(rows, extended=False):
             total = (total + (0.5 if a["namespace"] != b["namespace"] else 0)) / parts * (1 if a["type"] == b["type"] else 0.5)
             out[(a["seq"], b["seq"])] = math.floor((total + 1e-10) * 1e4 + 0.5) / 1e4
     return out
+
+
+def scores(rows, corpus, use_text=True):
+    """{(seq, seq): similarity} both ways, with texts (by seq) and rarities of `corpus`; rows and corpus are dicts."""
+    corpus = [r for r in corpus if r["type"] != "entityType"]
+    vectors = dict(zip((r["seq"] for r in corpus), _vectors([r["text"] or "" for r in corpus])))
+    n = {}
+    for r in corpus:
+        for e in set(r["entity_types"] or ()):
+            n[e] = n.get(e, 0) + 1
+    w = lambda s: sum(1 / math.log(1 + n[e]) for e in s if e in n)
+    local = lambda r: set(tokens(re.sub("([A-Z])", r" \1", r["local_id"] or r["id"].split(":")[2])))
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a["seq"] == b["seq"]:
+                continue
+            x, y = set(a["entity_types"] or ()), set(b["entity_types"] or ())
+            total = _jaccard(local(a), local(b)) + (w(x & y) / w(x | y) if w(x | y) else 0) + sum(_jaccard(a[c], b[c]) for c in ("line_of_business", "tags", "industry"))
+            total += _cosine(vectors.get(a["seq"], {}), vectors.get(b["seq"], {})) if use_text else 0
+            total = (total + (0.5 if a["namespace"] != b["namespace"] else 0)) / 6 * (1 if a["type"] == b["type"] else 0.5)
+            out[(a["seq"], b["seq"])] = math.floor((total + 1e-10) * 1e4 + 0.5) / 1e4
+    return out
+
+
+def as_dicts(rows):
+    return [dict(zip([c.split()[0] for c in SCHEMA.split(", ")], r)) for r in rows]
