@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.compat import cache_key, python_round
 from ..operators import ambiguity as M
+from ..operators import casegen as G
 from ..operators import embedding as V
 from ..operators import pairs as P
 from ..operators import reduction as R
@@ -163,6 +164,58 @@ def candidate_profiles(spark, sf_dir):
     return tries[0].unionByName(tries[1]).select("seq", "tier", "strategy_no", "type", "namespace", "entity_types", "line_of_business", "tags")
 
 
+# Cases: gates by arithmetic stand for the solver and the judge.
+
+_TRIES = """
+t AS (SELECT s_suppkey AS k, a, CASE WHEN (s_suppkey + a) % 5 = 0 THEN 'VALIDATOR_FAIL' WHEN (s_suppkey + a) % 3 = 0 THEN 'TOO_EASY' WHEN (s_suppkey * a) % 4 = 1 THEN 'JUDGE_FAIL' ELSE 'ACCEPTED' END AS outcome FROM supplier, range(1, 4) r(a)),
+f AS (SELECT k, min(a) FILTER (outcome = 'ACCEPTED') AS won, max(a) FILTER (outcome <> 'VALIDATOR_FAIL') AS last FROM t GROUP BY 1),
+o AS (SELECT f.*, CASE WHEN won IS NOT NULL THEN 'accepted' WHEN last IS NOT NULL AND k % 2 = 0 THEN 'distractor_certified' ELSE 'gave_up' END AS outcome, md5('9:' || 'n:agent:R' || k || ':v1') AS h FROM f)
+"""
+
+
+def _cases(spark, sf_dir):
+    i = F.col("s_suppkey")
+    rid = F.concat(F.lit("n:agent:R"), i, F.lit(":v1"))
+    s = table(spark, sf_dir, "supplier")
+    eligible = s.select(rid.alias("id"), F.array(F.lit("E")).alias("entity_types"))
+    near = s.filter(i % 2 == 0).select(rid.alias("id"), F.concat(F.lit("m:agent:D"), i, F.lit(":v1")).alias("distractor"), F.array(F.lit("E")).alias("distractor_types"))
+    k = F.regexp_extract("seed", "R([0-9]+)", 1).cast("long")
+    write = lambda rows, attempt: rows.withColumns({"prompt": F.concat(F.lit("ask "), k, F.lit(f" in way {attempt}")), "a": F.lit(attempt)})
+    check = lambda rows: rows.withColumn("failure", F.when((k + F.col("a")) % 5 == 0, "V2: prompt too short"))
+    solve = lambda rows: rows.withColumn("predicted", F.when((k + F.col("a")) % 3 == 0, F.col("seed")).otherwise("other"))
+    judge = lambda rows: rows.withColumn("judged", (k * F.col("a")) % 4 != 1)
+    return G.generate_cases(G.single_seeds(eligible, near, 9), "dy", write, check, judge, solve, attempts=3, target=20, fallback=True)
+
+
+@query("WITH " + _TRIES.strip() + ", n AS (SELECT *, row_number() OVER (ORDER BY h, k) AS n FROM o WHERE outcome <> 'gave_up') SELECT 'dy-' || lpad(n::VARCHAR, 2, '0') AS case_id, 'n:agent:R' || k || ':v1' AS seed, 'ask ' || k || ' in way ' || coalesce(won, last) AS prompt, outcome = 'accepted' AS measured FROM n WHERE n <= 20")
+def generated_cases(spark, sf_dir):
+    """Suppliers are seeds, every second one has a distractor; three attempts each, the first twenty in seeded order."""
+    return _cases(spark, sf_dir)[0]
+
+
+@query("WITH " + _TRIES.strip() + " SELECT 'n:agent:R' || o.k || ':v1' AS seed, any_value(o.outcome) AS outcome, list(t.outcome ORDER BY a) AS steps FROM o JOIN t ON t.k = o.k AND t.a <= coalesce(won, 3) GROUP BY 1")
+def case_provenance(spark, sf_dir):
+    return _cases(spark, sf_dir)[1].select("seed", "outcome", F.transform("evolution_log", lambda e: e["outcome"]).alias("steps"))
+
+
+@query("WITH r AS (SELECT s_suppkey AS id, s_nationkey AS ns, md5('6:' || s_suppkey) AS h FROM supplier), n AS (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY h, id::VARCHAR) AS nth FROM r), p AS (SELECT *, (row_number() OVER (PARTITION BY nth ORDER BY h, id::VARCHAR) - 1) // 2 AS two FROM n) SELECT list(id::VARCHAR ORDER BY h, id::VARCHAR) AS expected FROM p GROUP BY nth, two HAVING count(*) = 2")
+def multi_intent_seeds(spark, sf_dir):
+    """Suppliers of different nations, two by two."""
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").alias("namespace"))
+    return G.multi_seeds(e, 6).select("expected")
+
+
+_NEAR = "nb AS (SELECT p_size % 10 AS skill, p_partkey AS id, max(p_size / 50.0) AS sim FROM part GROUP BY 1, 2)"
+
+
+@query(f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY sim DESC, id::VARCHAR) AS k FROM nb WHERE sim >= 0.25 AND id % 2 = 0), g AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY md5('2:k' || skill || ':' || id), id::VARCHAR) AS n FROM r WHERE k <= 6) SELECT 'k' || skill AS seed, list(id::VARCHAR ORDER BY n) AS expected FROM g WHERE n <= 2 GROUP BY 1")
+def gap_case_seeds(spark, sf_dir):
+    """Sizes mod 10 are skills, even parts are eligible."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_size") % 10).alias("skill"), F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") / 50.0).alias("sim"), (F.col("p_partkey") % 2 == 0).alias("even"))
+    skills = p.select(F.col("skill").alias("skill_id")).distinct()
+    return G.gap_seeds(skills, p, p.filter("even"), 2).select("seed", "expected")
+
+
 # Pages.
 
 PAGE = _with(ASSETS_SQL, SCORED, TFIDF, ETIDF, DENSE, REPORT, TIERS)
