@@ -23,7 +23,8 @@ from .features import entity_idf, text_features
 BLOCK = 1024
 #: A key whose rows in two blocks make more products than this is dense; keys of one dense slice; products of one sparse run.
 DENSE_FROM, DENSE_KEYS, RUN = 8192, 1024, 2_000_000
-_FLAT = ("local_tokens", "line_of_business", "tags", "industry")
+_FLAT = {"local_tokens": "localId", "line_of_business": "lineOfBusiness", "tags": "tags", "industry": "industry"}
+_SEMANTIC = {"capabilities": "capabilities", "groups": "partOfGroups", "u_terms": "useCases"}
 
 
 def _vectors(resources: DataFrame, text: str, name: str) -> DataFrame:
@@ -141,9 +142,9 @@ class _Scores:
             union = np.bincount(x[1], x[2], minlength=shape[0])[:, None] + np.bincount(y[1], y[2], minlength=shape[1])[None, :] - both
             return np.divide(both, union, out=np.zeros(shape), where=both > 0)
 
-        total = sum((ratio(c) for c in _FLAT), np.zeros(shape)) + ratio("ets", "et_weights")
-        if use_text:
-            total += common("t_terms", "t_weights")[0]
+        self.parts = {name: ratio(c) for c, name in _FLAT.items()} | {"entityTypes": ratio("ets", "et_weights")}
+        self.parts["text"] = common("t_terms", "t_weights")[0] if use_text else np.zeros(shape)
+        total = sum(self.parts.values(), np.zeros(shape))
         ns, kind, seq = pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0], pdf["seq"].to_numpy()
         bonus = np.where(ns[a][:, None] == ns[b][None, :], 0.0, CROSS_NAMESPACE_BONUS)
         penalty = np.where(kind[a][:, None] == kind[b][None, :], 1.0, TYPE_PENALTY)
@@ -152,21 +153,22 @@ class _Scores:
         self.share = total > 0
         if extended:
             active, more = np.zeros_like(total), total.copy()
-            for c in ("capabilities", "groups"):
+            for c, name in _SEMANTIC.items():
                 has = pdf[c].map(len).to_numpy() > 0
-                active += has[a][:, None] & has[b][None, :]
-                more += ratio(c)
-            uses = pdf["u_terms"].map(len).to_numpy() > 0
-            active += uses[a][:, None] & uses[b][None, :]
-            more += common("u_terms", "u_weights")[0]
+                both = has[a][:, None] & has[b][None, :]
+                part = common(c, "u_weights")[0] if c == "u_terms" else ratio(c)
+                active += both
+                more += part
+                self.parts[name] = np.where(both, part, np.nan)
             self.share, self.active, self.wide = more > 0, active, _round4((more + bonus) / (6 + active) * penalty)
 
 
-def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None) -> DataFrame:
-    """(seq_a, seq_b, sim[, sim_extended, active]) of pairs that share a key (or of every pair) and score `least` at least under one metric.
+def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None, parts: bool = False) -> DataFrame:
+    """(seq_a, seq_b, sim[, sim_extended, active][, the parts]) of pairs that share a key (or of every pair) and score `least` at least under one metric.
 
     All pairs seq_a < seq_b; with left (and right) all from a resource of left to another one of right. within_type: pairs of one
-    type only, which is all of them where `least` is more than a pair of different types can reach (OTHER_TYPE).
+    type only, which is all of them where `least` is more than a pair of different types can reach (OTHER_TYPE). A semantic part is null
+    where it is not active.
     """
     directed = left is not None
 
@@ -182,9 +184,12 @@ def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = Fa
         out = {"seq_a": x if directed else np.minimum(x, y), "seq_b": y if directed else np.maximum(x, y), "sim": m.sim[p, q]}
         if extended:
             out |= {"sim_extended": m.wide[p, q], "active": m.active[p, q].astype(np.int32)}
+        if parts:
+            out |= {name: m.parts[name][p, q] for name in names}
         return pd.DataFrame(out)
 
-    schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "")
+    names = ["text", *_FLAT.values(), "entityTypes", *(_SEMANTIC.values() if extended else ())]
+    schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "") + ("".join(f", {n} double" for n in names) if parts else "")
     return _spread(resources, use_text, extended, left, right, within_type, corpus).groupBy("grp", "i", "j").applyInPandas(score, schema)
 
 

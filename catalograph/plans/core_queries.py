@@ -101,11 +101,6 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scored(assets(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
-    s = _scored(spark, sf_dir)
-    return s, P.sparse_pairs(s, **how)
-
-
 _FOUND: dict[tuple[str, str], str] = {}
 
 
@@ -185,7 +180,7 @@ def fast_sim(spark, sf_dir):
 FROM (SELECT *, list_filter([CASE WHEN ns_a <> ns_b THEN 'P1' END, CASE WHEN {_r4("entityTypes")} > 0 OR {_r4("tags")} > 0 THEN 'P2' END, CASE WHEN {_r4("text")} < 0.2 AND {_r4("entityTypes")} > 0 THEN 'P3' END], lambda x: x IS NOT NULL) AS l FROM p WHERE sim >= 0.25)"""
 )
 def pair_breakdown(spark, sf_dir):
-    p = M.with_problems(_pairs(spark, sf_dir)[1].filter("sim >= 0.25"))
+    p = M.with_problems(_block_pairs(spark, sf_dir, least=0.25, parts=True)[1])
     return p.select("seq_a", "seq_b", *_PARTS, "sim", F.array_join("problems", ",").alias("problems"))
 
 
@@ -325,8 +320,8 @@ EXT = _with(ASSETS_SQL, SCORED, TFIDF, ETIDF, DENSE, UC)
 
 @query(EXT + f"SELECT seq_a, seq_b, sim, sim_extended, active, CASE WHEN both_cap THEN {_r4('cap')} END AS capabilities, CASE WHEN both_grp THEN {_r4('grp')} END AS \"partOfGroups\", CASE WHEN both_uc THEN {_r4('uc')} END AS \"useCases\" FROM x WHERE {_SHARING} OR cap + grp + uc > 0")
 def pair_sim_extended(spark, sf_dir):
-    p = _pairs(spark, sf_dir, extended=True)[1]
-    return p.select("seq_a", "seq_b", "sim", "sim_extended", "active", *[X.round4(F.col(c)).alias(c) for c in ("capabilities", "partOfGroups", "useCases")])
+    p = B.block_pairs(_scored(spark, sf_dir), extended=True, parts=True)
+    return p.select("seq_a", "seq_b", "sim", "sim_extended", "active", *[X.round4(F.nanvl(c, F.lit(None))).alias(c) for c in ("capabilities", "partOfGroups", "useCases")])
 
 
 _HC = """hc AS (SELECT s.seq, count(*) FILTER (sim >= 0.5) AS high, count(*) FILTER (sim_extended >= 0.5) AS high_extended, count(*) FILTER (sim >= 0.25 AND sim < 0.5) AS medium, count(*) FILTER (sim_extended >= 0.25 AND sim_extended < 0.5) AS medium_extended

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as X
 from ..operators import ambiguity as M
+from ..operators import blocks as B
 from ..operators import certification as C
 from ..operators import embedding as V
 from ..operators import enrichment as N
@@ -20,7 +21,7 @@ from ..operators import stats as T
 from ..operators import validate as Q
 from ..sources import records, sinks
 from ..sources.fixtures import ASSETS_SQL, assets, table
-from .core_queries import ALL, BASE, TIERED, _block_pairs, _pairs, _r4, _scored, _with
+from .core_queries import ALL, BASE, TIERED, _block_pairs, _r4, _scored, _with
 
 QUERIES: dict = {}
 
@@ -386,8 +387,8 @@ def method_paths(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, list_sort(list_intersect(a.capabilities, b.capabilities)) AS capability_overlap, list_sort(list_intersect(a.line_of_business, b.line_of_business)) AS domain_overlap FROM p JOIN s a ON a.seq = seq_a JOIN s b ON b.seq = seq_b WHERE sim >= 0.5")
 def shared_fields(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
-    return S.overlaps(p.filter("sim >= 0.5"), s)
+    s, p = _block_pairs(spark, sf_dir, least=0.5)
+    return S.overlaps(p, s)
 
 
 def _enrichment_rows(spark, sf_dir) -> DataFrame:
@@ -413,14 +414,14 @@ def applied_enrichment(spark, sf_dir):
 
 @query(ALL.rstrip() + ", hh AS (SELECT seq_a, count(*) AS h FROM m WHERE sim >= 0.5 AND sim < 0.75 GROUP BY 1) SELECT p.seq_a, p.seq_b, p.sim, coalesce(x.h, 0) AS high_a, coalesce(y.h, 0) AS high_b, CASE WHEN coalesce(y.h, 0) >= 3 THEN 'drop_b' WHEN coalesce(x.h, 0) >= 3 THEN 'drop_a' ELSE 'rewrite_b' END AS action FROM p LEFT JOIN hh x ON x.seq_a = p.seq_a LEFT JOIN hh y ON y.seq_a = p.seq_b WHERE p.sim >= 0.75")
 def near_duplicate_decisions(spark, sf_dir):
-    p = _pairs(spark, sf_dir)[1].select("seq_a", "seq_b", "ns_a", "ns_b", "type_a", "type_b", "sim")
+    p = _block_pairs(spark, sf_dir, least=0.5)[1]
     near = p.filter("sim >= 0.75").select("seq_a", "seq_b", "sim")
     return R.high_without(p, near).withColumn("action", R.decide(F.col("high_a"), F.col("high_b")))
 
 
 @query(TIERED + "SELECT seq, CASE WHEN high_needed > 0 THEN 'high' ELSE 'medium' END AS tier, CASE WHEN high_needed > 0 THEN high_needed ELSE medium_needed END AS missing FROM tcs WHERE high_needed > 0 OR medium_needed > 0")
 def gap_list(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     return R.gaps(M.tier_counts(p, s))
 
 
@@ -437,7 +438,7 @@ def namespaces_below_cap(spark, sf_dir):
 
 @query(ALL.rstrip() + ", k AS (SELECT 'k' || (seq % 9) AS skill, seq FROM s WHERE seq % 3 = 0) SELECT k.skill, m.seq_b AS seq, max(m.sim) AS sim FROM m JOIN k ON k.seq = m.seq_a WHERE m.sim >= 0.1 AND NOT EXISTS (SELECT 1 FROM k x WHERE x.skill = k.skill AND x.seq = m.seq_b) GROUP BY 1, 2")
 def similarity_to_skills(spark, sf_dir):
-    s, p = _pairs(spark, sf_dir)
+    s, p = _block_pairs(spark, sf_dir, least=0.1)
     skills = s.filter("seq % 3 = 0").groupBy(F.concat(F.lit("k"), (F.col("seq") % 9).cast("string")).alias("skill")).agg(F.collect_list("seq").alias("ids"))
     return R.max_to_skill(p.filter("sim >= 0.1"), skills)
 
@@ -597,7 +598,7 @@ def idempotent_annotation(spark, sf_dir):
 
 @query(ALL + "SELECT CAST(seq_a AS VARCHAR) AS id_a, CAST(seq_b AS VARCHAR) AS id_b, round(sim, 3) AS full_sim FROM p WHERE sim >= 0.75")
 def near_duplicate_list(spark, sf_dir):
-    p = _pairs(spark, sf_dir, within_type=True)[1].filter("sim >= 0.75")
+    p = B.block_pairs(_scored(spark, sf_dir), least=0.75, within_type=True)
     return sinks.near_duplicate_list(p.select(F.col("seq_a").cast("string").alias("id_a"), F.col("seq_b").cast("string").alias("id_b"), "sim"))
 
 
