@@ -2,16 +2,19 @@
 
 Both sides are cut into words; every k-gram of words is hashed, and in each window of w consecutive k-grams the least
 hash is kept as a fingerprint. Two texts that share w + k - 1 words share the fingerprint of that span, so joining the
-fingerprints of documents and benchmark loses no span of that length. For documents with a hit, every window whose own
-fingerprint hit is then compared word by word with the windows of the items, which extends the hits to exactly the words
-that stand in common windows. Items shorter than a window are windows of their own length; their hashes are
-fingerprints themselves, and only the lengths that occur are looked for.
+fingerprints of documents and benchmark loses no span of that length. One pass over the documents joins the fingerprint of every window
+and keeps the starts of those that hit; only documents with a hit are read again, to compare the windows at those starts word by word
+with those of the items, which extends the hits to exactly the words that stand in common windows. Items shorter than a window are
+windows of their own length; their hashes are fingerprints themselves, and only the lengths that occur are looked for.
 
 The words of a window are joined by a space, which no word holds, so equal strings are equal word sequences.
 
+Texts are never shuffled while the fingerprints, and the documents with a hit, are few enough to be broadcast (counts
+are checked); beyond that fingerprints and texts with hits meet by shuffle.
+
 Defined cases: null and wordless texts and items have no windows; an item's repeated windows and repeated items count
-once; equal item_ids are one item; a null item_id is not counted as an item but its windows still hit; rows sharing a doc_id get the
-hits of all of them only for rows with the same text (the text is part of the key); other columns are not read.
+once; equal item_ids are one item; a null item_id is not counted as an item but its windows still hit; rows that share a
+doc_id are judged each by its own text (the text is part of the key); other columns are not read.
 
 All expressions are built-in functions of the JVM.
 """
@@ -23,11 +26,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import Scratch, ascii_lower
 
 WINDOW, GRAM = 10, 5
 #: A benchmark with fewer fingerprints (16 bytes each), or windows (about 100 bytes), than this is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_PRINTS, BROADCAST_WINDOWS = 1_000_000, 100_000
+#: Documents with a hit (24 bytes and 8 for each start) up to which they, and not the texts, are sent.
+BROADCAST_HITS = 200_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,44 +87,40 @@ def text_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     """The same with crc, the xxhash64 of the text that the row is about."""
     if window <= gram:
         raise ValueError("a window must be longer than a gram")
-    known = materialize(item_windows(items.select("item_id", "text"), window, gram), "op3-windows")
+    run = Scratch(docs.sparkSession, "op3")
+    known = run.write(item_windows(items.select("item_id", "text"), window, gram), "windows")
     lengths = sorted(r.n for r in known.select("n").distinct().collect())
-    prints = known.select("n", "fp").distinct()
-    sent_prints = F.broadcast(prints) if prints.count() <= BROADCAST_PRINTS else prints
+    prints = known.select(F.col("n").alias("_n"), F.col("fp").alias("_fp")).distinct()
+    if prints.count() <= BROADCAST_PRINTS:
+        prints = F.broadcast(prints)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("crc"), "text")
 
-    def hashed_spans(words: Column, n: int) -> Column:
-        return F.transform(_indices(F.size(words) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("fp")))
+    def prints_of(words: Column, n: int) -> Column:
+        """The fingerprints of the windows of n words, by their starts."""
+        return fingerprints(words, window, gram) if n == window else F.transform(_indices(F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
 
     def marks_of(words: Column) -> Column:
-        marks = [F.transform(F.array_distinct(fingerprints(words, window, gram)), lambda x: F.struct(F.lit(window).alias("n"), x.alias("fp")))] if window in lengths else []
-        marks += [F.array_distinct(hashed_spans(words, n)) for n in lengths if n < window]
-        return F.concat(*marks) if len(marks) > 1 else marks[0]
-
-    if not lengths:
-        hits = docs.select("doc_id", F.lit(0).cast("long").alias("crc"), F.lit(None).cast("array<struct<n:int,fp:long>>").alias("found")).filter(F.lit(False))
-    else:
-        seen = docs.select("doc_id", F.xxhash64("text").alias("crc"), F.explode(let(words_of(F.col("text")), marks_of)).alias("m")).select("doc_id", "crc", "m.n", "m.fp")
-        hits = seen.join(sent_prints, ["n", "fp"]).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("n", "fp")).alias("found"))
-    hits = hits.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
-
-    def open_of(words: Column, n: int) -> Column:
-        """Windows of n words whose fingerprint is among those found."""
-        ids = F.transform(F.filter("found", lambda x: x["n"] == n), lambda x: x["fp"])
-        prints = fingerprints(words, window, gram) if n == window else F.transform(hashed_spans(words, n), lambda s: s["fp"])
-        starts = let(ids, lambda known: F.filter(F.transform(prints, lambda x, i: F.when(F.array_contains(known, x), i)), lambda i: i.isNotNull()))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("content")))
-
-    joined = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_crc")), "left")
-    none = F.array().cast("array<struct<at:int,n:int,content:string>>")
-
-    def opener(n: int) -> Callable[[Column], Column]:
-        return lambda words: open_of(words, n)
-
-    windows = [let(F.col("_words"), opener(n)) for n in lengths]
-    opened = F.when(F.col("found").isNull() | F.lit(not lengths), none).otherwise(F.concat(*windows) if windows else none)
-    joined = joined.withColumn("_words", words_of(F.col("text"))).select("doc_id", F.xxhash64("text").alias("crc"), F.size("_words").cast("long").alias("n_words"), opened.alias("open"))
-    marked = materialize(joined, "op3-open")
-    open_windows = marked.select("doc_id", "crc", F.explode("open").alias("w")).select("doc_id", "crc", "w.at", "w.n", "w.content")
+        """A first entry with the number of words, then every window."""
+        head = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("fp"), F.size(words).alias("at")))
+        return F.concat(head, *[F.transform(prints_of(words, n), marker(n)) for n in lengths])
+
+    def marker(n: int) -> Callable[[Column, Column], Column]:
+        return lambda x, i: F.struct(F.lit(n).alias("n"), x.alias("fp"), i.alias("at"))
+
+    seen = docs.select("doc_id", "crc", F.explode(let(words_of(F.col("text")), marks_of)).alias("m")).select("doc_id", "crc", "m.n", "m.fp", "m.at")
+    met = seen.join(prints, (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")), "left").filter("n = 0 OR _n IS NOT NULL")
+    met = run.write(met.select("doc_id", "crc", "n", "at"), "met")
+    rows = met.filter("n = 0").select("doc_id", "crc", F.col("at").cast("long").alias("n_words"))
+    hits = run.write(met.filter("n > 0").groupBy("doc_id", "crc").agg(F.collect_set(F.struct("at", "n")).alias("starts")), "hits")
+    sent = hits.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
+    if hits.count() <= BROADCAST_HITS:
+        sent = F.broadcast(sent)
+
+    def opened(words: Column) -> Column:
+        return F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice(words, s["at"] + 1, s["n"]), " ").alias("content")))
+
+    asked = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")))
+    open_windows = asked.select("doc_id", "crc", F.explode(let(words_of(F.col("text")), opened)).alias("w")).select("doc_id", "crc", "w.at", "w.n", "w.content")
     by_window = known.groupBy("content").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     if known.count() <= BROADCAST_WINDOWS:
         by_window = F.broadcast(by_window)
@@ -128,8 +129,8 @@ def text_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     # Spans in order of their starts: each adds what lies behind the furthest end so far.
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["n"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(acc["end"], s["at"]))).alias("sum")), lambda acc: acc["sum"])
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), covered.cast("long").alias("n_hit"), "items")
-    out = marked.select("doc_id", "crc", "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
-    return out.select("doc_id", marked["crc"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    out = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
+    return out.select("doc_id", "crc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
