@@ -9,7 +9,7 @@ windows of their own length; their hashes are fingerprints themselves, and only
 
 The words of a window are joined by a space, which no word holds, so equal strings are equal word sequences.
 
-Texts are never shuffled while the fingerprints, and the documents with a hit, are few enough to be broadcast (counts
+Texts are never shuffled while the fingerprints, and the starts of hits, are few enough to be broadcast (counts
 are checked); beyond that fingerprints and texts with hits meet by shuffle.
 
 Defined cases: null and wordless texts and items have no windows; an item's repeated windows and repeated items count
@@ -31,8 +31,8 @@ from .common import Scratch, ascii_lower
 WINDOW, GRAM = 10, 5
 #: A benchmark with fewer fingerprints (16 bytes each), or windows (about 100 bytes), than this is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_PRINTS, BROADCAST_WINDOWS = 1_000_000, 100_000
-#: Documents with a hit (24 bytes and 8 for each start) up to which they, and not the texts, are sent.
-BROADCAST_HITS = 200_000
+#: Starts of hits (8 bytes each) up to which they are sent to the documents, and texts with hits are not shuffled.
+BROADCAST_STARTS = 4_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,7 +113,7 @@ def text_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     rows = met.filter("n = 0").select("doc_id", "crc", F.col("at").cast("long").alias("n_words"))
     hits = run.write(met.filter("n > 0").groupBy("doc_id", "crc").agg(F.collect_set(F.struct("at", "n")).alias("starts")), "hits")
     sent = hits.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
-    if hits.count() <= BROADCAST_HITS:
+    if (hits.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_STARTS:
         sent = F.broadcast(sent)
 
     def opened(words: Column) -> Column:
