@@ -246,10 +246,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each document, once in a task."""
+    seen: set[int] = set()
     for batch in text_slices(batches):
+        docs = batch.column("doc_id").to_pylist()
+        new = [i for i, d in enumerate(docs) if not (d in seen or seen.add(d))]
         ids, first = word_hashes(batch.column("text"))
-        own = [ids[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "lang", "toxic", "ids"])
+        own = [ids[first[i] : first[i + 1]].tobytes() for i in new]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(new, pa.int64())) for c in ("doc_id", "lang", "toxic")), pa.array(own, pa.binary())], ["doc_id", "lang", "toxic", "ids"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, most: int = SAMPLE_DOCS, longest: int = LONGEST) -> ToxicityModel | None:
@@ -259,11 +263,12 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, most: int = SAMPLE_D
     # One row of each doc_id, the least by a hash of its text.
     known = short.select("doc_id", F.xxhash64("text").alias("_crc")).join(marks, "doc_id").groupBy("doc_id").agg(F.min("_crc").alias("_crc"), F.first("toxic").alias("toxic"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_id"))
-    rows = short.select("doc_id", "lang", "text").join(sample, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_crc"))).dropDuplicates(["doc_id"])
+    rows = short.select("doc_id", "lang", "text").join(sample, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_crc")))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "toxic", "text").mapInArrow(lean(_ids), "doc_id long, lang string, toxic int, ids binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
     if not rows:
         return None
+    by_id = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.lang or "", bytes(r.ids)), reverse=True)}
+    rows = [by_id[i] for i in sorted(by_id)]
     return fit([np.frombuffer(bytes(r.ids), np.uint64) for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows])
 
 
