@@ -64,11 +64,6 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage with files that outlive any executor."""
-    return Scratch(df.sparkSession, tag).write(df, "table")
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() agrees with that on pure ASCII and has a fast path for it; other texts go through translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

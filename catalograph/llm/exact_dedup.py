@@ -37,10 +37,10 @@ _RECORD_SQL = "sha binary, content binary, n long, chars long, doc_id long"
 class OpenTable:
     """Open addressing with linear probing; an entry is [hash, content, count, chars, doc_id, sha]. It doubles at half load."""
 
-    def __init__(self, limit: int = LONGEST):
+    def __init__(self, limit: int = LONGEST, entry_bytes: int = 0):
         self.slots: list[int] = [-1] * 1024
         self.entries: list[list] = []
-        self.bytes, self.limit = 0, limit
+        self.bytes, self.limit, self.entry_bytes = 0, limit, entry_bytes
 
     def _free(self, h: int) -> int:
         mask = len(self.slots) - 1
@@ -62,11 +62,11 @@ class OpenTable:
                     e[3], e[4] = chars, doc_id
                 return True
             i = (i + 1) & mask
-        if self.entries and self.bytes + len(content) + ENTRY_BYTES > self.limit:
+        if self.entries and self.bytes + len(content) + self.entry_bytes > self.limit:
             return False
         self.slots[i] = len(self.entries)
         self.entries.append([h, content, n, chars, doc_id, sha])
-        self.bytes += len(content) + ENTRY_BYTES
+        self.bytes += len(content) + self.entry_bytes
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
             for k, e in enumerate(self.entries):
@@ -97,7 +97,7 @@ def _probe(limit: int) -> Callable:
     """A bucket's records through a table: resolved groups without content, and what did not fit, with its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = OpenTable(limit)
+        table = OpenTable(limit, ENTRY_BYTES)
         for batch in text_slices(batches, "content"):
             over = [r for r in zip(*(c.to_pylist() for c in batch.columns)) if not table.add(*r)]
             if over:
