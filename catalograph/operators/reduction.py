@@ -9,10 +9,12 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import jaccard
 from ..schema import COVERAGE_GAP, DOMAIN_CLUSTERS, NEAR_DUPLICATE, TIER_MINIMUM, TIERS, TOP_K, TYPE_SHARES
+from ..session import few
 from .ambiguity import mean_top_ambiguity, ranked_neighbours
 from .blocks import block_neighbours
-from .pairs import mirror
+from .pairs import mirror, similarity
 
 HIGH = dict(TIERS)["high"]
 
@@ -117,7 +119,7 @@ def related_systems(namespaces: DataFrame, inside: bool = True) -> DataFrame:
     members = {c: s for c, s in DOMAIN_CLUSTERS}
     own = F.create_map(*[x for c, s in members.items() for x in (F.lit(c), F.array(*map(F.lit, s)))])
     known = cluster_of(namespaces)
-    every = namespaces.agg(F.array_sort(F.collect_set("namespace")).alias("every"))
+    every = few(namespaces.select("namespace").distinct()).agg(F.array_sort(F.collect_set("namespace")).alias("every"))
     j = known.crossJoin(F.broadcast(every)).withColumn("others", F.array_remove(F.col("every"), F.col("namespace")))
     cluster = F.coalesce(F.when(F.col("cluster").isNotNull(), F.try_element_at(own, F.col("cluster"))), F.array().cast("array<string>"))
     found = F.array_intersect("others", cluster) if inside else F.array_except("others", cluster)
@@ -148,11 +150,22 @@ def candidate_profiles(target: DataFrame, tier_name: str, other_types: dict[str,
         alt = F.create_map(*[F.lit(x) for kv in other_types.items() for x in kv])[F.col("new_type")]
         tries = F.transform(F.slice(ets, 1, 3), lambda e: entry(F.array(e), none, none, alt))
         if all_types is not None:
-            target = target.crossJoin(F.broadcast(all_types.agg(F.array_sort(F.collect_set("entity_type")).alias("_all"))))
+            target = target.crossJoin(F.broadcast(few(all_types.select("entity_type").distinct()).agg(F.array_sort(F.collect_set("entity_type")).alias("_all"))))
             tries = F.concat(tries, F.transform(F.slice(F.array_except("_all", ets), 1, 10), lambda e: entry(F.array(e), none, none)))
     return target.select("seq", F.posexplode(tries).alias("strategy_no", "p")).select("seq", "strategy_no", "p.*")
 
 
+def profile_scores(tries: DataFrame, target: DataFrame, idf: DataFrame) -> DataFrame:
+    """(seq, strategy_no, sim) of profiles against their own target by the text-free metric, with the rarities idf (entity_type, idf)."""
+    own = target.select("seq", *[F.col(c).alias(f"t_{c}") for c in ("namespace", "type", "entity_types", "line_of_business", "tags")])
+    both = tries.join(own, "seq")
+    kinds = both.select("seq", "strategy_no", F.explode(F.array_union("entity_types", "t_entity_types")).alias("entity_type"), F.array_intersect("entity_types", "t_entity_types").alias("shared"))
+    kinds = kinds.join(idf.select("entity_type", "idf"), "entity_type").groupBy("seq", "strategy_no").agg(F.sum("idf").alias("_union"), F.sum(F.when(F.array_contains("shared", F.col("entity_type")), F.col("idf")).otherwise(0.0)).alias("_shared"))
+    j = both.join(kinds, ["seq", "strategy_no"], "left")
+    parts = {"entityTypes": F.when(F.col("_union") > 0, F.col("_shared") / F.col("_union")).otherwise(0.0), "lineOfBusiness": jaccard(F.col("line_of_business"), F.col("t_line_of_business")), "tags": jaccard(F.col("tags"), F.col("t_tags"))}
+    return j.select("seq", "strategy_no", similarity(parts, F.col("namespace") == F.col("t_namespace"), F.col("type") == F.col("t_type")).alias("sim"))
+
+
 def nth_candidate(scores: DataFrame, n: int, target: str = "target_seq", candidate: str = "seq", by: str = "sim") -> DataFrame:
     """For each target its n-th best candidate: one for each attempt, ties by seq."""
     rank = F.row_number().over(Window.partitionBy(target).orderBy(F.col(by).desc(), candidate))

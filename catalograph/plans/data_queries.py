@@ -14,11 +14,11 @@ from ..operators import embedding as V
 from ..operators import enrichment as N
 from ..operators import graph as G
 from ..operators import logs as L
-from ..operators import pairs as P
 from ..operators import reduction as R
 from ..operators import solvability as S
 from ..operators import stats as T
 from ..operators import validate as Q
+from ..operators.features import entity_idf
 from ..sources import records, sinks
 from ..sources.fixtures import ASSETS_SQL, assets, table
 from .core_queries import ALL, BASE, TIERED, _block_pairs, _r4, _scored, _with
@@ -454,17 +454,7 @@ def fitting_profiles(spark, sf_dir):
     s, p = _block_pairs(spark, sf_dir, least=0.1)
     missing = M.tier_counts(p, s).filter("medium_needed > 0").select("seq")
     target = s.join(missing, "seq", "left_semi").withColumns({"new_type": F.col("type"), "new_namespace": F.lit("sys0")})
-    tries = R.candidate_profiles(target, "medium").withColumn("trial", F.xxhash64("seq", "strategy_no"))
-    made = tries.select(F.col("trial").alias("seq"), F.lit("").alias("local_id"), F.lit("").alias("text"), "namespace", "type", "entity_types", "line_of_business", "tags", F.array().cast("array<string>").alias("industry"), F.col("seq").alias("of"), "strategy_no")
-    from ..operators.features import entity_idf
-
-    idf = entity_idf(s)
-    both = made.join(target.select(F.col("seq").alias("of"), *[F.col(c).alias(f"t_{c}") for c in ("namespace", "type", "entity_types", "line_of_business", "tags", "industry")]), "of")
-    w = both.crossJoin(F.broadcast(idf.agg(F.map_from_entries(F.collect_list(F.struct("entity_type", "idf"))).alias("idf"))))
-    total = lambda ids: F.aggregate(ids, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at("idf", x), F.lit(0.0)))
-    union = total(F.array_union("entity_types", "t_entity_types"))
-    parts = {"entityTypes": F.when(union > 0, total(F.array_intersect("entity_types", "t_entity_types")) / union).otherwise(0.0), "lineOfBusiness": A.jaccard(F.col("line_of_business"), F.col("t_line_of_business")), "tags": A.jaccard(F.col("tags"), F.col("t_tags"))}
-    scored = w.select(F.col("of").alias("seq"), "strategy_no", P.similarity(parts, F.col("namespace") == F.col("t_namespace"), F.col("type") == F.col("t_type")).alias("sim"))
+    scored = R.profile_scores(R.candidate_profiles(target, "medium"), target, entity_idf(s))
     return R.first_fitting(scored, "medium")
 
 

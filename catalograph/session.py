@@ -48,15 +48,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/catalograph/{tag}-{uuid.uuid4().hex}"
 
 
-#: Rows up to which a side of a join is sent to every executor.
+#: Rows up to which a table may meet every row of another one.
 SMALL = 100_000
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, by a count that stops there; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def few(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df for a join that every row of the other side meets whole: an error beyond `most` rows."""
     if df.limit(most + 1).count() > most:
