@@ -8,6 +8,7 @@ from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .sharding import op2_sharding
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": OP7_SQL,
         "op8_ngram_join": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
+        "op11_merkle_manifest": OP11_SQL,
     }
