@@ -11,6 +11,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import op1_mixing
 from .ngram_join import OP8_SQL, op8_ngram_join
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .sharding import op2_sharding
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .toxicity import op4_toxicity
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_ngram_join": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
         "op11_merkle_manifest": OP11_SQL,
+        "op13_prefix_trie": OP13_SQL,
     }
