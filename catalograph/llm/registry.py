@@ -10,6 +10,7 @@ from .language_id import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import op1_mixing
+from .multi_index import op12_nearest_neighbours
 from .ngram_join import OP8_SQL, op8_ngram_join
 from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .sharding import op2_sharding
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
         "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
