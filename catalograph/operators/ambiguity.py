@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import difficulty_band, problem_labels, round4, tier
-from ..schema import COVERAGE_GAP, GROUND_TRUTH_TYPES, TIER_MINIMUM, TOP_K
+from ..schema import COVERAGE_GAP, GROUND_TRUTH_TYPES, TIER_MINIMUM, TIERS, TOP_K
+from .blocks import block_counts
 from .pairs import background, mirror
 
 
@@ -89,13 +92,31 @@ def namespace_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("namespace").agg(round4(F.avg("ambiguity_score")).alias("mean_ambiguity"), F.count(F.lit(1)).alias("n_resources"), F.count_if(F.col("ambiguity_score") >= 0.40).alias("n_hard"), F.count_if("coverage_gap").alias("n_gaps"))
 
 
+def tier_windows(high_cap: float | None = None) -> dict[str, tuple[float, float]]:
+    """The tiers as windows of scores."""
+    above = [math.inf, *[low for _, low in TIERS]]
+    out = {name: (low, high) for (name, low), high in zip(TIERS, above)}
+    if high_cap is not None:
+        out = {name: (low, min(high, high_cap)) for name, (low, high) in out.items()}
+    return out
+
+
+def counted_tiers(resources: DataFrame, high_cap: float | None = None, use_text: bool = True) -> DataFrame:
+    """tier_counts() of all resources, counted inside the blocks."""
+    return tier_totals(block_counts(resources, tier_windows(high_cap), "namespace", use_text), resources)
+
+
 def tier_counts(pairs: DataFrame, resources: DataFrame, high_cap: float | None = None) -> DataFrame:
     """For each resource: neighbours by tier, what is missing, distinct namespaces by tier, and whether all minima are met."""
-    level = tier(F.col("sim"))
-    if high_cap is not None:
-        level = F.when(F.col("sim") < high_cap, level)
-    near = mirror(pairs).select("seq_a", "ns_b", level.alias("tier")).filter("tier IS NOT NULL")
-    counts = near.groupBy(F.col("seq_a").alias("seq")).agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIER_MINIMUM], *[F.count_distinct(F.when(F.col("tier") == t, F.col("ns_b"))).alias(f"{t}_namespaces") for t in TIER_MINIMUM])
+    windows = tier_windows(high_cap)
+    inside = lambda t: F.count_if((F.col("sim") >= windows[t][0]) & (F.col("sim") < windows[t][1])).alias(t)
+    near = mirror(pairs).groupBy(F.col("seq_a").alias("seq"), F.col("ns_b").alias("label")).agg(*[inside(t) for t in windows])
+    return tier_totals(near, resources)
+
+
+def tier_totals(near: DataFrame, resources: DataFrame) -> DataFrame:
+    """tier_counts() from counts by resource and namespace of the neighbours (seq, label, high, medium, low)."""
+    counts = near.groupBy("seq").agg(*[F.sum(t).alias(t) for t in TIER_MINIMUM], *[F.count_if((F.col(t) > 0) & F.col("label").isNotNull()).alias(f"{t}_namespaces") for t in TIER_MINIMUM])
     out = resources.select("seq", "namespace", "type").join(counts, "seq", "left")
     have = {t: F.coalesce(t, F.lit(0)).cast("long") for t in TIER_MINIMUM}
     done = have["high"] >= TIER_MINIMUM["high"]

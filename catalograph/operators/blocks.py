@@ -12,13 +12,15 @@ Only blocks that can hold a wanted pair meet: with `left` (and `right`) each res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CROSS_NAMESPACE_BONUS, TYPE_PENALTY
-from .features import entity_idf, text_features
+from .features import entity_idf, text_vectors
 
 BLOCK = 1024
 #: A key whose rows in two blocks make more products than this is dense; keys of one dense slice; products of one sparse run.
@@ -28,7 +30,7 @@ _SEMANTIC = {"capabilities": "capabilities", "groups": "partOfGroups", "u_terms"
 
 
 def _vectors(resources: DataFrame, text: str, name: str) -> DataFrame:
-    return text_features(resources, text).groupBy(F.col("seq").alias(f"_{name}_seq")).agg(F.collect_list(F.xxhash64("key")).alias(f"{name}_terms"), F.collect_list("weight").alias(f"{name}_weights"))
+    return text_vectors(resources, text).select(F.col("seq").alias(f"_{name}_seq"), F.col("terms").alias(f"{name}_terms"), F.col("weights").alias(f"{name}_weights"))
 
 
 def _entries(values: pd.Series, weights: pd.Series | None, at: np.ndarray, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,26 +79,59 @@ def _products(a: tuple, b: tuple, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def _dots(terms: pd.Series, weights: pd.Series, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the vectors of rows a[i] and b[i], a in order: each vector of a is laid out once, those of its partners are summed over it."""
+    out = np.zeros(len(a))
+    used = np.unique(np.concatenate([a, b]))
+    if not len(used):
+        return out
+    lists = [np.asarray(terms.iat[i], np.int64) for i in used.tolist()]
+    codes = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    end = np.cumsum([len(x) for x in lists])
+    flat = np.concatenate([np.asarray(weights.iat[i], float) for i in used.tolist()])
+    lo = end - [len(x) for x in lists]
+    at_a, at_b = np.searchsorted(used, a), np.searchsorted(used, b)
+    line = np.zeros(codes.max() + 1)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+        own = slice(lo[at_a[s]], end[at_a[s]])
+        line[codes[own]] = flat[own]
+        for k in range(s, e, 512):
+            who = at_b[k : min(e, k + 512)]
+            n = end[who] - lo[who]
+            take = np.repeat(lo[who] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[k : k + len(who)] = np.add.reduceat(line[codes[take]] * flat[take], np.cumsum(n) - n)
+        line[codes[own]] = 0.0
+    return out
+
+
 def _round4(x: np.ndarray) -> np.ndarray:
     return np.floor((x + 1e-10) * 1e4 + 0.5) / 1e4
 
 
-def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, corpus: DataFrame | None = None) -> DataFrame:
-    """Resources with their vectors, once for each group (grp, i, j) of two blocks that they are in; side 0 is the first block, 1 the second, 2 both.
+def vector_rows(resources: DataFrame, use_text: bool, extended: bool, corpus: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Resources with what the kernels read: sets, entity types with their rarities, term vectors, and the columns `also`.
 
-    left and right hold the seq of the wanted sides. Rarities and weights are those of `corpus` (all resources without it); a
-    resource outside it has no text, and entity types that nothing in it has weigh nothing.
+    Rarities and weights are those of `corpus` (all resources without it); a resource outside it has no text, and entity types
+    that nothing in it has weigh nothing.
     """
     corpus = resources if corpus is None else corpus
     idf = entity_idf(corpus).select("entity_type", "idf")
     rare = resources.select("seq", F.explode("entity_types").alias("entity_type")).join(idf, "entity_type").groupBy(F.col("seq").alias("_e_seq")).agg(F.collect_list("entity_type").alias("ets"), F.collect_list("idf").alias("et_weights"))
-    cols = ["seq", "namespace", "type", *_FLAT, *(["capabilities", "groups"] if extended else [])]
+    cols = list(dict.fromkeys(["seq", "namespace", "type", *_FLAT, *(["capabilities", "groups"] if extended else []), *also]))
     rows = resources.select(*cols).join(rare, F.col("seq") == F.col("_e_seq"), "left")
     keep = [*cols, "ets", "et_weights"]
     for column, name, wanted in (("text", "t", use_text), ("use_case_text", "u", extended)):
         if wanted:
             rows = rows.join(_vectors(corpus, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
             keep += [f"{name}_terms", f"{name}_weights"]
+    return rows.select(*keep)
+
+
+def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, corpus: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Resources with their vectors, once for each group (grp, i, j) of two blocks that they are in; side 0 is the first block, 1 the second, 2 both. left and right hold the seq of the wanted sides."""
+    rows = vector_rows(resources, use_text, extended, corpus, also)
+    keep = rows.columns
     grp = F.coalesce("type", F.lit("")) if within_type else F.lit("")
     size = lambda df: -(-df.count() // BLOCK) or 1
     if left is None:
@@ -120,9 +155,13 @@ _LISTS = (*_FLAT, "ets", "et_weights", "capabilities", "groups", "t_terms", "t_w
 
 
 class _Scores:
-    """The matrices of one pair of blocks; rows and columns are in order of seq."""
+    """The matrices of one pair of blocks; rows and columns are in order of seq.
 
-    def __init__(self, pdf: pd.DataFrame, use_text: bool, extended: bool):
+    With `least`, only pairs that `may` names and whose sets leave a text enough to reach it are scored: `alive`; texts are
+    multiplied for these pairs alone.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, use_text: bool, extended: bool, least: float | None = None, may: Callable[[pd.DataFrame, np.ndarray, np.ndarray, Callable], np.ndarray] | None = None):
         pdf = pdf.sort_values("seq", ignore_index=True)
         for c in _LISTS:
             if c in pdf.columns:
@@ -143,13 +182,21 @@ class _Scores:
             return np.divide(both, union, out=np.zeros(shape), where=both > 0)
 
         self.parts = {name: ratio(c) for c, name in _FLAT.items()} | {"entityTypes": ratio("ets", "et_weights")}
-        self.parts["text"] = common("t_terms", "t_weights")[0] if use_text else np.zeros(shape)
+        self.parts["text"] = np.zeros(shape)
+        if least is not None:
+            texts = pdf["t_terms"].map(len).to_numpy() > 0 if use_text else np.zeros(len(pdf), bool)
+            most = sum(self.parts.values(), np.zeros(shape)) + (texts[a][:, None] & texts[b][None, :]) * (1 + 1e-9)
+            self.alive = may(pdf, a, b, lambda c: common(c)[0]) & (self._score(most, pdf, a, b) >= least)
+            if use_text:
+                p, q = np.nonzero(self.alive & texts[a][:, None] & texts[b][None, :])
+                self.parts["text"][p, q] = _dots(pdf["t_terms"], pdf["t_weights"], a[p], b[q])
+        elif use_text:
+            self.parts["text"] = common("t_terms", "t_weights")[0]
         total = sum(self.parts.values(), np.zeros(shape))
-        ns, kind, seq = pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0], pdf["seq"].to_numpy()
-        bonus = np.where(ns[a][:, None] == ns[b][None, :], 0.0, CROSS_NAMESPACE_BONUS)
-        penalty = np.where(kind[a][:, None] == kind[b][None, :], 1.0, TYPE_PENALTY)
+        seq = pdf["seq"].to_numpy()
+        self.rows, self.a, self.b = pdf, a, b
         self.seq_a, self.seq_b, self.own = seq[a], seq[b], bool((side == 2).any())
-        self.sim = _round4((total + bonus) / 6 * penalty)
+        self.sim = self._score(total, pdf, a, b)
         self.share = total > 0
         if extended:
             active, more = np.zeros_like(total), total.copy()
@@ -160,7 +207,14 @@ class _Scores:
                 active += both
                 more += part
                 self.parts[name] = np.where(both, part, np.nan)
-            self.share, self.active, self.wide = more > 0, active, _round4((more + bonus) / (6 + active) * penalty)
+            self.share, self.active, self.wide = more > 0, active, self._score(more, pdf, a, b, active)
+
+    @staticmethod
+    def _score(total: np.ndarray, pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray, active: np.ndarray | float = 0) -> np.ndarray:
+        ns, kind = pd.factorize(pdf["namespace"])[0], pd.factorize(pdf["type"])[0]
+        bonus = np.where(ns[a][:, None] == ns[b][None, :], 0.0, CROSS_NAMESPACE_BONUS)
+        penalty = np.where(kind[a][:, None] == kind[b][None, :], 1.0, TYPE_PENALTY)
+        return _round4((total + bonus) / (6 + active) * penalty)
 
 
 def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None, parts: bool = False) -> DataFrame:
@@ -234,6 +288,36 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text:
     return _spread(resources, use_text, False).groupBy("grp", "i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
 
 
+def block_counts(resources: DataFrame, windows: dict[str, tuple[float, float]], by: str, use_text: bool = True, extended: bool = False) -> DataFrame:
+    """(seq, label, and a count for each window): the other resources of each value `label` of column `by` whose score lies in [low, high).
+
+    Counted where the scores are, by block: no row for a pair leaves a task, and the counts of all blocks add up. A window whose name ends in
+    _extended is one of the extended metric. Values without any count have no row.
+    """
+
+    def count(scores: dict[str, np.ndarray], mine: np.ndarray, labels: pd.Series) -> pd.DataFrame:
+        code, values = pd.factorize(labels, use_na_sentinel=False)
+        each = np.zeros((len(labels), len(values)), np.float32)
+        each[np.arange(len(labels)), code] = 1
+        n = {name: ((scores[name] >= low) & (scores[name] < high)).astype(np.float32) @ each for name, (low, high) in windows.items()}
+        r, c = np.nonzero(sum(n.values()))
+        return pd.DataFrame({"seq": mine[r], "label": np.asarray(values, object)[c], **{name: x[r, c].astype(np.int64) for name, x in n.items()}})
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _Scores(pdf, use_text, extended)
+        scores = {name: m.wide if name.endswith("_extended") else m.sim for name in windows}
+        if m.own:
+            for x in scores.values():
+                np.fill_diagonal(x, -1.0)
+            return count(scores, m.seq_a, m.rows[by].iloc[m.b])
+        return pd.concat([count(scores, m.seq_a, m.rows[by].iloc[m.b]), count({k: x.T for k, x in scores.items()}, m.seq_b, m.rows[by].iloc[m.a])])
+
+    kind = resources.schema[by].dataType.simpleString()
+    spread = _spread(resources, use_text, extended, also=(by,))
+    found = spread.groupBy("grp", "i", "j").applyInPandas(score, f"seq long, label {kind}" + "".join(f", {name} long" for name in windows))
+    return found.groupBy("seq", "label").agg(*[F.sum(name).alias(name) for name in windows])
+
+
 def with_ends(pairs: DataFrame, resources: DataFrame) -> DataFrame:
     """Pairs with namespace and type of both ends."""
     for side in "ab":

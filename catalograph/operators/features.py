@@ -6,11 +6,19 @@ metric capabilities, groups, use_case_text. seq is unique.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import strings
-from ..functions.text import local_id_tokens, tokenize
+from ..functions.text import local_id_tokens
+from ..schema import STOP_WORDS
+
+_TOKEN = re.compile("[a-z0-9]{3,}")
 
 #: The set-valued dimensions and the columns they come from.
 SETS = {"localId": "local_tokens", "entityTypes": "entity_types", "lineOfBusiness": "line_of_business", "tags": "tags", "industry": "industry"}
@@ -26,11 +34,28 @@ def scored(resources: DataFrame, exclude: tuple[str, ...] = ("entityType",)) ->
     return out
 
 
+def term_counts(resources: DataFrame, text: str = "text") -> DataFrame:
+    """(seq, length, terms, counts): the tokens of a text, how many they are, each distinct one once with its count.
+
+    A text is counted where it lies, in Arrow batches: no row for each token, and no shuffle. The tokens are those of tokenize().
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = frozenset(STOP_WORDS)
+        for batch in batches:
+            found = [Counter(t for t in _TOKEN.findall(x or "") if t not in stop) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([c.total() for c in found], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["seq", "length", "terms", "counts"])
+
+    return resources.select(F.col("seq").cast("long").alias("seq"), F.lower(F.col(text)).alias("text")).mapInArrow(count, "seq long, length long, terms array<string>, counts array<long>")
+
+
 def tfidf(resources: DataFrame, text: str = "text") -> DataFrame:
     """(seq, term, tf, idf, weight): tf = count / length, idf = ln((N + 1) / (df + 1)). N counts all resources, empty texts too."""
-    tokens = resources.select("seq", tokenize(F.col(text)).alias("tokens"))
-    total = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = tokens.select("seq", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("seq", "length", "term").agg(F.count(F.lit(1)).alias("n"))
+    # Texts are dealt out first: a file of one row group would be counted by one task. Both uses of the counts read this exchange.
+    counted = term_counts(resources.select("seq", text).repartition("seq"), text)
+    total = resources.agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = counted.select("seq", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("seq", "length", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # The total is one row.
     out = counts.join(df, "term").crossJoin(F.broadcast(total))
@@ -38,6 +63,13 @@ def tfidf(resources: DataFrame, text: str = "text") -> DataFrame:
     return out.select("seq", "term", (F.col("n") / F.col("length")).alias("tf"), idf.alias("idf"), (F.col("n") / F.col("length") * idf).alias("weight"))
 
 
+def text_vectors(resources: DataFrame, text: str = "text") -> DataFrame:
+    """(seq, terms, weights): hashes of the terms and weights divided by the norm, so that a sum of products is the cosine. Terms of weight 0 and texts without others are left out."""
+    terms = tfidf(resources, text).filter("weight <> 0").select("seq", F.struct(F.xxhash64("term").alias("term"), "weight").alias("t"))
+    got = terms.groupBy("seq").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sqrt(F.sum(F.col("t.weight") * F.col("t.weight"))).alias("norm"))
+    return got.filter("norm > 0").select("seq", F.col("t.term").alias("terms"), F.transform("t", lambda x: x["weight"] / F.col("norm")).alias("weights"))
+
+
 def norms(terms: DataFrame) -> DataFrame:
     """(seq, norm) over all own terms."""
     return terms.groupBy("seq").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))

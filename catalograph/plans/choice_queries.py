@@ -126,8 +126,7 @@ def seeded_sample(spark, sf_dir):
 @query(TIERED + "SELECT seq FROM (SELECT * FROM tcs ORDER BY high DESC, seq LIMIT 30) ORDER BY md5('3:' || seq), seq LIMIT 10")
 def gap_resources(spark, sf_dir):
     """Ten of the thirty resources with most HIGH neighbours."""
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return R.sample(M.tier_counts(p, s), 10, 3, by=F.col("high")).select("seq")
+    return R.sample(M.counted_tiers(_scored(spark, sf_dir)), 10, 3, by=F.col("high")).select("seq")
 
 
 @query(ALL.rstrip() + ", fd AS (SELECT seq_a, seq_b, sim, row_number() OVER (PARTITION BY seq_a ORDER BY md5('5:' || seq_a || ':' || seq_b), seq_b) AS n FROM m WHERE sim >= 0.5 AND sim <= 0.75 AND seq_b % 3 <> 0) SELECT seq_a, seq_b, sim FROM fd WHERE n = 1")
@@ -223,14 +222,12 @@ PAGE = _with(ASSETS_SQL, SCORED, TFIDF, ETIDF, DENSE, REPORT, TIERS)
 
 @query(PAGE + "SELECT count(*) AS total, count(*) FILTER (done) AS eligible, count(*) FILTER (high >= 3) AS with_high, count(*) FILTER (difficulty_band IN ('hard', 'very_hard')) AS hard_or_more, count(*) FILTER (rp.coverage_gap) AS coverage_gaps, max(ambiguity_score) AS max_score FROM rp JOIN tcs USING (seq) WHERE can_be_ground_truth")
 def page_counters(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return M.page_counters(_report(spark, sf_dir)[1], M.tier_counts(p, s))
+    return M.page_counters(_report(spark, sf_dir)[1], M.counted_tiers(_scored(spark, sf_dir)))
 
 
 @query(PAGE + "SELECT rp.seq, rp.type, ambiguity_score FROM rp JOIN tcs USING (seq) WHERE done AND rp.type IN ('agent', 'dataProduct')")
 def shown_rows(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    report = _report(spark, sf_dir)[1].join(M.tier_counts(p, s).select("seq", F.col("done").alias("eligible")), "seq")
+    report = _report(spark, sf_dir)[1].join(M.counted_tiers(_scored(spark, sf_dir)).select("seq", F.col("done").alias("eligible")), "seq")
     return M.shown_rows(report, True, ("agent", "dataProduct")).select("seq", "type", "ambiguity_score")
 
 

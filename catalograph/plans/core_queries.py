@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from ..operators import blocks as B
 from ..operators import disambiguation as D
 from ..operators import features as E
 from ..operators import pairs as P
+from ..operators import threshold as J
 from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
-from ..session import shared_folder
+from ..session import written
 from ..sources.fixtures import ASSETS_SQL, assets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,18 +103,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scored(assets(spark, sf_dir))
 
 
-_FOUND: dict[tuple[str, str], str] = {}
-
-
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The best neighbours by block, written once per session and folder: rankings and rollups read them several times. A few rows per resource and block."""
+    """The best neighbours by block, written once for each query: rankings and rollups read them several times. A few rows per resource and block."""
     s = _scored(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FOUND:
-        path = shared_folder(spark, "neighbours")
-        B.block_neighbours(s, TOP_K, COVERAGE_GAP).write.parquet(path)
-        _FOUND[key] = path
-    return s, spark.read.parquet(_FOUND[key])
+    return s, written(B.block_neighbours(s, TOP_K, COVERAGE_GAP), "neighbours")
 
 
 def _block_pairs(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
@@ -186,13 +180,15 @@ def pair_breakdown(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.75")
 def near_duplicate_pairs(spark, sf_dir):
-    return B.block_pairs(_scored(spark, sf_dir), least=0.75, within_type=True)
+    return J.threshold_pairs(_scored(spark, sf_dir), 0.75)
 
 
 @query(ALL + "SELECT seq_a, count(*) FILTER (sim >= 0.5 AND sim < 0.75) AS high_below_dup, count(*) FILTER (sim >= 0.5 AND sim <= 0.75) AS high_closed FROM m WHERE sim >= 0.5 GROUP BY 1")
 def high_windows(spark, sf_dir):
-    m = P.mirror(_block_pairs(spark, sf_dir, least=0.5)[1]).filter("sim >= 0.5")
-    return m.groupBy("seq_a").agg(F.count_if(F.col("sim") < 0.75).alias("high_below_dup"), F.count_if(F.col("sim") <= 0.75).alias("high_closed"))
+    # Scores have four digits: the closed window ends before the next one.
+    windows = {"high_below_dup": (0.5, 0.75), "high_closed": (0.5, 0.75005), "high": (0.5, math.inf)}
+    n = B.block_counts(_scored(spark, sf_dir), windows, "type").groupBy(F.col("seq").alias("seq_a"))
+    return n.agg(*[F.sum(w).alias(w) for w in windows]).filter("high > 0").drop("high")
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim, rank FROM nb WHERE rank <= 5")
@@ -236,26 +232,22 @@ def preselect_pairs(spark, sf_dir):
 
 @query(TIERED + "SELECT * FROM tcs")
 def tier_counts(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return M.tier_counts(p, s)
+    return M.counted_tiers(_scored(spark, sf_dir))
 
 
 @query(TIERED + "SELECT seq FROM tcs WHERE done AND type IN ('agent', 'apiResource', 'dataProduct')")
 def gt_eligible(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return M.tier_counts(p, s).filter(F.col("done") & F.col("type").isin("agent", "apiResource", "dataProduct")).select("seq")
+    return M.counted_tiers(_scored(spark, sf_dir)).filter(F.col("done") & F.col("type").isin("agent", "apiResource", "dataProduct")).select("seq")
 
 
 @query(TIERED + "SELECT type, count(*) AS n, count(*) FILTER (high >= 3) AS high_met, count(*) FILTER (medium >= 5) AS medium_met, count(*) FILTER (low >= 5) AS low_met, count(*) FILTER (done) AS all_met, sum(high)::BIGINT // 2 AS high_pairs, sum(medium)::BIGINT // 2 AS medium_pairs, sum(low)::BIGINT // 2 AS low_pairs FROM tcs GROUP BY 1")
 def tier_progress(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return M.progress(M.tier_counts(p, s))
+    return M.progress(M.counted_tiers(_scored(spark, sf_dir)))
 
 
 @query(TIERED + "SELECT coalesce(bool_and(done), true) AS all_done, count(*) AS n FROM tcs WHERE type IN ('agent', 'apiResource', 'dataProduct')")
 def all_ground_truth_done(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return M.all_done(M.tier_counts(p, s))
+    return M.all_done(M.counted_tiers(_scored(spark, sf_dir)))
 
 
 @query(_with(ASSETS_SQL) + "SELECT namespace, count(*) FILTER (type = 'apiResource') AS \"apiResource\", count(*) FILTER (type = 'agent') AS agent, count(*) FILTER (type = 'dataProduct') AS \"dataProduct\", count(*) FILTER (type = 'entityType') AS \"entityType\", count(*) FILTER (type = 'event') AS event, count(*) FILTER (type IN ('agent', 'apiResource', 'dataProduct')) AS ground_truth, count(*) AS total FROM asset GROUP BY ROLLUP (namespace)")
@@ -334,27 +326,26 @@ def _high_sql(on: str, where: str) -> str:
 
 @query(_high_sql("", "true") + " SELECT * FROM hc")
 def high_counts_all(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
-    return D.high_counts(p, s)
+    s = _scored(spark, sf_dir)
+    return D.counted_high(s, s)
 
 
 @query(_high_sql("", "s.enriched") + " SELECT * FROM hc")
 def high_counts_enriched(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
-    return D.high_counts(p, s.filter("enriched"))
+    s = _scored(spark, sf_dir)
+    return D.counted_high(s, s.filter("enriched"))
 
 
 @query(_high_sql("AND en_b", "s.enriched") + " SELECT * FROM hc WHERE high > 0")
 def high_counts_enriched_pairs(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
-    e = s.filter("enriched")
-    return D.high_counts(p, e, among=e).filter("high > 0")
+    s = _scored(spark, sf_dir)
+    return D.counted_high(s, s.filter("enriched"), among=True).filter("high > 0")
 
 
 @query(_high_sql("", "true") + " SELECT count(*) AS n, sum(high)::BIGINT AS high_total, sum(high_extended)::BIGINT AS high_total_extended, round(avg(high), 3) AS high_mean, round(avg(high_extended), 3) AS high_mean_extended, round(100.0 * (sum(high) - sum(high_extended)) / nullif(sum(high), 0), 1) AS removed_pct, count(*) FILTER (high_extended < high) AS fewer, count(*) FILTER (high_extended > high) AS more FROM hc")
 def disambiguation_summary(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, extended=True, least=0.25)
-    return D.summary(D.high_counts(p, s))
+    s = _scored(spark, sf_dir)
+    return D.summary(D.counted_high(s, s))
 
 
 @query(EXT + "SELECT seq_a, seq_b, sim, sim_extended FROM (SELECT *, row_number() OVER (PARTITION BY seq_a ORDER BY sim DESC, seq_b) AS k FROM xm WHERE sim >= 0.1) WHERE k = 1")

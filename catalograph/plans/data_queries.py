@@ -17,6 +17,7 @@ from ..operators import logs as L
 from ..operators import reduction as R
 from ..operators import solvability as S
 from ..operators import stats as T
+from ..operators import threshold as J
 from ..operators import validate as Q
 from ..operators.features import entity_idf
 from ..sources import records, sinks
@@ -421,8 +422,7 @@ def near_duplicate_decisions(spark, sf_dir):
 
 @query(TIERED + "SELECT seq, CASE WHEN high_needed > 0 THEN 'high' ELSE 'medium' END AS tier, CASE WHEN high_needed > 0 THEN high_needed ELSE medium_needed END AS missing FROM tcs WHERE high_needed > 0 OR medium_needed > 0")
 def gap_list(spark, sf_dir):
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    return R.gaps(M.tier_counts(p, s))
+    return R.gaps(M.counted_tiers(_scored(spark, sf_dir)))
 
 
 @query(_with(ASSETS_SQL).rstrip() + ", c AS (SELECT count(*) FILTER (type = 'apiResource') AS a, count(*) FILTER (type = 'agent') AS g, count(*) FILTER (type = 'dataProduct') AS d FROM asset), t AS (SELECT 'apiResource' AS type, 0.5 - a / (a + g + d) AS deficit, 0 AS o FROM c UNION ALL SELECT 'agent', 0.25 - g / (a + g + d), 1 FROM c UNION ALL SELECT 'dataProduct', 0.25 - d / (a + g + d), 2 FROM c) SELECT type, round(deficit, 6) AS deficit FROM t ORDER BY deficit DESC, o LIMIT 1")
@@ -451,8 +451,8 @@ SELECT seq, CASE WHEN namespace <> 'sys0' THEN 0 WHEN one >= 0.25 THEN 7 ELSE 8
 )
 def fitting_profiles(spark, sf_dir):
     """For the resources with missing MEDIUM neighbours: the first attribute profile in the tier, by the text-free metric."""
-    s, p = _block_pairs(spark, sf_dir, least=0.1)
-    missing = M.tier_counts(p, s).filter("medium_needed > 0").select("seq")
+    s = _scored(spark, sf_dir)
+    missing = M.counted_tiers(s).filter("medium_needed > 0").select("seq")
     target = s.join(missing, "seq", "left_semi").withColumns({"new_type": F.col("type"), "new_namespace": F.lit("sys0")})
     scored = R.profile_scores(R.candidate_profiles(target, "medium"), target, entity_idf(s))
     return R.first_fitting(scored, "medium")
@@ -588,7 +588,7 @@ def idempotent_annotation(spark, sf_dir):
 
 @query(ALL + "SELECT CAST(seq_a AS VARCHAR) AS id_a, CAST(seq_b AS VARCHAR) AS id_b, round(sim, 3) AS full_sim FROM p WHERE sim >= 0.75")
 def near_duplicate_list(spark, sf_dir):
-    p = B.block_pairs(_scored(spark, sf_dir), least=0.75, within_type=True)
+    p = J.threshold_pairs(_scored(spark, sf_dir), 0.75)
     return sinks.near_duplicate_list(p.select(F.col("seq_a").cast("string").alias("id_a"), F.col("seq_b").cast("string").alias("id_b"), "sim"))
 
 

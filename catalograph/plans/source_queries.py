@@ -31,17 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
-_MADE: dict[tuple, str] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, tag: str, write: Callable[[str], None]) -> str:
-    """The folder that write() filled, once in a session for each folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, tag)
-    if key not in _MADE:
-        path = shared_folder(spark, tag)
-        write(path)
-        _MADE[key] = path
-    return _MADE[key]
+def _filled(spark: SparkSession, tag: str, write: Callable[[str], None]) -> str:
+    """A new folder that write() filled for this use, so that a reader sees the tables as they are."""
+    path = shared_folder(spark, tag)
+    write(path)
+    return path
 
 
 # JSON text by expressions: values are texts without quotes.
@@ -99,7 +93,7 @@ def _document_rows(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFram
 
 def _clean(spark: SparkSession, sf_dir: str, enriched: bool = False) -> DataFrame:
     rows = lambda path: _document_rows(spark, sf_dir, enriched).write.partitionBy("namespace").text(path)
-    path = _once(spark, sf_dir, "documents-enriched" if enriched else "documents", rows)
+    path = _filled(spark, "documents-enriched" if enriched else "documents", rows)
     return catalogue.documents(spark, path, F.regexp_extract("_metadata.file_path", "namespace=([^/]+)", 1))
 
 
@@ -226,7 +220,7 @@ def ambiguity_report_rows(spark, sf_dir):
     near = _list(_object(ordId=_q("p", F.col("p_partkey") + 1), sim=F.lit("0.5")))
     item = _object(ordId=_q("p", F.col("p_partkey")), title=_q(F.col("p_name")), ambiguity_score=F.round(F.col("p_size") / 50.0, 4).cast("string"), coverage_gap=(F.col("p_size") % 2 == 0).cast("string"), top_neighbors=near)
     whole = _gathered(p, "slice", "p_partkey", item, "list").select("slice", _object(resources=F.col("list")).alias("value"))
-    path = _once(spark, sf_dir, "report", lambda at: whole.write.partitionBy("slice").text(at))
+    path = _filled(spark, "report", lambda at: whole.write.partitionBy("slice").text(at))
     return records.ambiguity_report(spark, path).select("ordId", "ambiguity_score", "coverage_gap", F.col("top_neighbors")[0]["ordId"].alias("nearest"))
 
 
@@ -241,7 +235,7 @@ def _log_item() -> Column:
 @query(f"SELECT 'e' || event_id AS \"ordId\", {_OUTCOMES} AS outcome, (1 + user_id % 5)::INT AS round, date_trunc('second', ts)::TIMESTAMP AS ts, event_id % 2 = 0 AS coherent FROM events")
 def generation_log_rows(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("slice", F.col("event_id") % 8)
-    path = _once(spark, sf_dir, "log", _arrays(e, "slice", "event_id", _log_item()))
+    path = _filled(spark, "log", _arrays(e, "slice", "event_id", _log_item()))
     return records.generation_log(spark, path).select("ordId", "outcome", "round", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("judge_verdict")["c2_coherent"].alias("coherent"))
 
 
@@ -249,7 +243,7 @@ def generation_log_rows(spark, sf_dir):
 def json_lines_rows(spark, sf_dir):
     """Every fiftieth line is blank."""
     e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 == 3, F.lit("")).otherwise(_log_item()).alias("value"))
-    path = _once(spark, sf_dir, "lines", lambda at: e.write.text(at))
+    path = _filled(spark, "lines", lambda at: e.write.text(at))
     return L.outcome_counts(records.json_lines(spark, path, LOG_EVENT)).select("outcome", "n")
 
 
@@ -257,7 +251,7 @@ def json_lines_rows(spark, sf_dir):
 def frozen_pair_rows(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     pairs = p.select(F.concat(F.lit("p"), "p_partkey").alias("ordId_A"), F.concat(F.lit("q"), "p_partkey").alias("ordId_B"), (F.col("p_size") / 51.0).alias("structural_sim"), (F.col("p_size") / 70.0).alias("embedding_cos"))
-    return records.frozen_pairs(spark, _once(spark, sf_dir, "pairs", lambda at: sinks.write_pairs_csv(pairs, at)))
+    return records.frozen_pairs(spark, _filled(spark, "pairs", lambda at: sinks.write_pairs_csv(pairs, at)))
 
 
 _MODES = {"1-URGENT": "SG", "2-HIGH": "SA", "3-MEDIUM": "DY", "4-NOT SPECIFIED": "OOS", "5-LOW": "XX"}
@@ -273,7 +267,7 @@ def _runtime_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, i = table(spark, sf_dir, "orders").withColumn("slice", F.col("o_orderkey") % 4), F.col("o_orderkey")
     steps = F.array_join(F.slice(F.array(*[_object(outcome=_q(x), note=_q("n")) for x in ("too_easy", "judge_fail", "accepted")]), F.lit(1), (i % 4).cast("int")), ",")
     item = _object(case_id=_q(F.lower(_mode()), "-", i), query_class=_q("c", i % 3), prompt=_q("prompt ", i), expected_ordIds=_list(_q("x", i % 7)), evolution_log=F.concat(F.lit("["), steps, F.lit("]")))
-    paths = {v: _once(spark, sf_dir, f"cases-{v}", _arrays(o.filter(F.col("o_orderpriority") == k), "slice", "o_orderkey", item)) for k, v in _MODES.items()}
+    paths = {v: _filled(spark, f"cases-{v}", _arrays(o.filter(F.col("o_orderpriority") == k), "slice", "o_orderkey", item)) for k, v in _MODES.items()}
     return records.runtime_cases(spark, paths)
 
 
@@ -302,7 +296,7 @@ def provenance_expected(spark, sf_dir):
     o, i = table(spark, sf_dir, "orders").withColumn("slice", F.col("o_orderkey") % 4), F.col("o_orderkey")
     gaps = _list(_object(ordId=_q("g", i % 5)), _object(ordId=_q("h", i % 3)))
     item = _object(case_id=_q("c", i), mode=_q(_mode()), gap_resources=F.when(i % 2 == 0, gaps), selected_resources=F.when(i % 2 == 1, gaps), accepted_case=_object(expected_ordIds=_list(_q("a", i % 2)), prompt=_q("p")))
-    path = _once(spark, sf_dir, "provenance", _arrays(o, "slice", "o_orderkey", item))
+    path = _filled(spark, "provenance", _arrays(o, "slice", "o_orderkey", item))
     return records.provenance(spark, path).select("case_id", "expected")
 
 
@@ -311,7 +305,7 @@ def certification_run_files(spark, sf_dir):
     """Three run files for each nation; the second of every fifth is broken."""
     keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
     text = lambda k, i: "{broken" if k % 5 == 0 and i == 2 else f'{{"nonce": "case{k}_{i}", "output": {{"picked_ordId": "r{i}"}}, "expected_ordIds": ["r1"], "solved": {str((k + i) % 3 == 0).lower()}, "cached": false, "latency_s": 1.5, "tokens": 10}}'
-    path = _once(spark, sf_dir, "runs", lambda at: sinks.write_texts(spark, at, {f"case{k}/run_{i}.json": text(k, i) for k in keys for i in (1, 2, 3)}))
+    path = _filled(spark, "runs", lambda at: sinks.write_texts(spark, at, {f"case{k}/run_{i}.json": text(k, i) for k in keys for i in (1, 2, 3)}))
     return records.certification_runs(spark, path).select("case_id", "run", "solved", "picked")
 
 
@@ -352,7 +346,7 @@ metadata:
 def _skills(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "nation").collect()
     texts = {f"skill_{r.n_nationkey}.md": _SKILL.format(k=r.n_nationkey, name=r.n_name, kind="cmmn" if r.n_nationkey % 2 else "bpmn", b=r.n_nationkey % 3) for r in rows}
-    return records.skills(spark, _once(spark, sf_dir, "skills", lambda at: sinks.write_texts(spark, at, texts)), compat)
+    return records.skills(spark, _filled(spark, "skills", lambda at: sinks.write_texts(spark, at, texts)), compat)
 
 
 _SKILL_IDS = "['ns' || n_nationkey || ':apiResource:A' || n_nationkey || ':v1', 'ns' || n_nationkey || ':agent:B' || (n_nationkey % 3) || ':v1']"
@@ -398,7 +392,7 @@ _PROCESS = """<process name="x" id="proc_{word}_request_{k}_v2">
 def _process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").collect()
     texts = {f"p{r.n_nationkey}.xml": _PROCESS.format(k=r.n_nationkey, name=r.n_name, word="hire" if r.n_nationkey % 2 else "leave") for r in rows} | {"p0_enrichment.xml": "<x/>"}
-    return records.processes(spark, _once(spark, sf_dir, "processes", lambda at: sinks.write_texts(spark, at, texts)))
+    return records.processes(spark, _filled(spark, "processes", lambda at: sinks.write_texts(spark, at, texts)))
 
 
 @query("SELECT 'p' || n_nationkey AS process_id, CASE WHEN n_nationkey % 2 = 1 THEN 'hire' ELSE 'leave' END || ' request ' || n_nationkey AS title FROM nation")
@@ -498,7 +492,7 @@ def partitioned_provenance(spark, sf_dir):
 @query("SELECT 'there' AS file, count(*) AS n FROM region UNION ALL SELECT 'absent', 0")
 def optional_files(spark, sf_dir):
     schema = "r_regionkey int, r_name string"
-    path = _once(spark, sf_dir, "optional", lambda at: table(spark, sf_dir, "region").write.json(at))
+    path = _filled(spark, "optional", lambda at: table(spark, sf_dir, "region").write.json(at))
     count = lambda p, name: records.or_empty(spark, lambda: records.json_lines(spark, p, schema), schema).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("file"), "n")
     return count(path, "there").unionByName(count(path + "-absent", "absent"))
 

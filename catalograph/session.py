@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/catalograph/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of its own in the shared folder: computed once, read as often as needed, whatever executors are lost."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows up to which a table may meet every row of another one.
 SMALL = 100_000
 
