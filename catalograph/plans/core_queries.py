@@ -16,6 +16,7 @@ from ..operators import disambiguation as D
 from ..operators import features as E
 from ..operators import pairs as P
 from ..operators import threshold as J
+from ..operators import topk as K
 from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
 from ..session import written
 from ..sources.fixtures import ASSETS_SQL, assets
@@ -193,7 +194,7 @@ def high_windows(spark, sf_dir):
 
 @query(ALL + "SELECT seq_a, seq_b, sim, rank FROM nb WHERE rank <= 5")
 def top_k(spark, sf_dir):
-    return _report(spark, sf_dir)[0].select("seq_a", "seq_b", "sim", "rank")
+    return K.bounded_neighbours(_scored(spark, sf_dir), TOP_K).select("seq_a", "seq_b", "sim", "rank")
 
 
 @query(FULL + "SELECT * FROM rp")
@@ -221,7 +222,7 @@ _ONCE = "o AS (SELECT *, row_number() OVER (PARTITION BY least(seq_a, seq_b), gr
 
 @query(ALL.rstrip() + ", " + _ONCE + " SELECT seq_a, seq_b, sim FROM o WHERE nth = 1 ORDER BY sim DESC, seq_a, rank LIMIT 20")
 def top_pairs(spark, sf_dir):
-    return M.top_pairs(_report(spark, sf_dir)[0]).select("seq_a", "seq_b", "sim")
+    return M.top_pairs(K.bounded_neighbours(_scored(spark, sf_dir), TOP_K)).select("seq_a", "seq_b", "sim")
 
 
 @query(FULL + "SELECT seq_a, seq_b, sim, rp.difficulty_band AS correct_difficulty_band FROM nb JOIN rp ON rp.seq = seq_a WHERE rank <= 5 AND sim >= 0.25 AND rp.can_be_ground_truth ORDER BY sim DESC, seq_a, rank LIMIT 50")
@@ -262,7 +263,7 @@ def type_shares(spark, sf_dir):
 
 @query(ALL + f"SELECT {_r4('avg(m)')} AS mean_ambiguity, count(*) AS n FROM (SELECT avg(sim) AS m FROM nb WHERE rank <= 5 GROUP BY seq_a)")
 def mean_top5_ambiguity(spark, sf_dir):
-    return M.mean_top_ambiguity(_report(spark, sf_dir)[0])
+    return M.mean_top_ambiguity(K.bounded_neighbours(_scored(spark, sf_dir), TOP_K))
 
 
 @query(ALL + "SELECT seq_a, seq_b, sim FROM p WHERE (seq_a % 50 = 7 OR seq_b % 50 = 7) AND sim >= 0.25")

@@ -19,6 +19,7 @@ from ..operators import solvability as S
 from ..operators import stats as T
 from ..operators import threshold as J
 from ..operators import validate as Q
+from ..operators.rounds import reduce_in_rounds
 from ..operators.features import entity_idf
 from ..sources import records, sinks
 from ..sources.fixtures import ASSETS_SQL, assets, table
@@ -420,6 +421,21 @@ def near_duplicate_decisions(spark, sf_dir):
     return R.high_without(p, near).withColumn("action", R.decide(F.col("high_a"), F.col("high_b")))
 
 
+@query(
+    ALL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """, np AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC, seq_a, seq_b) AS i, seq_a, seq_b, sim FROM p WHERE sim >= 0.75),
+hi AS MATERIALIZED (SELECT seq_a AS e, seq_b AS o FROM m WHERE sim >= 0.5 AND sim < 0.75),
+st(i, gone, dropped) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT
+  UNION ALL SELECT i, CASE WHEN d IS NULL THEN gone ELSE list_append(gone, d) END, d FROM (SELECT np.i, st.gone, CASE WHEN list_contains(st.gone, np.seq_a) OR list_contains(st.gone, np.seq_b) THEN NULL
+    WHEN (SELECT count(*) FROM hi WHERE hi.e = np.seq_b AND NOT list_contains(st.gone, hi.o)) < 3 AND (SELECT count(*) FROM hi WHERE hi.e = np.seq_a AND NOT list_contains(st.gone, hi.o)) >= 3 THEN np.seq_a ELSE np.seq_b END AS d
+    FROM st JOIN np ON np.i = st.i + 1))
+SELECT np.seq_a, np.seq_b, np.sim, CASE WHEN st.dropped = np.seq_a THEN 'drop_a' ELSE 'drop_b' END AS action FROM st JOIN np USING (i) WHERE st.dropped IS NOT NULL"""
+)
+def near_duplicate_reduction(spark, sf_dir):
+    """All pairs decided in their order, many a round, on the scores of the whole catalogue; what would be rewritten goes."""
+    return reduce_in_rounds(B.block_pairs(_scored(spark, sf_dir), least=R.HIGH))[0].drop("round")
+
+
 @query(TIERED + "SELECT seq, CASE WHEN high_needed > 0 THEN 'high' ELSE 'medium' END AS tier, CASE WHEN high_needed > 0 THEN high_needed ELSE medium_needed END AS missing FROM tcs WHERE high_needed > 0 OR medium_needed > 0")
 def gap_list(spark, sf_dir):
     return R.gaps(M.counted_tiers(_scored(spark, sf_dir)))
