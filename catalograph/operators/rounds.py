@@ -56,10 +56,10 @@ def reduce_in_rounds(pairs: DataFrame, need: int = TIER_MINIMUM["high"], most: i
         decided.append(now)
         dropped = now.select(F.when(F.col("action") == "drop_a", F.col("o.seq_a")).otherwise(F.col("o.seq_b")).alias("seq"), F.col("o").alias("when"))
         gone = written(dropped if gone is None else gone.unionByName(dropped), "gone")
-        # What lost an end is passed over.
+        # What is decided, or lost an end before its turn, is no longer open.
         left = open_.select("o", "sure", F.col("o.seq_a").alias("a"), F.col("o.seq_b").alias("b"))
         for c in "ab":
-            left = left.join(dropped.select(F.col("seq").alias(c)), c, "left_anti")
+            left = left.join(dropped.select(F.col("seq").alias(f"_{c}"), "when"), (F.col(c) == F.col(f"_{c}")) & (F.col("when") <= F.col("o")), "left_anti")
         open_ = written(left.select("o", "sure"), "open")
     else:
         raise RuntimeError(f"pairs are open after {most} rounds")

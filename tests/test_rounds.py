@@ -28,6 +28,13 @@ def test_rounds_give_the_result_of_the_loop(spark, seed):
     assert sorted(tuple(r)[:4] for r in got.collect()) == loop(pairs, 3) and rounds >= 1
 
 
+def test_a_pair_before_the_drop_of_its_first_end_counts(spark):
+    """(0, 2) is sure and drops 2 at once; (2, 5) comes before it but has to wait for (1, 5), which drops 1."""
+    pairs = [(1, 5, 0.95), (2, 5, 0.9), (0, 2, 0.8), (1, 10, 0.6), (1, 11, 0.6), (1, 12, 0.6)]
+    got, _ = reduce_in_rounds(spark.createDataFrame(pairs, "seq_a long, seq_b long, sim double"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == loop(pairs, 3) == [(0, 2, 0.8, "drop_b"), (1, 5, 0.95, "drop_a"), (2, 5, 0.9, "drop_b")]
+
+
 def test_without_near_duplicates(spark):
     got, rounds = reduce_in_rounds(spark.createDataFrame([(1, 2, 0.6)], "seq_a long, seq_b long, sim double"))
     assert got.collect() == [] and rounds == 0
