@@ -6,8 +6,10 @@ length of the text, wins. Texts are lower-cased letters with one space for every
 
 Training reads whole texts of at most `most` labelled rows a language: the least by a hash of doc_id of those with at most LONGEST
 characters (of the longer ones one, where a language has no other), a documented bound. Prediction reads whole
-texts. To parse with numpy, a batch of texts steps through the automata at once; a text of more than STREAM letters is
-parsed as streams of that many, whose phrases are summed, which adds a phrase for each cut at most.
+texts. To parse with numpy, a batch of texts steps through the automata at once, long ones as streams of STREAM letters. A
+stream starts as if a phrase began there; then the parse of the stream before is carried on into it, beside its own, until both
+are in one state, from where on they agree, and the phrases up to there are put right. So the result is that of one parse from the first letter to
+the last, whatever STREAM is.
 
 Defined cases: null text, or one without a letter: `und` with score 0; U+0000 is no letter like any other; ties go to the
 smaller language name; without any training text all languages are `und`; languages are bounded by the labels that
@@ -136,23 +138,56 @@ class LanguageModel:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_streams) - n_streams, n_streams)
         start = bounds[:-1][owner] + nth * STREAM
         length = np.minimum(STREAM, bounds[1:][owner] - start)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
         at = np.searchsorted(self.alphabet, codes)
         at[at == len(self.alphabet)] = 0
         symbol = np.where(self.alphabet[at] == codes, at + 2, 1).astype(np.int32)
-        active = np.searchsorted(-length, -np.arange(STREAM), "left")  # streams longer than t
+        order = np.argsort(-length, kind="stable")
+        active = np.searchsorted(-length[order], -np.arange(STREAM), "left")  # streams longer than t
         for k, root in enumerate(self.roots):
             state = np.full(len(owner), root, np.int32)
             count = np.zeros(len(owner), np.int32)
-            for t in range(int(length[0])):
+            first = start[order]
+            for t in range(int(length.max())):
                 n = active[t]
-                got = self.table[state[:n] * self.width + symbol[start[:n] + t]]
+                got = self.table[state[:n] * self.width + symbol[first[:n] + t]]
                 count[:n] += got & 1
                 state[:n] = got >> 1
-            out[:, k] = np.bincount(owner, count, minlength=len(sizes)).astype(np.int64)
+            ends, total = np.empty_like(state), np.empty_like(count)
+            ends[order], total[order] = state, count
+            later = np.flatnonzero(nth > 0)
+            if len(later):
+                total[later] += self._carried(symbol, start, length, owner, later, ends, root)
+            out[:, k] = np.bincount(owner, total, minlength=len(sizes)).astype(np.int64)
         return out
 
+    def _carried(self, symbol: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, later: np.ndarray, ends: np.ndarray, root: int) -> np.ndarray:
+        """What carrying the parse over the cut adds to the phrases of each of the streams `later`, which all have one of their text before them."""
+
+        def walk(streams: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(more phrases, whether the parses met, state at the end) of streams entered in `state` instead of the root."""
+            more, own, state = np.zeros(len(streams), np.int64), np.full(len(streams), root, np.int32), state.copy()
+            going, t = np.flatnonzero(state != own), 0
+            while len(going := going[length[streams[going]] > t]):
+                s = symbol[start[streams[going]] + t]
+                a, b = self.table[state[going] * self.width + s], self.table[own[going] * self.width + s]
+                more[going] += (a & 1) - (b & 1)
+                state[going], own[going] = a >> 1, b >> 1
+                going, t = going[state[going] != own[going]], t + 1
+            return more, state == own, state
+
+        more, met, left = walk(later, ends[later - 1])
+        # Where a whole stream goes by without a meeting, the next one was entered in the wrong state: again, in order.
+        place = {int(x): i for i, x in enumerate(later)}
+        for x in later[~met].tolist():
+            i = place[x]
+            while not met[i] and x + 1 < len(owner) and owner[x + 1] == owner[x]:
+                j = place[x + 1]
+                (more[j],), (again,), (state,) = walk(later[j : j + 1], left[i : i + 1])
+                # A stream that meets now may have been in the list; one that does not goes on from here.
+                met[j], left[j] = again, state
+                x, i = x + 1, j
+        return more
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         codes, bounds = normalise(texts)
         sizes = np.diff(bounds)

@@ -199,7 +199,7 @@ def test_language_of_texts_with_code_zero(spark):
 
 
 def test_long_texts_are_streams(monkeypatch):
-    """A text over STREAM letters is the sum of the greedy parses of its streams."""
+    """A text over STREAM letters has the phrases of one greedy parse from its first letter, wherever its streams are cut."""
     monkeypatch.setattr(language_id, "STREAM", 16)
     sample = "abracadabra abcabd"
     model = language_id.LanguageModel({"x": sample})
@@ -217,7 +217,7 @@ def test_long_texts_are_streams(monkeypatch):
     texts = ["".join(rng.choice("abcd r") for _ in range(n)) for n in (300, 16, 17, 5, 0, 1000)]
     codes, bounds = language_id.normalise(texts)
     plain = ["".join(map(chr, codes[a:b])) for a, b in zip(bounds, bounds[1:])]
-    assert model.phrases(codes, bounds)[:, 0].tolist() == [sum(phrases(t[k : k + 16]) for k in range(0, len(t), 16)) for t in plain]
+    assert model.phrases(codes, bounds)[:, 0].tolist() == [phrases(t) for t in plain]
 
 
 def test_very_long_texts(spark, tmp_path):
@@ -247,3 +247,15 @@ def test_groups_below_80_percent_keep_links(monkeypatch):
     ids = [ngram_join.set_id(x) for x in ngram_join.shingle_sets(pa.array(texts))]
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
     assert linked and all(any({ids[i], ids[j]} <= m for m in met.values()) for i, j in linked)
+
+
+@pytest.mark.parametrize("stream", [1, 3, 7, 50])
+def test_streams_that_do_not_meet_are_carried_further(monkeypatch, stream):
+    """Periodic texts keep two parses apart for long; streams of any length give the same phrases."""
+    rng = random.Random(stream)
+    model = language_id.LanguageModel({"a": "abababab abaab ababa " * 3, "b": "ba" * 40 + " aab", "c": "b" * 30 + "a"})
+    texts = ["ab" * 60, "aab" * 41, "b" * 200, "a", "", "zab zzab", *["".join(rng.choice("aab z") for _ in range(rng.randrange(300))) for _ in range(30)]]
+    codes, bounds = language_id.normalise(texts)
+    whole = model.phrases(codes, bounds).tolist()
+    monkeypatch.setattr(language_id, "STREAM", stream)
+    assert model.phrases(codes, bounds).tolist() == whole
