@@ -87,7 +87,7 @@ def _document_rows(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFram
         return out
     i = F.col("id")
     entry = _object(ordId=kind("E", i), title=_q("Entity ", i), partOfPackage=_q(f"{TAXONOMY_NAMESPACE}:package:P0:v1"), relatedEntityTypes=_list(_object(ordId=kind("E", (i + 1) % 6)), kind("X", i)))
-    taxonomy = _gathered(spark.range(6).withColumn("k", F.lit(0)), "k", "id", entry, "types")
+    taxonomy = _gathered(table(spark, sf_dir, "part").select((F.col("p_partkey") % 6).alias("id"), F.lit(0).alias("k")).distinct(), "k", "id", entry, "types")
     return out.unionByName(taxonomy.select(F.lit(TAXONOMY_NAMESPACE).alias("namespace"), _object(entityTypes=F.col("types"), packages=_list(_object(ordId=_q(f"{TAXONOMY_NAMESPACE}:package:P0:v1"), title=_q("Taxonomy")))).alias("value")))
 
 
@@ -165,12 +165,12 @@ def agent_calls(spark, sf_dir):
     return G.agent_calls(catalogue.dependencies(docs), catalogue.resources(docs).filter("type = 'agent'"))
 
 
-@query(f"SELECT '{TAXONOMY_NAMESPACE}:entityType:E' || i || ':v1' AS id, 'Entity ' || i AS title, 'Taxonomy' AS package_title, ['{TAXONOMY_NAMESPACE}:entityType:E' || ((i + 1) % 6) || ':v1', '{TAXONOMY_NAMESPACE}:entityType:X' || i || ':v1'] AS related FROM range(6) t(i)")
+@query(f"SELECT '{TAXONOMY_NAMESPACE}:entityType:E' || i || ':v1' AS id, 'Entity ' || i AS title, 'Taxonomy' AS package_title, ['{TAXONOMY_NAMESPACE}:entityType:E' || ((i + 1) % 6) || ':v1', '{TAXONOMY_NAMESPACE}:entityType:X' || i || ':v1'] AS related FROM (SELECT DISTINCT p_partkey % 6 AS i FROM part)")
 def catalogue_entity_types(spark, sf_dir):
     return catalogue.entity_types(_documents(spark, sf_dir)).select("id", "title", "package_title", "related")
 
 
-@query(f"SELECT '{TAXONOMY_NAMESPACE}:entityType:E' || i || ':v1' AS id FROM range(6) t(i)")
+@query(f"SELECT '{TAXONOMY_NAMESPACE}:entityType:E' || i || ':v1' AS id FROM (SELECT DISTINCT p_partkey % 6 AS i FROM part)")
 def catalogue_entity_ids(spark, sf_dir):
     return catalogue.entity_ids(_documents(spark, sf_dir))
 
@@ -300,13 +300,15 @@ def provenance_expected(spark, sf_dir):
     return records.provenance(spark, path).select("case_id", "expected")
 
 
-@query("SELECT 'case' || n_nationkey AS case_id, i::INT AS run, (n_nationkey + i) % 3 = 0 AS solved, 'r' || i AS picked FROM nation, range(1, 4) t(i) WHERE NOT (n_nationkey % 5 = 0 AND i = 2)")
+@query("SELECT 'case' || s_suppkey AS case_id, i::INT AS run, (s_suppkey + i) % 3 = 0 AS solved, 'r' || i AS picked FROM supplier, range(1, 4) t(i) WHERE NOT (s_suppkey % 5 = 0 AND i = 2)")
 def certification_run_files(spark, sf_dir):
-    """Three run files for each nation; the second of every fifth is broken."""
-    keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
-    text = lambda k, i: "{broken" if k % 5 == 0 and i == 2 else f'{{"nonce": "case{k}_{i}", "output": {{"picked_ordId": "r{i}"}}, "expected_ordIds": ["r1"], "solved": {str((k + i) % 3 == 0).lower()}, "cached": false, "latency_s": 1.5, "tokens": 10}}'
-    path = _filled(spark, "runs", lambda at: sinks.write_texts(spark, at, {f"case{k}/run_{i}.json": text(k, i) for k in keys for i in (1, 2, 3)}))
-    return records.certification_runs(spark, path).select("case_id", "run", "solved", "picked")
+    """Three run files for each supplier; the second of every fifth is broken."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"))
+    k, i = F.col("k"), F.col("i")
+    run = _object(nonce=_q("case", k, "_", i), output=_object(picked_ordId=_q("r", i)), expected_ordIds=_list(_q("r1")), solved=((k + i) % 3 == 0).cast("string"), cached=F.lit("false"), latency_s=F.lit("1.5"), tokens=F.lit("10"))
+    text = F.when((k % 5 == 0) & (i == 2), "{broken").otherwise(run)
+    path = _filled(spark, "runs", lambda at: rows.select(F.concat(F.lit("case"), k).alias("case"), i.alias("run"), text.alias("value")).write.partitionBy("case", "run").text(at))
+    return records.certification_runs(spark, path, F.regexp_extract("_path", "case=([^/]+)", 1)).select("case_id", "run", "solved", "picked")
 
 
 @query(f"SELECT 'c' || o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' WHEN k.n IS NOT NULL THEN '{{\"n_runs\":' || k.n || ',\"n_solved\":' || k.s || ',\"verdict\":\"' || CASE WHEN k.s = 0 THEN 'robust' WHEN k.s <= k.n // 5 THEN 'borderline' ELSE 'too_easy' END || '\"}}' END AS block FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS s FROM lineitem GROUP BY 1) k ON l_orderkey = o_orderkey")
@@ -327,55 +329,58 @@ def loaded_cases(spark, sf_dir):
     return records.loaded_cases(cases, titles, gt_only=True).select("case_id", "label", "expected")
 
 
-# Skills and processes: one file for each nation.
+# Skills and processes: one file for each supplier.
 
-_SKILL = """---
-name: "skill {k}"
-description: >
-  handles requests of {name}
-  and more
-metadata:
-  process-type: {kind}
----
-# Steps
-1. Open the form <!-- ord_confirmed: ns{k}:apiResource:A{k}:v1 -->
-2. Send it to {name} <!-- ord_confirmed: ns{k}:agent:B{b}:v1 -->
-"""
+def _written_files(rows: DataFrame, tag: str) -> str:
+    """A file for each row (name, value), written by the tasks, in a folder name=... below the returned one."""
+    return _filled(rows.sparkSession, tag, lambda at: rows.write.partitionBy("name").text(at))
+
+
+_SKILL = (
+    "---\nname: \"skill ", "K", "\"\ndescription: >\n  handles requests of ", "NAME", "\n  and more\nmetadata:\n  process-type: ", "KIND",
+    "\n---\n# Steps\n1. Open the form <!-- ord_confirmed: ns", "K", ":apiResource:A", "K", ":v1 -->\n2. Send it to ", "NAME", " <!-- ord_confirmed: ns", "K", ":agent:B", "B", ":v1 -->",
+)
+
+
+def _filled_in(template: tuple[str, ...], **fields: Column) -> Column:
+    """The pieces of a template put together, names of fields replaced by their values."""
+    return F.concat(*[fields[x].cast("string") if x in fields else F.lit(x) for x in template])
 
 
 def _skills(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").collect()
-    texts = {f"skill_{r.n_nationkey}.md": _SKILL.format(k=r.n_nationkey, name=r.n_name, kind="cmmn" if r.n_nationkey % 2 else "bpmn", b=r.n_nationkey % 3) for r in rows}
-    return records.skills(spark, _filled(spark, "skills", lambda at: sinks.write_texts(spark, at, texts)), compat)
+    k = F.col("s_suppkey")
+    text = _filled_in(_SKILL, K=k, NAME=F.col("s_name"), KIND=F.when(k % 2 == 1, "cmmn").otherwise("bpmn"), B=k % 3)
+    path = _written_files(table(spark, sf_dir, "supplier").select(F.concat(F.lit("skill_"), k).alias("name"), text.alias("value")), "skills")
+    return records.skills(spark, path, compat, F.regexp_extract("_metadata.file_path", "name=([^/]+)", 1))
 
 
-_SKILL_IDS = "['ns' || n_nationkey || ':apiResource:A' || n_nationkey || ':v1', 'ns' || n_nationkey || ':agent:B' || (n_nationkey % 3) || ':v1']"
+_SKILL_IDS = "['ns' || s_suppkey || ':apiResource:A' || s_suppkey || ':v1', 'ns' || s_suppkey || ':agent:B' || (s_suppkey % 3) || ':v1']"
 
 
-@query(f"SELECT 'skill_' || n_nationkey AS skill_id, 'skill ' || n_nationkey AS name, 'handles requests of ' || n_name || ' and more' AS description, CASE WHEN n_nationkey % 2 = 1 THEN 'cmmn' ELSE 'bpmn' END AS process_type, {_SKILL_IDS} AS confirmed FROM nation")
+@query(f"SELECT 'skill_' || s_suppkey AS skill_id, 'skill ' || s_suppkey AS name, 'handles requests of ' || s_name || ' and more' AS description, CASE WHEN s_suppkey % 2 = 1 THEN 'cmmn' ELSE 'bpmn' END AS process_type, {_SKILL_IDS} AS confirmed FROM supplier")
 def skill_rows(spark, sf_dir):
     return _skills(spark, sf_dir).select("skill_id", "name", "description", "process_type", "confirmed")
 
 
-@query("SELECT 'skill_' || n_nationkey AS skill_id, 'bpmn' AS process_type FROM nation")
+@query("SELECT 'skill_' || s_suppkey AS skill_id, 'bpmn' AS process_type FROM supplier")
 def skill_types_compat(spark, sf_dir):
     return _skills(spark, sf_dir, compat=True).select("skill_id", "process_type")
 
 
-@query(f"SELECT 'skill_' || n_nationkey AS skill_id, CASE WHEN n_nationkey % 4 = 0 THEN ['gt' || n_nationkey] ELSE {_SKILL_IDS} END AS gt_ids FROM nation")
+@query(f"SELECT 'skill_' || s_suppkey AS skill_id, CASE WHEN s_suppkey % 4 = 0 THEN ['gt' || s_suppkey] ELSE {_SKILL_IDS} END AS gt_ids FROM supplier")
 def skills_enriched(spark, sf_dir):
     """Every fourth process has ids of its own."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey % 4 = 0")
-    enrichment = n.select(F.concat(F.lit("skill_"), "n_nationkey").alias("process_id"), F.array(F.concat(F.lit("gt"), "n_nationkey")).alias("gt_ids"))
+    n = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0")
+    enrichment = n.select(F.concat(F.lit("skill_"), "s_suppkey").alias("process_id"), F.array(F.concat(F.lit("gt"), "s_suppkey")).alias("gt_ids"))
     return records.skills_with_enrichment(_skills(spark, sf_dir), enrichment).select("skill_id", "gt_ids")
 
 
-@query(f"SELECT 'skill_' || n_nationkey AS skill_id, i::INT AS step, CASE i WHEN 1 THEN 'Open the form' ELSE 'Send it to ' || n_name END AS text, [{_SKILL_IDS}[i]] AS ids FROM nation, range(1, 3) t(i)")
+@query(f"SELECT 'skill_' || s_suppkey AS skill_id, i::INT AS step, CASE i WHEN 1 THEN 'Open the form' ELSE 'Send it to ' || s_name END AS text, [{_SKILL_IDS}[i]] AS ids FROM supplier, range(1, 3) t(i)")
 def skill_step_rows(spark, sf_dir):
     return _skills(spark, sf_dir).select("skill_id", F.explode("steps").alias("s")).select("skill_id", "s.step", "s.text", "s.ids")
 
 
-@query("SELECT 'skill_' || n_nationkey AS process_id, 'true' AS \"S1\", CASE WHEN n_nationkey % 5 = 0 THEN 'false' ELSE 'true' END AS \"S2\", CASE WHEN n_nationkey % 5 = 0 THEN 'skipped' ELSE 'true' END AS \"S3\", CASE WHEN n_nationkey % 5 = 0 THEN 'skipped' WHEN n_nationkey % 7 = 1 THEN 'false' ELSE 'true' END AS \"S4\", n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 1 AS passed, CASE WHEN n_nationkey % 5 = 0 THEN 'S2' WHEN n_nationkey % 7 = 1 THEN 'S4' END AS first_failed FROM nation")
+@query("SELECT 'skill_' || s_suppkey AS process_id, 'true' AS \"S1\", CASE WHEN s_suppkey % 5 = 0 THEN 'false' ELSE 'true' END AS \"S2\", CASE WHEN s_suppkey % 5 = 0 THEN 'skipped' ELSE 'true' END AS \"S3\", CASE WHEN s_suppkey % 5 = 0 THEN 'skipped' WHEN s_suppkey % 7 = 1 THEN 'false' ELSE 'true' END AS \"S4\", s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 1 AS passed, CASE WHEN s_suppkey % 5 = 0 THEN 'S2' WHEN s_suppkey % 7 = 1 THEN 'S4' END AS first_failed FROM supplier")
 def validated_skills(spark, sf_dir):
     """Every fifth skill names an id that its process lacks; some leak one outside comments."""
     s = _skills(spark, sf_dir).withColumn("k", F.regexp_extract("skill_id", r"(\d+)", 1).cast("int"))
@@ -384,23 +389,28 @@ def validated_skills(spark, sf_dir):
     return Q.validate_skill(s.select(F.col("skill_id").alias("process_id"), text.alias("text"), gt.alias("gt")))
 
 
-_PROCESS = """<process name="x" id="proc_{word}_request_{k}_v2">
-<step id="s1" label="Check / open" description="Of {name}" ordId="ns{k}:apiResource:A{k}:v1"/>
-<step ordId='ns{k}:agent:B{k}:v1' description='Send it' label='Send' id='s2'></step></process>"""
+_PROCESS = (
+    "<process name=\"x\" id=\"proc_", "WORD", "_request_", "K", "_v2\">\n<step id=\"s1\" label=\"Check / open\" description=\"Of ", "NAME", "\" ordId=\"ns", "K", ":apiResource:A", "K",
+    ":v1\"/>\n<step ordId='ns", "K", ":agent:B", "K", ":v1' description='Send it' label='Send' id='s2'></step></process>",
+)
 
 
 def _process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").collect()
-    texts = {f"p{r.n_nationkey}.xml": _PROCESS.format(k=r.n_nationkey, name=r.n_name, word="hire" if r.n_nationkey % 2 else "leave") for r in rows} | {"p0_enrichment.xml": "<x/>"}
-    return records.processes(spark, _filled(spark, "processes", lambda at: sinks.write_texts(spark, at, texts)))
+    k = F.col("s_suppkey")
+    text = _filled_in(_PROCESS, WORD=F.when(k % 2 == 1, "hire").otherwise("leave"), K=k, NAME=F.col("s_name"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), k).alias("name"), text.alias("value"))
+    # Every fifth process has an enrichment beside it, which is none.
+    extra = rows.filter(F.substring("name", 2, 20).cast("long") % 5 == 0).select(F.concat("name", F.lit("_enrichment")).alias("name"), F.lit("<x/>").alias("value"))
+    path = _written_files(rows.unionByName(extra), "processes")
+    return records.processes(spark, path, F.regexp_extract("_metadata.file_path", "name=([^/]+)", 1))
 
 
-@query("SELECT 'p' || n_nationkey AS process_id, CASE WHEN n_nationkey % 2 = 1 THEN 'hire' ELSE 'leave' END || ' request ' || n_nationkey AS title FROM nation")
+@query("SELECT 'p' || s_suppkey AS process_id, CASE WHEN s_suppkey % 2 = 1 THEN 'hire' ELSE 'leave' END || ' request ' || s_suppkey AS title FROM supplier")
 def process_titles(spark, sf_dir):
     return _process_files(spark, sf_dir).select("process_id", "title")
 
 
-@query("SELECT 'p' || n_nationkey AS process_id, i::INT AS step_index, 's' || i AS step_id, CASE i WHEN 1 THEN 'Check / open' ELSE 'Send' END AS label, CASE i WHEN 1 THEN 'Of ' || n_name ELSE 'Send it' END AS description, 'ns' || n_nationkey || CASE i WHEN 1 THEN ':apiResource:A' ELSE ':agent:B' END || n_nationkey || ':v1' AS id FROM nation, range(1, 3) t(i)")
+@query("SELECT 'p' || s_suppkey AS process_id, i::INT AS step_index, 's' || i AS step_id, CASE i WHEN 1 THEN 'Check / open' ELSE 'Send' END AS label, CASE i WHEN 1 THEN 'Of ' || s_name ELSE 'Send it' END AS description, 'ns' || s_suppkey || CASE i WHEN 1 THEN ':apiResource:A' ELSE ':agent:B' END || s_suppkey || ':v1' AS id FROM supplier, range(1, 3) t(i)")
 def process_step_rows(spark, sf_dir):
     return records.process_steps(_process_files(spark, sf_dir))
 

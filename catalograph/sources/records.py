@@ -51,9 +51,16 @@ def frozen_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=PAIR_CSV)
 
 
-def skills(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
-    """(skill_id, name, description, process_type, confirmed[], steps[], text) of Markdown files. compat: only unindented keys count, so that the type reads as bpmn."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("skill_id"), F.col("value").alias("text"))
+def _files(spark: SparkSession, path: str, suffix: str, by: Column | None) -> DataFrame:
+    """(id, value) of whole files: all below path with the id `by`, or those with the suffix by their names."""
+    if by is not None:
+        return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(by.alias("id"), "value")
+    return spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{suffix}").select(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1).alias("id"), "value")
+
+
+def skills(spark: SparkSession, path: str, compat: bool = False, skill_id: Column | None = None) -> DataFrame:
+    """(skill_id, name, description, process_type, confirmed[], steps[], text) of Markdown files; skill_id: their id by the path, else by the file name. compat: only unindented keys count, so that the type reads as bpmn."""
+    files = _files(spark, path, "md", skill_id).select(F.col("id").alias("skill_id"), F.col("value").alias("text"))
     value = lambda k: front_matter_value(F.col("text"), k, nested=not compat)
     return files.select("skill_id", value("name").alias("name"), value("description").alias("description"), F.coalesce(value("process-type"), F.lit("bpmn")).alias("process_type"), confirmed_ids(F.col("text")).alias("confirmed"), skill_steps(F.col("text")).alias("steps"), "text")
 
@@ -63,9 +70,9 @@ def skills_with_enrichment(skills_: DataFrame, enrichment: DataFrame) -> DataFra
     return skills_.join(enrichment.select(F.col("process_id").alias("skill_id"), "gt_ids"), "skill_id", "left").withColumn("gt_ids", F.coalesce("gt_ids", "confirmed"))
 
 
-def processes(spark: SparkSession, path: str) -> DataFrame:
-    """(process_id, xml, title) of XML files."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.xml$", 1).alias("process_id"), F.col("value").alias("xml"))
+def processes(spark: SparkSession, path: str, process_id: Column | None = None) -> DataFrame:
+    """(process_id, xml, title) of XML files; process_id: their id by the path, else by the file name."""
+    files = _files(spark, path, "xml", process_id).select(F.col("id").alias("process_id"), F.col("value").alias("xml"))
     return files.filter(~F.col("process_id").contains("enrichment")).withColumn("title", process_title(F.col("xml")))
 
 
@@ -106,7 +113,7 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return p.filter("mode <> 'OOS'").withColumn("expected", expected_ids(F.col("mode"), F.coalesce(ids("gap_resources"), ids("selected_resources")), fallback))
 
 
-def certification_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, run, solved, cached, latency_s, tokens) of run files <case_id>/run_<n>.json; unreadable files are left out."""
+def certification_runs(spark: SparkSession, path: str, case_id: Column | None = None) -> DataFrame:
+    """(case_id, run, solved, cached, latency_s, tokens) of run files <case_id>/run_<n>.json; unreadable files are left out. case_id: by `_path`, else the folder."""
     runs = spark.read.schema(CERT_RUN).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).withColumn("_path", F.col("_metadata.file_path"))
-    return runs.filter("nonce IS NOT NULL").select(F.element_at(F.split("_path", "/"), -2).alias("case_id"), run_ordinal(F.col("nonce")).alias("run"), "solved", "cached", "latency_s", "tokens", "expected_ordIds", F.col("output.picked_ordId").alias("picked"))
+    return runs.filter("nonce IS NOT NULL").select((F.element_at(F.split("_path", "/"), -2) if case_id is None else case_id).alias("case_id"), run_ordinal(F.col("nonce")).alias("run"), "solved", "cached", "latency_s", "tokens", "expected_ordIds", F.col("output.picked_ordId").alias("picked"))
