@@ -82,15 +82,16 @@ def silhouette(spark, sf_dir):
 
 
 def _two_views(spark, sf_dir) -> DataFrame:
-    """Cosines under the first 48 dimensions (clean) and all 64 (enriched)."""
+    """Cosines under all dimensions, weighted down by their position (clean), and as they are (enriched)."""
     items = _items(spark, sf_dir)
-    clean = V.block_cosine(items.withColumn("vector", F.slice("vector", 1, 48))).withColumnRenamed("cos", "cos_clean")
+    clean = V.block_cosine(items.withColumn("vector", F.transform("vector", lambda x, i: x.cast("double") / (i + 1)))).withColumnRenamed("cos", "cos_clean")
     return clean.join(V.block_cosine(items), ["id_a", "id_b"])
 
 
 TWO = f"""
-u48 AS MATERIALIZED (SELECT vec_id, list_transform(embedding[1:48], lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:48], lambda y: y::DOUBLE * y)))) AS v FROM embeddings),
-tv AS MATERIALIZED (SELECT cp.id_a, cp.id_b, cp.cos, list_dot_product(a.v, b.v) AS cos_clean FROM cp JOIN u48 a ON a.vec_id = id_a JOIN u48 b ON b.vec_id = id_b)
+wv AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE / i) AS w FROM embeddings),
+uw AS MATERIALIZED (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v FROM wv),
+tv AS MATERIALIZED (SELECT cp.id_a, cp.id_b, cp.cos, list_dot_product(a.v, b.v) AS cos_clean FROM cp JOIN uw a ON a.vec_id = id_a JOIN uw b ON b.vec_id = id_b)
 """
 VIEWS = _with(CP, TWO)
 

@@ -55,14 +55,19 @@ def _object(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
 
 
-def _gathered(rows: DataFrame, key: str, order: str, item: Column, into: str) -> DataFrame:
-    """One JSON list for each key, in order."""
+#: Keys a document or a file covers: each key is there once, so no file has more items, whatever the size of a table.
+PIECE = 1_000
+
+
+def _gathered(rows: DataFrame, keys: list[str], order: str, item: Column, into: str) -> DataFrame:
+    """One JSON list, in order, for each value of the keys and each piece of PIECE values of `order`."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x")))), lambda e: e["x"])
-    return rows.groupBy(key).agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias(into))
+    piece = F.floor(F.col(order) / PIECE).cast("long").alias("piece")
+    return rows.groupBy(*keys, piece).agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias(into))
 
 
 def _document_rows(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFrame:
-    """(namespace, value): the document of every system as JSON text."""
+    """(namespace, piece, value): the documents of every system as JSON text; a system has one for each piece of its suppliers and customers, the first with its packages."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
     nation = nation.filter("k % 2 = 0") if enriched else nation
     ns = F.concat(F.lit("ns"), (F.col("k") + 10).cast("string"))
@@ -77,24 +82,28 @@ def _document_rows(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFram
     agent = _object(ordId=_q(ns, ":agent:Agent", c, ":v1"), localId=_q("Agent", c), title=_q(F.col("c_name")), relatedEntityTypes=_list(kind("E", c % 6), kind("E", (c + 1) % 6)), entityTypeMappings=_list(_object(entityTypeTargets=_list(_object(ordId=kind("M", c % 3))))))
     pack = lambda i, **f: _object(ordId=_q(ns, f":package:P{i}:v1"), title=_q("Pack ", F.col("k"), f"-{i}"), **f)
     need = _object(ordId=_q(ns, ":integrationDependency:agent", c, "-to-other:v1"), title=_q("calls of ", c), aspects=_list(_object(title=_q("a"), apiResources=_list(_object(ordId=_q(ns, ":apiResource:Api", c, ":v1"))), dataProducts=_list(_object(ordId=_q("x:dataProduct:D", c % 3, ":v1"))))))
-    apis = _gathered(table(spark, sf_dir, "supplier").withColumn("k", F.col("s_nationkey").cast("long")), "k", "s_suppkey", api, "apis")
+    suppliers = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_nationkey").cast("long"))
     customers = table(spark, sf_dir, "customer").withColumn("k", F.col("c_nationkey").cast("long"))
-    agents, calls = _gathered(customers, "k", "c_custkey", agent, "agents"), _gathered(customers.filter("c_custkey % 10 = 0"), "k", "c_custkey", need, "calls")
-    rows = nation.join(apis, "k", "left").join(agents, "k", "left").join(calls, "k", "left")
-    document = _object(apiResources=F.col("apis"), agents=F.col("agents"), packages=_list(pack(0, lineOfBusiness=_list(_q("Pk", F.col("k") % 3))), pack(1)), integrationDependencies=F.col("calls"))
-    out = rows.select(ns.alias("namespace"), document.alias("value"))
+    apis, agents, calls = _gathered(suppliers, ["k"], "s_suppkey", api, "apis"), _gathered(customers, ["k"], "c_custkey", agent, "agents"), _gathered(customers, ["k"], "c_custkey", need, "calls")
+    first = nation.select("k", F.lit(0).cast("long").alias("piece"))
+    pieces = first.unionByName(apis.select("k", "piece")).unionByName(agents.select("k", "piece")).distinct()
+    rows = nation.join(pieces, "k").join(apis, ["k", "piece"], "left").join(agents, ["k", "piece"], "left").join(calls, ["k", "piece"], "left")
+    packages = F.when(F.col("piece") == 0, _list(pack(0, lineOfBusiness=_list(_q("Pk", F.col("k") % 3))), pack(1)))
+    document = _object(apiResources=F.col("apis"), agents=F.col("agents"), packages=packages, integrationDependencies=F.col("calls"))
+    out = rows.select(ns.alias("namespace"), "piece", document.alias("value"))
     if enriched:
         return out
     i = F.col("id")
     entry = _object(ordId=kind("E", i), title=_q("Entity ", i), partOfPackage=_q(f"{TAXONOMY_NAMESPACE}:package:P0:v1"), relatedEntityTypes=_list(_object(ordId=kind("E", (i + 1) % 6)), kind("X", i)))
-    taxonomy = _gathered(table(spark, sf_dir, "part").select((F.col("p_partkey") % 6).alias("id"), F.lit(0).alias("k")).distinct(), "k", "id", entry, "types")
-    return out.unionByName(taxonomy.select(F.lit(TAXONOMY_NAMESPACE).alias("namespace"), _object(entityTypes=F.col("types"), packages=_list(_object(ordId=_q(f"{TAXONOMY_NAMESPACE}:package:P0:v1"), title=_q("Taxonomy")))).alias("value")))
+    taxonomy = _gathered(table(spark, sf_dir, "part").select((F.col("p_partkey") % 6).alias("id")).distinct(), [], "id", entry, "types")
+    return out.unionByName(taxonomy.select(F.lit(TAXONOMY_NAMESPACE).alias("namespace"), "piece", _object(entityTypes=F.col("types"), packages=_list(_object(ordId=_q(f"{TAXONOMY_NAMESPACE}:package:P0:v1"), title=_q("Taxonomy")))).alias("value")))
 
 
 def _clean(spark: SparkSession, sf_dir: str, enriched: bool = False) -> DataFrame:
-    rows = lambda path: _document_rows(spark, sf_dir, enriched).write.partitionBy("namespace").text(path)
+    rows = lambda path: _document_rows(spark, sf_dir, enriched).write.partitionBy("namespace", "piece").text(path)
     path = _filled(spark, "documents-enriched" if enriched else "documents", rows)
-    return catalogue.documents(spark, path, F.regexp_extract("_metadata.file_path", "namespace=([^/]+)", 1))
+    part = lambda name: F.regexp_extract("_metadata.file_path", f"{name}=([^/]+)", 1)
+    return catalogue.documents(spark, path, part("namespace"), part("piece").cast("long"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +163,12 @@ def ground_truth_pools(spark, sf_dir):
     return catalogue.ground_truth(r, eligible).select("id", F.lit("gt").alias("pool")).unionByName(r.join(eligible, "seq", "left_anti").select("id", F.lit("other").alias("pool")))
 
 
-@query("SELECT 'ns' || (10 + c_nationkey) AS namespace, 'ns' || (10 + c_nationkey) || ':integrationDependency:agent' || c_custkey || '-to-other:v1' AS id, 'calls of ' || c_custkey AS title, 1 AS n_aspects FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT 'ns' || (10 + c_nationkey) AS namespace, 'ns' || (10 + c_nationkey) || ':integrationDependency:agent' || c_custkey || '-to-other:v1' AS id, 'calls of ' || c_custkey AS title, 1 AS n_aspects FROM customer")
 def catalogue_dependencies(spark, sf_dir):
     return catalogue.dependencies(_clean(spark, sf_dir)).select("namespace", "id", "title", F.size("aspects").alias("n_aspects"))
 
 
-@query("SELECT 'ns' || (10 + c_nationkey) || ':agent:Agent' || c_custkey || ':v1' AS agent_id, unnest(['ns' || (10 + c_nationkey) || ':apiResource:Api' || c_custkey || ':v1', 'x:dataProduct:D' || (c_custkey % 3) || ':v1']) AS target_id FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT 'ns' || (10 + c_nationkey) || ':agent:Agent' || c_custkey || ':v1' AS agent_id, unnest(['ns' || (10 + c_nationkey) || ':apiResource:Api' || c_custkey || ':v1', 'x:dataProduct:D' || (c_custkey % 3) || ':v1']) AS target_id FROM customer")
 def agent_calls(spark, sf_dir):
     docs = _clean(spark, sf_dir)
     return G.agent_calls(catalogue.dependencies(docs), catalogue.resources(docs).filter("type = 'agent'"))
@@ -209,18 +218,18 @@ def titles_in_order(spark, sf_dir):
 # Reports, logs, cases, runs.
 
 
-def _arrays(rows: DataFrame, by: str, order: str, item: Column) -> Callable[[str], None]:
-    """A writer of JSON arrays, one file for each value of `by`."""
-    return lambda path: _gathered(rows, by, order, item, "value").write.partitionBy(by).text(path)
+def _arrays(rows: DataFrame, order: str, item: Column) -> Callable[[str], None]:
+    """A writer of JSON arrays, one file for each piece."""
+    return lambda path: _gathered(rows, [], order, item, "value").write.partitionBy("piece").text(path)
 
 
 @query("SELECT 'p' || p_partkey AS \"ordId\", round(p_size / 50.0, 4) AS ambiguity_score, p_size % 2 = 0 AS coverage_gap, 'p' || (p_partkey + 1) AS nearest FROM part")
 def ambiguity_report_rows(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("slice", F.col("p_partkey") % 8)
+    p = table(spark, sf_dir, "part")
     near = _list(_object(ordId=_q("p", F.col("p_partkey") + 1), sim=F.lit("0.5")))
     item = _object(ordId=_q("p", F.col("p_partkey")), title=_q(F.col("p_name")), ambiguity_score=F.round(F.col("p_size") / 50.0, 4).cast("string"), coverage_gap=(F.col("p_size") % 2 == 0).cast("string"), top_neighbors=near)
-    whole = _gathered(p, "slice", "p_partkey", item, "list").select("slice", _object(resources=F.col("list")).alias("value"))
-    path = _filled(spark, "report", lambda at: whole.write.partitionBy("slice").text(at))
+    whole = _gathered(p, [], "p_partkey", item, "list").select("piece", _object(resources=F.col("list")).alias("value"))
+    path = _filled(spark, "report", lambda at: whole.write.partitionBy("piece").text(at))
     return records.ambiguity_report(spark, path).select("ordId", "ambiguity_score", "coverage_gap", F.col("top_neighbors")[0]["ordId"].alias("nearest"))
 
 
@@ -234,8 +243,7 @@ def _log_item() -> Column:
 
 @query(f"SELECT 'e' || event_id AS \"ordId\", {_OUTCOMES} AS outcome, (1 + user_id % 5)::INT AS round, date_trunc('second', ts)::TIMESTAMP AS ts, event_id % 2 = 0 AS coherent FROM events")
 def generation_log_rows(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("slice", F.col("event_id") % 8)
-    path = _filled(spark, "log", _arrays(e, "slice", "event_id", _log_item()))
+    path = _filled(spark, "log", _arrays(table(spark, sf_dir, "events"), "event_id", _log_item()))
     return records.generation_log(spark, path).select("ordId", "outcome", "round", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("judge_verdict")["c2_coherent"].alias("coherent"))
 
 
@@ -264,10 +272,10 @@ def _mode() -> Column:
 
 def _runtime_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases of five modes; an order has a log of o_orderkey mod 4 steps."""
-    o, i = table(spark, sf_dir, "orders").withColumn("slice", F.col("o_orderkey") % 4), F.col("o_orderkey")
+    o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     steps = F.array_join(F.slice(F.array(*[_object(outcome=_q(x), note=_q("n")) for x in ("too_easy", "judge_fail", "accepted")]), F.lit(1), (i % 4).cast("int")), ",")
     item = _object(case_id=_q(F.lower(_mode()), "-", i), query_class=_q("c", i % 3), prompt=_q("prompt ", i), expected_ordIds=_list(_q("x", i % 7)), evolution_log=F.concat(F.lit("["), steps, F.lit("]")))
-    paths = {v: _filled(spark, f"cases-{v}", _arrays(o.filter(F.col("o_orderpriority") == k), "slice", "o_orderkey", item)) for k, v in _MODES.items()}
+    paths = {v: _filled(spark, f"cases-{v}", _arrays(o.filter(F.col("o_orderpriority") == k), "o_orderkey", item)) for k, v in _MODES.items()}
     return records.runtime_cases(spark, paths)
 
 
@@ -293,10 +301,10 @@ def iteration_stats(spark, sf_dir):
 
 @query(f"SELECT 'c' || o_orderkey AS case_id, CASE {_MODE_SQL} WHEN 'SA' THEN ['g' || (o_orderkey % 5), 'h' || (o_orderkey % 3)] WHEN 'XX' THEN ['a' || (o_orderkey % 2)] ELSE ['g' || (o_orderkey % 5)] END AS expected FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'")
 def provenance_expected(spark, sf_dir):
-    o, i = table(spark, sf_dir, "orders").withColumn("slice", F.col("o_orderkey") % 4), F.col("o_orderkey")
+    o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     gaps = _list(_object(ordId=_q("g", i % 5)), _object(ordId=_q("h", i % 3)))
     item = _object(case_id=_q("c", i), mode=_q(_mode()), gap_resources=F.when(i % 2 == 0, gaps), selected_resources=F.when(i % 2 == 1, gaps), accepted_case=_object(expected_ordIds=_list(_q("a", i % 2)), prompt=_q("p")))
-    path = _filled(spark, "provenance", _arrays(o, "slice", "o_orderkey", item))
+    path = _filled(spark, "provenance", _arrays(o, "o_orderkey", item))
     return records.provenance(spark, path).select("case_id", "expected")
 
 

@@ -11,10 +11,10 @@ from ..functions.arrays import entity_types_for_loading, entity_types_for_metric
 from ..schema import DOCUMENT, TAXONOMY_NAMESPACE, TYPED_ARRAYS
 
 
-def documents(spark: SparkSession, path: str, namespace: Column | None = None) -> DataFrame:
-    """(namespace, document columns): one row per file; the namespace is the name of its folder."""
+def documents(spark: SparkSession, path: str, namespace: Column | None = None, piece: Column | None = None) -> DataFrame:
+    """(namespace, piece, document columns): one row per file; the namespace is the name of its folder. A large system may come in several documents, in order of `piece`."""
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("namespace", namespace if namespace is not None else folder)
+    return spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumns({"namespace": namespace if namespace is not None else folder, "piece": piece if piece is not None else F.lit(0).cast("long")})
 
 
 def with_fallback(enriched: DataFrame | None, clean: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def with_fallback(enriched: DataFrame | None, clean: DataFrame) -> DataFrame:
 
 def packages(docs: DataFrame) -> DataFrame:
     """(namespace, package_id, title, line_of_business, vendor, tags), the last of equal ids."""
-    p = docs.select("namespace", F.posexplode("packages").alias("pos", "p")).select("namespace", "pos", F.col("p.ordId").alias("package_id"), F.col("p.title").alias("package_title"), F.col("p.lineOfBusiness").alias("package_lob"), F.col("p.vendor").alias("vendor"), F.col("p.tags").alias("package_tags"))
-    last = F.row_number().over(Window.partitionBy("namespace", "package_id").orderBy(F.col("pos").desc()))
-    return p.withColumn("_n", last).filter("_n = 1").drop("_n", "pos")
+    p = docs.select("namespace", "piece", F.posexplode("packages").alias("pos", "p")).select("namespace", "piece", "pos", F.col("p.ordId").alias("package_id"), F.col("p.title").alias("package_title"), F.col("p.lineOfBusiness").alias("package_lob"), F.col("p.vendor").alias("vendor"), F.col("p.tags").alias("package_tags"))
+    last = F.row_number().over(Window.partitionBy("namespace", "package_id").orderBy(F.col("piece").desc(), F.col("pos").desc()))
+    return p.withColumn("_n", last).filter("_n = 1").drop("_n", "piece", "pos")
 
 
 def resources(docs: DataFrame, raw: bool = False, skip_taxonomy: bool = True, inherit_empty: bool = True) -> DataFrame:
@@ -38,7 +38,7 @@ def resources(docs: DataFrame, raw: bool = False, skip_taxonomy: bool = True, in
     where an empty list inherits from the package (inherit_empty; else only a missing one does).
     """
     kept = docs.filter(F.col("namespace") != TAXONOMY_NAMESPACE) if skip_taxonomy else docs
-    parts = [kept.select("namespace", F.lit(k).alias("_k"), F.lit(kind).alias("type"), F.posexplode(array).alias("_pos", "e")) for k, (array, kind) in enumerate(TYPED_ARRAYS)]
+    parts = [kept.select("namespace", "piece", F.lit(k).alias("_k"), F.lit(kind).alias("type"), F.posexplode(array).alias("_pos", "e")) for k, (array, kind) in enumerate(TYPED_ARRAYS)]
     flat = reduce(DataFrame.unionByName, parts)
     text = lambda f: F.coalesce(F.col(f"e.{f}"), F.lit(""))
     kinds = entity_types_for_metric(F.col("e.relatedEntityTypes"), F.col("e.exposedEntityTypes"), F.col("e.entityTypes")) if raw else entity_types_for_loading(F.col("e.entityTypeMappings"), F.col("e.exposedEntityTypes"), F.col("e.relatedEntityTypes"), F.col("e.entityTypes"))
@@ -46,9 +46,9 @@ def resources(docs: DataFrame, raw: bool = False, skip_taxonomy: bool = True, in
     lob = F.col("e.lineOfBusiness")
     own = F.when(F.size(lob) > 0, lob) if inherit_empty else lob
     return rows.select(
-        # Load order: namespaces sorted, then arrays, then position; unique without numbering all rows.
-        F.xxhash64("namespace", "_k", "_pos").alias("seq"),
-        F.struct("namespace", "_k", "_pos").alias("load_order"),
+        # Load order: namespaces sorted, then arrays, documents, position; unique without numbering all rows.
+        F.xxhash64("namespace", "_k", "piece", "_pos").alias("seq"),
+        F.struct("namespace", "_k", F.col("piece").alias("_piece"), "_pos").alias("load_order"),
         text("ordId").alias("id"),
         "namespace",
         "type",
@@ -76,13 +76,15 @@ def resources(docs: DataFrame, raw: bool = False, skip_taxonomy: bool = True, in
 
 
 def number(resources_: DataFrame) -> DataFrame:
-    """seq replaced by the ordinal of the load order: the position in its array, behind all arrays before it (a row for each system and array)."""
-    arrays = resources_.groupBy(F.col("load_order.namespace").alias("_ns"), F.col("load_order._k").alias("_kind")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_ns", "_kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    behind = arrays.select("_ns", "_kind", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("load_order.namespace", "load_order._k").orderBy("load_order._pos")) - 1
-    numbered = resources_.withColumn("_rank", rank).join(behind, (F.col("load_order.namespace") == F.col("_ns")) & (F.col("load_order._k") == F.col("_kind")))
-    return numbered.withColumn("seq", (F.col("_before") + F.col("_rank")).cast("long")).drop("load_order", "_rank", "_before", "_ns", "_kind")
+    """seq replaced by the ordinal of the load order: the position in its array, behind all arrays before it (a row for each system, array and document)."""
+    at = ("namespace", "_k", "_piece")
+    arrays = resources_.groupBy(*[F.col(f"load_order.{c}").alias(f"_at{c}") for c in at]).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*[f"_at{c}" for c in at]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = arrays.select(*[f"_at{c}" for c in at], before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*[f"load_order.{c}" for c in at]).orderBy("load_order._pos")) - 1
+    same = [F.col(f"load_order.{c}") == F.col(f"_at{c}") for c in at]
+    numbered = resources_.withColumn("_rank", rank).join(behind, same)
+    return numbered.withColumn("seq", (F.col("_before") + F.col("_rank")).cast("long")).drop("load_order", "_rank", "_before", *[f"_at{c}" for c in at])
 
 
 def package_titles(docs: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
