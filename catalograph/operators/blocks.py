@@ -30,7 +30,11 @@ _SEMANTIC = {"capabilities": "capabilities", "groups": "partOfGroups", "u_terms"
 
 
 def _vectors(resources: DataFrame, text: str, name: str) -> DataFrame:
-    return text_vectors(resources, text).select(F.col("seq").alias(f"_{name}_seq"), F.col("terms").alias(f"{name}_terms"), F.col("weights").alias(f"{name}_weights"))
+    return _named(text_vectors(resources, text), name)
+
+
+def _named(vectors: DataFrame, name: str) -> DataFrame:
+    return vectors.select(F.col("seq").alias(f"_{name}_seq"), F.col("terms").alias(f"{name}_terms"), F.col("weights").alias(f"{name}_weights"))
 
 
 def _entries(values: pd.Series, weights: pd.Series | None, at: np.ndarray, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,11 +113,11 @@ def _round4(x: np.ndarray) -> np.ndarray:
     return np.floor((x + 1e-10) * 1e4 + 0.5) / 1e4
 
 
-def vector_rows(resources: DataFrame, use_text: bool, extended: bool, corpus: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def vector_rows(resources: DataFrame, use_text: bool, extended: bool, corpus: DataFrame | None = None, also: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
     """Resources with what the kernels read: sets, entity types with their rarities, term vectors, and the columns `also`.
 
     Rarities and weights are those of `corpus` (all resources without it); a resource outside it has no text, and entity types
-    that nothing in it has weigh nothing.
+    that nothing in it has weigh nothing. texts: text vectors (seq, terms, weights) that are there already.
     """
     corpus = resources if corpus is None else corpus
     idf = entity_idf(corpus).select("entity_type", "idf")
@@ -123,14 +127,15 @@ def vector_rows(resources: DataFrame, use_text: bool, extended: bool, corpus: Da
     keep = [*cols, "ets", "et_weights"]
     for column, name, wanted in (("text", "t", use_text), ("use_case_text", "u", extended)):
         if wanted:
-            rows = rows.join(_vectors(corpus, column, name), F.col("seq") == F.col(f"_{name}_seq"), "left")
+            vectors = _named(texts, name) if texts is not None and name == "t" else _vectors(corpus, column, name)
+            rows = rows.join(vectors, F.col("seq") == F.col(f"_{name}_seq"), "left")
             keep += [f"{name}_terms", f"{name}_weights"]
     return rows.select(*keep)
 
 
-def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, corpus: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def _spread(resources: DataFrame, use_text: bool, extended: bool, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, corpus: DataFrame | None = None, also: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
     """Resources with their vectors, once for each group (grp, i, j) of two blocks that they are in; side 0 is the first block, 1 the second, 2 both. left and right hold the seq of the wanted sides."""
-    rows = vector_rows(resources, use_text, extended, corpus, also)
+    rows = vector_rows(resources, use_text, extended, corpus, also, texts)
     keep = rows.columns
     grp = F.coalesce("type", F.lit("")) if within_type else F.lit("")
     size = lambda df: -(-df.count() // BLOCK) or 1
@@ -217,7 +222,7 @@ class _Scores:
         return _round4((total + bonus) / (6 + active) * penalty)
 
 
-def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None, parts: bool = False) -> DataFrame:
+def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = False, least: float = 0.0, left: DataFrame | None = None, right: DataFrame | None = None, within_type: bool = False, every: bool = False, corpus: DataFrame | None = None, parts: bool = False, texts: DataFrame | None = None) -> DataFrame:
     """(seq_a, seq_b, sim[, sim_extended, active][, the parts]) of pairs that share a key (or of every pair) and score `least` at least under one metric.
 
     All pairs seq_a < seq_b; with left (and right) all from a resource of left to another one of right. within_type: pairs of one
@@ -244,7 +249,7 @@ def block_pairs(resources: DataFrame, use_text: bool = True, extended: bool = Fa
 
     names = ["text", *_FLAT.values(), "entityTypes", *(_SEMANTIC.values() if extended else ())]
     schema = "seq_a long, seq_b long, sim double" + (", sim_extended double, active int" if extended else "") + ("".join(f", {n} double" for n in names) if parts else "")
-    return _spread(resources, use_text, extended, left, right, within_type, corpus).groupBy("grp", "i", "j").applyInPandas(score, schema)
+    return _spread(resources, use_text, extended, left, right, within_type, corpus, texts=texts).groupBy("grp", "i", "j").applyInPandas(score, schema)
 
 
 def changed_pairs(resources: DataFrame, new: DataFrame, least: float = 0.0, use_text: bool = True) -> DataFrame:
@@ -288,11 +293,11 @@ def block_neighbours(resources: DataFrame, k: int, count_from: float, use_text:
     return _spread(resources, use_text, False).groupBy("grp", "i", "j").applyInPandas(score, "seq_a long, seq_b long, sim double, n_above long")
 
 
-def block_counts(resources: DataFrame, windows: dict[str, tuple[float, float]], by: str, use_text: bool = True, extended: bool = False) -> DataFrame:
+def block_counts(resources: DataFrame, windows: dict[str, tuple[float, float]], by: str, use_text: bool = True, extended: bool = False, left: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(seq, label, and a count for each window): the other resources of each value `label` of column `by` whose score lies in [low, high).
 
     Counted where the scores are, by block: no row for a pair leaves a task, and the counts of all blocks add up. A window whose name ends in
-    _extended is one of the extended metric. Values without any count have no row.
+    _extended is one of the extended metric. Values without any count have no row. left: only pairs with one of these resources (seq) count, for both of their ends.
     """
 
     def count(scores: dict[str, np.ndarray], mine: np.ndarray, labels: pd.Series) -> pd.DataFrame:
@@ -306,14 +311,24 @@ def block_counts(resources: DataFrame, windows: dict[str, tuple[float, float]],
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = _Scores(pdf, use_text, extended)
         scores = {name: m.wide if name.endswith("_extended") else m.sim for name in windows}
+        if directed:
+            for x in scores.values():
+                x[m.seq_a[:, None] == m.seq_b[None, :]] = -1.0
+            # A pair of two resources of left comes from both sides.
+            rest = ~m.rows["_left"].to_numpy(bool)[m.b]
+            return pd.concat([count(scores, m.seq_a, m.rows[by].iloc[m.b]), count({k: x.T[rest] for k, x in scores.items()}, m.seq_b[rest], m.rows[by].iloc[m.a])])
         if m.own:
             for x in scores.values():
                 np.fill_diagonal(x, -1.0)
             return count(scores, m.seq_a, m.rows[by].iloc[m.b])
         return pd.concat([count(scores, m.seq_a, m.rows[by].iloc[m.b]), count({k: x.T for k, x in scores.items()}, m.seq_b, m.rows[by].iloc[m.a])])
 
+    directed = left is not None
     kind = resources.schema[by].dataType.simpleString()
-    spread = _spread(resources, use_text, extended, also=(by,))
+    if directed:
+        flag = left.select("seq", F.lit(True).alias("_left")).distinct()
+        resources = resources.join(flag, "seq", "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
+    spread = _spread(resources, use_text, extended, left, also=(by, "_left") if directed else (by,), texts=texts)
     found = spread.groupBy("grp", "i", "j").applyInPandas(score, f"seq long, label {kind}" + "".join(f", {name} long" for name in windows))
     return found.groupBy("seq", "label").agg(*[F.sum(name).alias(name) for name in windows])
 

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tier
 from ..schema import DOMAIN_CLUSTERS, GROUND_TRUTH_TYPES, NEAR_DUPLICATE, TIER_MINIMUM, TIERS, TYPE_SHARES
-from ..session import shared_folder
-from .ambiguity import tier_counts
-from .blocks import block_pairs, with_ends
-from .features import scored
+from ..session import shared_folder, written
+from .ambiguity import tier_totals, tier_windows
+from .blocks import block_counts, block_pairs, with_ends
+from .features import scored, text_vectors
 from .pairs import mirror
 from .reduction import aligned, candidate_profiles, decide
+from .upkeep import updated_counts
 
 HIGH, MEDIUM, LOW = (low for _, low in TIERS)
 _UPPER = {"high": 2.0, "medium": HIGH, "low": MEDIUM}
@@ -275,12 +276,14 @@ def enrich(
     Each pass takes the first unmet tier of the first resource. Candidates come by their score as if aligned to the target, without those in
     the tier, tried, or changed for this target before; act(target, tier, candidate, attempt) returns changed fields. A tier that
     `candidates` candidates do not fill is skipped for good. A changed resource is scored with the text that the catalogue has of it.
+    All pairs are scored once, at the start; an accepted change takes its old counts away and adds its new ones, unless it changes a text.
     """
     at, events, skipped, changed = Catalogue(resources), [], set(), set()
     kinds = F.col("type").isin(*GROUND_TRUTH_TYPES)
+    texts, near = _counted(scored(at.now()))
     while True:
         now = scored(at.now())
-        counts = tier_counts(with_ends(block_pairs(now, least=LOW), now), now).filter(kinds & ~F.col("done"))
+        counts = tier_totals(near, now).filter(kinds & ~F.col("done"))
         # Open tiers in order; as many are passed over as were skipped, so that many rows at most are needed.
         needs = F.array(*[F.when(F.col(f"{t}_needed") > 0, F.struct(F.lit(i).alias("o"), F.lit(t).alias("tier"))) for i, t in enumerate(TIER_MINIMUM)])
         rows = counts.select("seq", F.explode(F.array_compact(needs)).alias("t")).select("seq", "t.*").orderBy("seq", "o").limit(len(skipped) + 1).collect()
@@ -290,7 +293,7 @@ def enrich(
         seq, tier_name = goal
         event = {"action": "modify", "target": seq, "tier": tier_name}
         target, tried, attempt, filled = at.row(seq), set(), 0, False
-        order = _potential(now, kinds, seq, tier_name, [c for t, c in changed if t == seq], candidates)
+        order = _potential(now, kinds, seq, tier_name, [c for t, c in changed if t == seq], candidates, texts)
         for candidate in order:
             tried.add(candidate)
             old = at.row(candidate)
@@ -305,7 +308,7 @@ def enrich(
                     events.append(step | {"outcome": "rejected_c1"})
                     continue
                 two = scored(at.with_row(new)).filter(F.col("seq").isin(seq, candidate))
-                sim = block_pairs(two, left=two.filter(F.col("seq") == seq), every=True, corpus=now).first()["sim"]
+                sim = block_pairs(two, left=two.filter(F.col("seq") == seq), every=True, corpus=now, texts=texts).first()["sim"]
                 if not _inside(sim, tier_name):
                     events.append(step | {"outcome": "wrong_tier", "sim": sim})
                 elif not judge(new, target, tier_name, sim):
@@ -313,6 +316,11 @@ def enrich(
                 else:
                     events.append(step | {"outcome": "accepted", "sim": sim})
                     at.put(new)
+                    after = scored(at.now())
+                    if new.get("text") == old.get("text"):
+                        near = written(updated_counts(near, now, after, texts), "tiers")
+                    else:
+                        texts, near = _counted(after)
                     changed.add((seq, candidate))
                     filled = True
                     break
@@ -324,12 +332,18 @@ def enrich(
     return at.now(), _log(resources, events, "action string, outcome string, target long, tier string, candidate long, attempt int, sim double")
 
 
-def _potential(now: DataFrame, kinds, seq: int, tier_name: str, without: list[int], n: int) -> list[int]:
+def _counted(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text vectors, counts by namespace and tier) of all resources, as tables."""
+    texts = written(text_vectors(now), "texts")
+    return texts, written(block_counts(now, tier_windows(), "namespace", texts=texts), "tiers")
+
+
+def _potential(now: DataFrame, kinds, seq: int, tier_name: str, without: list[int], n: int, texts: DataFrame) -> list[int]:
     """The n candidates with the greatest score as if aligned to the target, ties by seq."""
     own = now.filter(F.col("seq") == seq)
-    actual = block_pairs(now, left=own, least=LOW).select(F.col("seq_b").alias("seq"), tier(F.col("sim")).alias("tier")).filter(F.col("tier") == tier_name)
+    actual = block_pairs(now, left=own, least=LOW, texts=texts).select(F.col("seq_b").alias("seq"), tier(F.col("sim")).alias("tier")).filter(F.col("tier") == tier_name)
     pool = now.filter(kinds & (F.col("seq") != seq))
     pool = (pool.filter(~F.col("seq").isin(without)) if without else pool).join(actual.select("seq"), "seq", "left_anti")
     as_if = aligned(pool.withColumn("target_seq", F.lit(seq).cast("long")), now).select(*now.columns)
-    found = block_pairs(as_if.unionByName(own), left=own, every=True, corpus=now)
+    found = block_pairs(as_if.unionByName(own), left=own, every=True, corpus=now, texts=texts)
     return [r.seq_b for r in found.orderBy(F.col("sim").desc(), "seq_b").limit(n).collect()]

@@ -17,6 +17,7 @@ from ..operators import features as E
 from ..operators import pairs as P
 from ..operators import threshold as J
 from ..operators import topk as K
+from ..operators import upkeep as U
 from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
 from ..session import written
 from ..sources.fixtures import ASSETS_SQL, assets
@@ -236,6 +237,23 @@ def tier_counts(spark, sf_dir):
     return M.counted_tiers(_scored(spark, sf_dir))
 
 
+CHANGED_SQL = ASSETS_SQL.replace("asset AS (", "asset0 AS (") + """, asset AS (SELECT * REPLACE (CASE WHEN seq % 50 = 7 THEN 'sys0' ELSE namespace END AS namespace,
+  CASE WHEN seq % 50 = 7 THEN ['Z1', entity_types[1]] ELSE entity_types END AS entity_types, CASE WHEN seq % 50 = 7 THEN ['L0'] ELSE line_of_business END AS line_of_business,
+  CASE WHEN seq % 50 = 7 THEN list_concat(tags, ['T0']) ELSE tags END AS tags) FROM asset0)"""
+
+
+@query(_with(CHANGED_SQL, SCORED, TFIDF, ETIDF, DENSE, TIERS) + "SELECT * FROM tcs")
+def updated_tier_counts(spark, sf_dir):
+    """Tier counts after a round of enrichment, by signed changes: resources with seq mod 50 = 7 stand for those that it moved, aligned and retyped."""
+    old = assets(spark, sf_dir)
+    hit = F.col("seq") % 50 == 7
+    change = {"namespace": F.lit("sys0"), "entity_types": F.array(F.lit("Z1"), F.col("entity_types")[0]), "line_of_business": F.array(F.lit("L0")), "tags": F.concat("tags", F.array(F.lit("T0")))}
+    before, after = E.scored(old), E.scored(old.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in change.items()}))
+    texts = written(E.text_vectors(before), "texts")
+    near = B.block_counts(before, M.tier_windows(), "namespace", texts=texts)
+    return M.tier_totals(U.updated_counts(near, before, after, texts), after)
+
+
 @query(TIERED + "SELECT seq FROM tcs WHERE done AND type IN ('agent', 'apiResource', 'dataProduct')")
 def gt_eligible(spark, sf_dir):
     return M.counted_tiers(_scored(spark, sf_dir)).filter(F.col("done") & F.col("type").isin("agent", "apiResource", "dataProduct")).select("seq")
