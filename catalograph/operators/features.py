@@ -55,8 +55,13 @@ def tfidf(resources: DataFrame, text: str = "text") -> DataFrame:
     # Texts are dealt out first: a file of one row group would be counted by one task. Both uses of the counts read this exchange.
     counted = term_counts(resources.select("seq", text).repartition("seq"), text)
     total = resources.agg(F.count(F.lit(1)).alias("n_docs"))
+    return weighted(counted, total)
+
+
+def weighted(counted: DataFrame, total: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """(seq, term, tf, idf, weight) of term counts. total: one row with n_docs; df: (term, df), counted here if not given."""
     counts = counted.select("seq", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("seq", "length", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df
     # The total is one row.
     out = counts.join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1))
@@ -65,7 +70,12 @@ def tfidf(resources: DataFrame, text: str = "text") -> DataFrame:
 
 def text_vectors(resources: DataFrame, text: str = "text") -> DataFrame:
     """(seq, terms, weights): hashes of the terms and weights divided by the norm, so that a sum of products is the cosine. Terms of weight 0 and texts without others are left out."""
-    terms = tfidf(resources, text).filter("weight <> 0").select("seq", F.struct(F.xxhash64("term").alias("term"), "weight").alias("t"))
+    return normalised(tfidf(resources, text))
+
+
+def normalised(weights: DataFrame) -> DataFrame:
+    """text_vectors() of weighted terms."""
+    terms = weights.filter("weight <> 0").select("seq", F.struct(F.xxhash64("term").alias("term"), "weight").alias("t"))
     got = terms.groupBy("seq").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sqrt(F.sum(F.col("t.weight") * F.col("t.weight"))).alias("norm"))
     return got.filter("norm > 0").select("seq", F.col("t.term").alias("terms"), F.transform("t", lambda x: x["weight"] / F.col("norm")).alias("weights"))
 

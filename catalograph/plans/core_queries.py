@@ -14,12 +14,13 @@ from ..operators import ambiguity as M
 from ..operators import blocks as B
 from ..operators import disambiguation as D
 from ..operators import features as E
+from ..operators import index as I
 from ..operators import pairs as P
 from ..operators import threshold as J
 from ..operators import topk as K
 from ..operators import upkeep as U
 from ..schema import COVERAGE_GAP, STOP_WORDS, TOP_K
-from ..session import written
+from ..session import shared_folder, written
 from ..sources.fixtures import ASSETS_SQL, assets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,3 +381,32 @@ def average_similarity(spark, sf_dir):
     """Over all pairs: those that share nothing are added in closed form."""
     s, p = _block_pairs(spark, sf_dir, extended=True)
     return D.average_similarity(p, s)
+
+
+# The stored index.
+
+
+KEPT_SQL = ASSETS_SQL.replace("asset AS (", "asset0 AS (") + ", asset AS (SELECT * REPLACE (CASE WHEN seq % 50 = 7 THEN local_id || ' renewed ' || text ELSE text END AS text) FROM asset0 WHERE seq % 50 <> 8)"
+
+
+def _kept_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index kept up: seq mod 50 = 9 comes with the first update, 7 gets new texts and 8 goes with the second."""
+    s, root, kind = _scored(spark, sf_dir).select("seq", "local_id", "text"), shared_folder(spark, "index"), F.col("seq") % 50
+    none = s.filter("false")
+    I.build(s.filter(kind != 9), root)
+    I.update(root, s.filter(kind == 9), none)
+    I.update(root, s.filter(kind == 7).withColumn("text", F.concat("local_id", F.lit(" renewed "), "text")), s.filter(kind == 8))
+    return root
+
+
+@query(_with(KEPT_SQL, SCORED, TFIDF) + f"SELECT seq, term, {_r4('tf')} AS tf, {_r4('idf')} AS idf, {_r4('weight')} AS weight FROM w")
+def stored_index(spark, sf_dir):
+    w = I.weights(spark, _kept_index(spark, sf_dir))
+    return w.select("seq", "term", *[X.round4(F.col(c)).alias(c) for c in ("tf", "idf", "weight")])
+
+
+@query(_with(KEPT_SQL, SCORED, TFIDF, ETIDF, DENSE) + "SELECT seq_a, seq_b, sim FROM p WHERE sim >= 0.5")
+def pairs_by_stored_index(spark, sf_dir):
+    """HIGH pairs with the text vectors of the stored index, which no query has to build anew."""
+    s = _scored(spark, sf_dir).filter("seq % 50 <> 8")
+    return B.block_pairs(s, least=0.5, texts=I.vectors(spark, _kept_index(spark, sf_dir)))

@@ -17,7 +17,7 @@ from ..operators import logs as L
 from ..operators import validate as Q
 from ..schema import LOG_EVENT, TAXONOMY_NAMESPACE
 from ..session import shared_folder
-from ..sources import catalogue, records, sinks
+from ..sources import catalogue, records, sinks, snapshots
 from ..sources.fixtures import table
 
 QUERIES: dict = {}
@@ -457,6 +457,22 @@ def ensured_packages(spark, sf_dir):
     return sinks.ensure(p.filter("odd = 0").select("package_id", F.lit("kept").alias("origin")), p.select("package_id", F.lit("added").alias("origin")))
 
 
+@query("""WITH v AS (SELECT 0 AS version, s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 1, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name ELSE s_name END FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0
+UNION ALL SELECT 2, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name ELSE s_name END FROM supplier WHERE (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0) AND s_suppkey % 5 <> 0)
+SELECT version, id, name, true AS overtaken FROM v""")
+def table_versions(spark, sf_dir):
+    """Three versions of one table: even suppliers, every third upserted, every fifth deleted; a late writer that knows only the first is overtaken."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    root, schema, new = shared_folder(spark, "versions"), s.schema, F.concat(F.lit("new "), "name").alias("name")
+    snapshots.change(spark, root, schema, lambda t: t.unionByName(s.filter("id % 2 = 0")))
+    snapshots.change(spark, root, schema, lambda t: sinks.upsert(t, s.filter("id % 3 = 0").select("id", new)))
+    snapshots.change(spark, root, schema, lambda t: sinks.delete(t, s.filter("id % 5 = 0")))
+    late = not snapshots.commit(spark, root, 0, lambda at: s.write.parquet(at))
+    versions = [snapshots.read(spark, root, schema, v).select(F.lit(v).alias("version"), "id", "name", F.lit(late).alias("overtaken")) for v in range(snapshots.latest(spark, root) + 1)]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2])
+
+
 _CERTIFIED = "(SELECT o_orderkey AS case_id, o_orderpriority AS mode, count(*) AS n_runs, count(*) FILTER (l_returnflag = 'A') AS n_solved FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
