@@ -64,11 +64,22 @@ def is_enriched(capabilities: Column, groups: Column, use_cases: Column, process
     return F.greatest(*[F.coalesce(F.size(x), F.lit(0)) for x in fields]) > 0
 
 
+def _items(json_text: Column) -> Column:
+    """The items of a JSON list as variants; null for other text."""
+    return F.try_variant_get(F.try_parse_json(json_text), "$", "array<variant>")
+
+
+def _is_object(item: Column) -> Column:
+    return F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
+
+
+def _filled(ids: Column) -> Column:
+    return strings(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
+
+
 def mixed_references(json_text: Column) -> Column:
-    """Ids of a JSON list whose items are strings or objects with ordId, in order."""
-    items = F.from_json(json_text, "array<string>")
-    ids = F.transform(strings(items), lambda x: F.when(F.startswith(F.trim(x), F.lit("{")), F.get_json_object(x, "$.ordId")).otherwise(x))
-    return F.filter(ids, lambda x: x.isNotNull() & (x != ""))
+    """Ids of a JSON list whose items are strings or objects with ordId, in order. An item's own type decides, not what its text looks like."""
+    return _filled(F.transform(_items(json_text), lambda x: F.when(_is_object(x), F.try_variant_get(x, "$.ordId", "string")).otherwise(F.try_variant_get(x, "$", "string"))))
 
 
 def entity_types_for_metric(related: Column, exposed: Column, plain: Column) -> Column:
@@ -77,11 +88,11 @@ def entity_types_for_metric(related: Column, exposed: Column, plain: Column) ->
 
 
 def only_objects(json_text: Column) -> Column:
-    return F.filter(F.transform(strings(F.from_json(json_text, "array<string>")), lambda x: F.when(F.startswith(F.trim(x), F.lit("{")), F.get_json_object(x, "$.ordId"))), lambda x: x.isNotNull() & (x != ""))
+    return _filled(F.transform(_items(json_text), lambda x: F.when(_is_object(x), F.try_variant_get(x, "$.ordId", "string"))))
 
 
 def only_strings(json_text: Column) -> Column:
-    return F.filter(strings(F.from_json(json_text, "array<string>")), lambda x: ~F.startswith(F.trim(x), F.lit("{")) & (x != ""))
+    return _filled(F.transform(_items(json_text), lambda x: F.when(~_is_object(x), F.try_variant_get(x, "$", "string"))))
 
 
 def entity_types_for_loading(mappings: Column, exposed: Column, related: Column, plain: Column) -> Column:

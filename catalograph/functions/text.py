@@ -151,10 +151,29 @@ def confirmed_ids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"ord_confirmed:\s*([^\s\-\*\n]+)"), F.lit(1))
 
 
+#: What a step of a process says, as attributes of its tag.
+STEP = ("id", "label", "description", "ordId")
+
+
+def process_step_tags(xml: Column) -> Column:
+    """Every <step> at any depth, in order, as a struct of STEP; an attribute that is missing or empty is null.
+
+    Each tag is read by the XML parser, so quotes, order and entities are those of XML; comments and CDATA hold no steps. The tags are found
+    first, so that a document that is broken elsewhere keeps its steps. A tag that is no XML itself (a bare ampersand) is read as it stands.
+    """
+    body = F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    tags = F.regexp_extract_all(body, F.lit(r"""(<step\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), F.lit(1))
+    schema = ", ".join(f"_{n} string" for n in STEP) + ", _corrupt_record string"
+    closed = lambda t: F.regexp_replace(t, r"\s*/?>\z", "/>")
+    raw = lambda t, n: F.coalesce(F.nullif(F.regexp_extract(t, rf'(?s)\s{n}\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract(t, rf"(?s)\s{n}\s*=\s*'([^']*)'", 1))
+    read = F.transform(tags, lambda t: F.struct(t.alias("tag"), F.from_xml(closed(t), schema, {"ignoreSurroundingSpaces": "false"}).alias("x")))
+    value = lambda e, n: F.nullif(F.when(e["x"]["_corrupt_record"].isNull(), e["x"][f"_{n}"]).otherwise(raw(e["tag"], n)), F.lit(""))
+    return F.transform(read, lambda e: F.struct(*[value(e, n).alias(n) for n in STEP]))
+
+
 def step_attribute(xml: Column, name: str) -> Column:
-    """One attribute of every <step>, whatever its order, quotes or slashes."""
-    tags = F.regexp_extract_all(xml, F.lit(r"""(<step\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), F.lit(1))
-    return F.transform(tags, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, rf'\b{name}="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(t, rf"\b{name}='([^']*)'", 1), F.lit(""))))
+    """One attribute of every <step>."""
+    return F.transform(process_step_tags(xml), lambda s: s[name])
 
 
 def generator_enrichment(answer: Column, allowed: Column) -> Column:

@@ -77,7 +77,7 @@ def _document_rows(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFram
     api = _object(
         ordId=_q(ns, ":apiResource:Api", s, ":v1"), title=_q(F.col("s_name")), shortDescription=_q("acct ", s % 7), description=F.when(s % 2 == 0, _q("about ", s)),
         partOfPackage=_q(ns, ":package:P", s % 3, ":v1"), lineOfBusiness=F.when(s % 2 == 0, F.lit("[]")).otherwise(_list(_q("Own", s % 4))), tags=_list(_q("t", s % 5)), industry=_list(_q("I", s % 3)),
-        exposedEntityTypes=_list(_object(ordId=kind("E", s % 6)), _q("plain", s % 4)), partOfGroups=_list(_object(groupId=_q("G", s % 4), groupTypeId=_q("x"))), **more,
+        exposedEntityTypes=_list(_object(ordId=kind("E", s % 6)), _q("{plain", s % 4)), partOfGroups=_list(_object(groupId=_q("G", s % 4), groupTypeId=_q("x"))), **more,
     )
     agent = _object(ordId=_q(ns, ":agent:Agent", c, ":v1"), localId=_q("Agent", c), title=_q(F.col("c_name")), relatedEntityTypes=_list(kind("E", c % 6), kind("E", (c + 1) % 6)), entityTypeMappings=_list(_object(entityTypeTargets=_list(_object(ordId=kind("M", c % 3))))))
     pack = lambda i, **f: _object(ordId=_q(ns, f":package:P{i}:v1"), title=_q("Pack ", F.col("k"), f"-{i}"), **f)
@@ -119,7 +119,7 @@ api AS (SELECT 'ns' || (10 + s_nationkey) AS namespace, 0 AS a, s_suppkey AS pos
   CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_suppkey ELSE '' END AS description, CASE WHEN s_suppkey % 3 < 2 THEN 'Pack ' || s_nationkey || '-' || (s_suppkey % 3) ELSE '' END AS package_title,
   CASE WHEN s_suppkey % 2 = 1 THEN ['Own' || (s_suppkey % 4)] WHEN s_suppkey % 3 = 0 THEN ['Pk' || (s_nationkey % 3)] ELSE CAST([] AS VARCHAR[]) END AS line_of_business,
   CASE WHEN s_suppkey % 2 = 1 THEN ['Own' || (s_suppkey % 4)] ELSE CAST([] AS VARCHAR[]) END AS own_lob, ['t' || (s_suppkey % 5)] AS tags, ['I' || (s_suppkey % 3)] AS industry, ['G' || (s_suppkey % 4)] AS groups,
-  [p || 'E' || (s_suppkey % 6) || ':v1'] AS entity_types, [p || 'E' || (s_suppkey % 6) || ':v1', 'plain' || (s_suppkey % 4)] AS raw_types, CASE WHEN s_nationkey % 2 = 0 THEN ['C' || (s_suppkey % 9)] ELSE CAST([] AS VARCHAR[]) END AS capabilities FROM supplier, e),
+  [p || 'E' || (s_suppkey % 6) || ':v1'] AS entity_types, [p || 'E' || (s_suppkey % 6) || ':v1', '{{plain' || (s_suppkey % 4)] AS raw_types, CASE WHEN s_nationkey % 2 = 0 THEN ['C' || (s_suppkey % 9)] ELSE CAST([] AS VARCHAR[]) END AS capabilities FROM supplier, e),
 agent AS (SELECT 'ns' || (10 + c_nationkey) AS namespace, 1 AS a, c_custkey AS pos, 'ns' || (10 + c_nationkey) || ':agent:Agent' || c_custkey || ':v1' AS id, 'agent' AS type, c_name AS title, '' AS short_description, '' AS description, '' AS package_title,
   CAST([] AS VARCHAR[]) AS line_of_business, CAST([] AS VARCHAR[]) AS own_lob, CAST([] AS VARCHAR[]) AS tags, CAST([] AS VARCHAR[]) AS industry, CAST([] AS VARCHAR[]) AS groups,
   [p || 'M' || (c_custkey % 3) || ':v1', p || 'E' || (c_custkey % 6) || ':v1', p || 'E' || ((c_custkey + 1) % 6) || ':v1'] AS entity_types, [p || 'E' || (c_custkey % 6) || ':v1', p || 'E' || ((c_custkey + 1) % 6) || ':v1'] AS raw_types, CAST([] AS VARCHAR[]) AS capabilities FROM customer, e),
@@ -398,7 +398,7 @@ def validated_skills(spark, sf_dir):
 
 
 _PROCESS = (
-    "<process name=\"x\" id=\"proc_", "WORD", "_request_", "K", "_v2\">\n<step id=\"s1\" label=\"Check / open\" description=\"Of ", "NAME", "\" ordId=\"ns", "K", ":apiResource:A", "K",
+    "<process name=\"x\" id=\"proc_", "WORD", "_request_", "K", "_v2\">\n<!-- <step id='s0' label='none'/> --><step id=\"s1\" label=\"Check / open\" description=\"Of ", "NAME", " &amp; &lt;others&gt;\" ordId=\"ns", "K", ":apiResource:A", "K",
     ":v1\"/>\n<step ordId='ns", "K", ":agent:B", "K", ":v1' description='Send it' label='Send' id='s2'></step></process>",
 )
 
@@ -418,7 +418,7 @@ def process_titles(spark, sf_dir):
     return _process_files(spark, sf_dir).select("process_id", "title")
 
 
-@query("SELECT 'p' || s_suppkey AS process_id, i::INT AS step_index, 's' || i AS step_id, CASE i WHEN 1 THEN 'Check / open' ELSE 'Send' END AS label, CASE i WHEN 1 THEN 'Of ' || s_name ELSE 'Send it' END AS description, 'ns' || s_suppkey || CASE i WHEN 1 THEN ':apiResource:A' ELSE ':agent:B' END || s_suppkey || ':v1' AS id FROM supplier, range(1, 3) t(i)")
+@query("SELECT 'p' || s_suppkey AS process_id, i::INT AS step_index, 's' || i AS step_id, CASE i WHEN 1 THEN 'Check / open' ELSE 'Send' END AS label, CASE i WHEN 1 THEN 'Of ' || s_name || ' & <others>' ELSE 'Send it' END AS description, 'ns' || s_suppkey || CASE i WHEN 1 THEN ':apiResource:A' ELSE ':agent:B' END || s_suppkey || ':v1' AS id FROM supplier, range(1, 3) t(i)")
 def process_step_rows(spark, sf_dir):
     return records.process_steps(_process_files(spark, sf_dir))
 

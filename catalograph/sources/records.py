@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import confirmed_ids, front_matter_value, process_title, run_ordinal, skill_steps, step_attribute
+from ..functions.text import confirmed_ids, front_matter_value, process_step_tags, process_title, run_ordinal, skill_steps
 from ..operators.certification import expected_ids
 from ..schema import CERT_RUN, LOG_EVENT, PAIR_CSV
 
@@ -78,9 +78,7 @@ def processes(spark: SparkSession, path: str, process_id: Column | None = None)
 
 def process_steps(processes_: DataFrame) -> DataFrame:
     """(process_id, step_index from 1, step_id, label, description, id)."""
-    attribute = lambda n: step_attribute(F.col("xml"), n)
-    zipped = F.arrays_zip(attribute("id").alias("step_id"), attribute("label").alias("label"), attribute("description").alias("description"), attribute("ordId").alias("ord_id"))
-    return processes_.select("process_id", F.posexplode(zipped).alias("i", "s")).select("process_id", (F.col("i") + 1).alias("step_index"), "s.step_id", "s.label", "s.description", F.col("s.ord_id").alias("id"))
+    return processes_.select("process_id", F.posexplode(process_step_tags(F.col("xml"))).alias("i", "s")).select("process_id", (F.col("i") + 1).alias("step_index"), F.col("s.id").alias("step_id"), "s.label", "s.description", F.col("s.ordId").alias("id"))
 
 
 def design_cases(steps: DataFrame, gt: DataFrame) -> DataFrame:

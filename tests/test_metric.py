@@ -167,6 +167,24 @@ def test_steps_and_front_matter(spark):
     assert [(s.step, s.text, s.ids) for s in r[6]] == [(1, "First do", ["a:b:C:v1"]), (2, "Then", ["d:e:F:v1", "g:h:I:v1"])]
 
 
+def test_steps_as_xml_has_them(spark):
+    texts = [
+        """<?xml version="1.0"?><process><!-- <step id="no"/> --><![CDATA[<step id="no"/>]]><phase><step id="a" label="A &amp; B &gt; c &#233;" description=' two '></step></phase><step label="" id='b'/></process>""",
+        """<process><step id="a" label="R&D" description="it's" ordId='x "y"'/><step id="b" label="ok"/> broken""",
+        "", "no xml", None,
+    ]
+    got = [r.s and [tuple(x) for x in r.s] for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").select(X.process_step_tags(F.col("x")).alias("s")).collect()]
+    assert got == [[("a", "A & B > c é", " two ", None), ("b", None, None, None)], [("a", "R&D", "it's", 'x "y"'), ("b", "ok", None, None)], [], [], None]
+
+
+def test_references_by_their_type(spark):
+    lists = ['["a", {"ordId": "b"}, "{odd", "{\\"ordId\\": \\"no\\"}", {"x": 1}, {"ordId": null}, null, ""]', "oops", '{"ordId": "a"}', "[]", None]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, j string").orderBy("i")
+    got = [tuple(r) for r in df.select(A.mixed_references(F.col("j")), A.only_objects(F.col("j")), A.only_strings(F.col("j"))).collect()]
+    text = '{"ordId": "no"}'
+    assert got == [(["a", "b", "{odd", text], ["b"], ["a", "{odd", text]), *[([], [], [])] * 4]
+
+
 def test_arrays(spark):
     df = spark.createDataFrame([(["a", "b", "b"], None, ["b"], [0.0, 0.0], [3.0, 4.0], '["x:y:Z:v1", {"ordId": "u:v:W:v1"}, {"ordId": ""}]')], "a array<string>, n array<string>, b array<string>, z array<double>, v array<double>, j string")
     r = df.select(A.jaccard(F.col("a"), F.col("b")), A.jaccard(F.col("n"), F.col("n")), A.cosine(F.col("z"), F.col("v")), A.cosine(F.col("v"), F.col("v")), A.l2_normalise(F.col("v")), A.mixed_references(F.col("j")), A.only_objects(F.col("j")), A.only_strings(F.col("j")), A.covers(F.col("a"), F.col("b")), A.same_set(F.col("a"), F.array(F.lit("b"), F.lit("a"))), A.is_enriched(F.col("n"), F.col("n"), F.col("b"))).first()
