@@ -14,7 +14,7 @@ from ..operators import reduction as R
 from ..schema import DOMAIN_CLUSTERS
 from ..sources.fixtures import ASSETS_SQL, assets, table
 from .core_queries import ALL, BASE, DENSE, ETIDF, REPORT, SCORED, TFIDF, TIERED, TIERS, _block_pairs, _J, _r4, _report, _scored, _with
-from .data_queries import VIEWS, _two_views
+from .data_queries import VIEWS, _items
 
 QUERIES: dict = {}
 
@@ -240,7 +240,8 @@ def neighbour_table(spark, sf_dir):
 
 @query(VIEWS + f"SELECT id_a, id_b, {_r4('cos_clean')} AS cos_clean, {_r4('cos')} AS cos FROM tv WHERE {_r4('cos')} >= 0.3")
 def two_views(spark, sf_dir):
-    v = _two_views(spark, sf_dir).select("id_a", "id_b", X.round4(F.col("cos_clean")).alias("cos_clean"), X.round4(F.col("cos")).alias("cos"))
+    # A margin below the bound, which holds for rounded cosines.
+    v = V.two_views(_items(spark, sf_dir), 0.3 - 1e-4).select("id_a", "id_b", X.round4(F.col("cos_clean")).alias("cos_clean"), X.round4(F.col("cos")).alias("cos"))
     return v.filter("cos >= 0.3")
 
 
